@@ -58,7 +58,8 @@ def connected_components(edges: DataFrame, src: str = "left_id", dst: str = "rig
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         after = materialise(small.where("u <> v").distinct(), "edges")
         was, mark = mark, after.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
-        discard(now)
+        if was is not None:
+            discard(now)
         now = after
         if mark == was:
             break
