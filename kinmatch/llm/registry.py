@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from kinmatch.llm import language_id, line_dedup, packing, token_records
+from kinmatch.llm import chat_format, language_id, line_dedup, mpeg_audio, packing, token_records
 
 QUERIES = {
+    "op1_mpeg_audio": mpeg_audio.op1_mpeg_audio,
     "op4_packing": packing.op4_packing,
+    "op6_chat_format": chat_format.op6_chat_format,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_token_records": token_records.op10_token_records,
 }
-ORACLE_SQL = {**line_dedup.ORACLE_SQL}
+ORACLE_SQL = {**chat_format.ORACLE_SQL, **line_dedup.ORACLE_SQL}
