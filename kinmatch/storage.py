@@ -7,6 +7,7 @@ costs a re-read and never a recomputation of the whole lineage.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from pathlib import Path
@@ -43,6 +44,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()  # shuffle files of what was written before go as soon as nothing refers to them
     return spark.read.schema(df.schema).parquet(path)
 
 
