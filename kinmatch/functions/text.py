@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def lcs(a: str, b: str) -> int:
@@ -32,7 +33,7 @@ def indel(a: str, b: str) -> float:
     return 2.0 * lcs(a, b) / n if n else 1.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def indel_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two columns; null if either is."""
     known: dict[tuple[str, str], float] = {}
@@ -113,7 +114,7 @@ def folded(c: Column) -> Column:
 def parse_score(c: Column) -> Column:
     """The number of the first ``score: x`` in an answer, cut to [0, 1]; null without one."""
     found = F.regexp_extract(c, r"(?i)score\s*:\s*([0-9]*\.?[0-9]+)", 1)
-    return F.least(F.greatest(F.when(found != "", found).cast("double"), F.lit(0.0)), F.lit(1.0))
+    return F.when(found != "", F.least(F.greatest(found.try_cast("double"), F.lit(0.0)), F.lit(1.0)))
 
 
 def parse_yes_no(c: Column) -> Column:
