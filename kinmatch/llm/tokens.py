@@ -83,11 +83,12 @@ class WordEncoder(dict):
         if len(self) > CACHE_WORDS:
             self.older = dict(self)
             self.clear()
-        if any(s in text for s in self.special):
+        lower = text.lower()
+        if any(s in lower for s in self.special):
             return self._ask(text) + END_BYTES
         try:
             text.encode("latin-1")
-            text = text.lower()  # one character at a time in Latin-1, as the tokenizer does
+            text = lower  # one character at a time in Latin-1, as the tokenizer does
         except UnicodeEncodeError:
             pass
         words = [w for w in _SPACE.split(text) if w] if _ODD_SPACE.search(text) else text.split()
