@@ -73,8 +73,19 @@ def restrict(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", li
     return df.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), key, how)
 
 
+#: Python workers: freed memory goes back to the system, as they live as long as the session.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576"}
+#: Arrow batches: rows can be whole documents, so the default of 10,000 is too many.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def ensure_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it."""
+    """Let Python workers import this package from where the driver found it, with bounded batches."""
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    for key, value in WORKER_ENV.items():
+        spark.sparkContext.environment.setdefault(key, value)
     root = str(Path(__file__).resolve().parent.parent)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
