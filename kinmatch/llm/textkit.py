@@ -13,7 +13,7 @@ import pandas as pd
 
 U64 = np.uint64
 #: Bytes of text worked on at once.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 #: Bytes that separate words: 0x20 and 0x09-0x0D.
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -20,7 +20,7 @@ TOKENIZER_FILE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 END_BYTES = END_ID.to_bytes(4, "little")
 #: Words that a worker remembers, in each of two generations.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # str.split() parts words there, the tokenizer does not
 _SPACE = re.compile(r"[ \n\t\r]+")
 _TAIL = re.compile(r"[!-/:-@\[-`{-~]+\Z")
