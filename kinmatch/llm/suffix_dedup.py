@@ -36,70 +36,75 @@ from kinmatch.llm.textkit import BYTE_CODE, U64, _power, as_bytes, mix
 from kinmatch.storage import ensure_workers, materialise, restrict, spread
 
 LENGTH, ANCHOR = 100, 32
-#: Windows that one numpy pass looks at; positions take 21 bits.
-PASS_WINDOWS = 1 << 20
+#: Windows that a long text is looked at at once, and bytes of short ones; positions take 21 bits.
+PASS_WINDOWS = PASS_BYTES = 1 << 20
 LAST = 2**63 - 1
-
-
-def runs_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, hash of the run's text and anchor place, first window, number of windows) of a text's runs."""
-    parts = [_runs(np.frombuffer(raw, np.uint8, min(len(raw) - at, PASS_WINDOWS + LENGTH - 1), at), at) for at in range(0, max(0, len(raw) - LENGTH + 1), PASS_WINDOWS)]
-    return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4))
-
-
-def _runs(a: np.ndarray, first: int) -> tuple[np.ndarray, ...]:
-    n, up, down = len(a), _power(len(a) + 1, False), _power(len(a) + 1, True)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(BYTE_CODE[a] * up[:n], out=total[1:])
-    grams = n - ANCHOR + 1
-    h = mix((total[ANCHOR:] - total[:grams]) * down[:grams])
-    low = (h & ~U64((1 << 21) - 1)) | np.arange(grams, dtype=U64)
-    width, span = LENGTH - ANCHOR + 1, 1
-    while span * 2 <= width:
-        low, span = np.minimum(low[: len(low) - span], low[span:]), span * 2
-    if span < width:
-        low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-    anchor = (low & U64((1 << 21) - 1)).astype(np.int64)
-    starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-    count = np.diff(np.concatenate((starts, [len(anchor)])))
-    at = anchor[starts]
-    whole = (total[starts + count + LENGTH - 1] - total[starts]) * down[starts]
-    whole = mix(whole ^ mix((count * 256 + (at - starts)).astype(U64)))
-    return h[at].astype(np.int64), whole.astype(np.int64), starts + first, count
-
-
 #: Windows of a block, by their distance to the anchor; bytes of a symbol; bytes behind the names.
 BLOCK, SYMBOL, TAIL = 8, 16, 4
 TRIPLE = 3 * SYMBOL
 
 
-def _sums(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Running polynomial of the bytes, inverse powers, and the hash of every ANCHOR bytes."""
-    a = np.frombuffer(raw, np.uint8)
-    up, down = _power(len(a) + 1, False), _power(len(a) + 1, True)
-    total = np.zeros(len(a) + 1, U64)
-    np.cumsum(BYTE_CODE[a] * up[: len(a)], out=total[1:])
-    grams = len(a) - ANCHOR + 1
-    return total, down, mix((total[ANCHOR:] - total[:grams]) * down[:grams]).astype(np.int64)
-
-
-def blocks_of(raw: bytes, block: int = BLOCK) -> tuple[np.ndarray, ...]:
-    """Runs cut where the distance to the anchor enters another block: (hash of the bytes that all
-    windows of the whole block share, hash of the part's text, first window, number of windows)."""
-    fp, _, starts, count = runs_of(raw)
-    total, down, h = _sums(raw)
-    # The anchor is the leftmost place of its hash in the run's last window.
-    place = np.array([b + int(np.argmax(h[b : b + LENGTH - ANCHOR + 1] == f)) for b, f in zip((starts + count - 1).tolist(), fp, strict=True)], np.int64)
-    run = np.repeat(np.arange(len(starts)), count)
-    q = (place[run] - np.arange(len(run))) // block
-    first = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (q[1:] != q[:-1]))))
-    n = np.diff(np.concatenate((first, [len(run)])))
-    m, q = place[run[first]], q[first]
-    begin, end = m - q * block, m - q * block - block + 1 + LENGTH
-    core = mix(mix((total[end] - total[begin]) * down[begin]) ^ mix(q.astype(U64) + U64(7)) ^ fp[run[first]].astype(U64))
-    whole = mix((total[first + n + LENGTH - 1] - total[first]) * down[first])
-    whole = mix(whole ^ mix((n * 256 + (m - first)).astype(U64)))
-    return core.astype(np.int64), whole.astype(np.int64), first, n
+def _groups(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(number, first byte, bytes) of the texts, long ones in overlapping pieces, in groups of PASS_BYTES."""
+    group, size = [], 0
+    for k, raw in enumerate(texts):
+        for at in range(0, max(0, len(raw) - LENGTH + 1), PASS_WINDOWS):
+            piece = raw[at : at + PASS_WINDOWS + LENGTH - 1]
+            if group and size + len(piece) > PASS_BYTES:
+                yield group
+                group, size = [], 0
+            group.append((k, at, piece))
+            size += len(piece)
+    if group:
+        yield group
+
+
+def spans_of(texts: list[bytes], block: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
+    """Spans of windows with equal anchor: (text, key, hash of the span's text, first window, number of windows).
+
+    Without ``block`` the key is the anchor's hash. With it, spans also end where the distance to the anchor
+    enters another block of that many windows, and the key is the hash of the bytes that all windows of
+    the whole block share, wherever the span is cut off.
+    """
+    for group in _groups(texts):
+        sizes = np.array([len(p) for _, _, p in group])
+        begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        a = np.frombuffer(b"".join([p for _, _, p in group]), np.uint8)
+        n, up, down = len(a), _power(len(a) + 1, False), _power(len(a) + 1, True)
+        total = np.zeros(n + 1, U64)
+        np.cumsum(BYTE_CODE[a] * up[:n], out=total[1:])
+        grams = n - ANCHOR + 1
+        h = mix((total[ANCHOR:] - total[:grams]) * down[:grams])
+        low = (h & ~U64((1 << 21) - 1)) | np.arange(grams, dtype=U64)
+        width, span = LENGTH - ANCHOR + 1, 1
+        while span * 2 <= width:
+            low, span = np.minimum(low[: len(low) - span], low[span:]), span * 2
+        low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
+        anchor = (low & U64((1 << 21) - 1)).astype(np.int64)
+        inside = np.ones(n + 1, np.int8)  # windows that end in their text
+        windows = sizes - LENGTH + 1
+        for b, w, s in zip(begins.tolist(), windows.tolist(), sizes.tolist(), strict=True):
+            inside[b + w : b + s] = 0
+        at = np.flatnonzero(inside[: len(anchor)])
+        where = anchor[at]
+        cut = where[1:] != where[:-1]
+        cut |= at[1:] != at[:-1] + 1
+        if block:
+            q = (where - at) // block
+            cut |= q[1:] != q[:-1]
+        first = np.flatnonzero(np.concatenate(([True], cut)))
+        count = np.diff(np.concatenate((first, [len(at)])))
+        start, m = at[first], where[first]
+        key = h[m]
+        if block:
+            q = q[first]
+            begin, end = m - q * block, m - q * block - block + 1 + LENGTH
+            key = mix(mix((total[end] - total[begin]) * down[begin]) ^ mix(q.astype(U64) + U64(7)) ^ key)
+        whole = (total[start + count + LENGTH - 1] - total[start]) * down[start]
+        whole = mix(whole ^ mix((count * 256 + (m - start)).astype(U64)))
+        owner = np.searchsorted(begins, start, "right") - 1
+        text, offset = np.array([k for k, _, _ in group]), np.array([o for _, o, _ in group])
+        yield text[owner], key.astype(np.int64), whole.astype(np.int64), start - begins[owner] + offset[owner], count
 
 
 # Spans of windows are (doc, first window, number of windows); ``at`` holds first << 24 | number.
@@ -114,10 +119,9 @@ def _digests(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _run_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
-        found = [(doc, *runs_of(raw)) for doc, raw in zip(pdf["doc"], as_bytes(pdf["text"]), strict=True) if len(raw) >= LENGTH]
-        for k in range(0, len(found), 500):
-            part = found[k : k + 500]
-            yield pd.DataFrame({"key": np.concatenate([x[1] for x in part]), "whole": np.concatenate([x[2] for x in part]), "doc": np.repeat([x[0] for x in part], [len(x[1]) for x in part]), "at": np.concatenate([x[3] << 24 | x[4] for x in part])})
+        docs = pdf["doc"].to_numpy()
+        for text, key, whole, first, n in spans_of(as_bytes(pdf["text"])):
+            yield pd.DataFrame({"key": key, "whole": whole, "doc": docs[text], "at": first << 24 | n})
 
 
 def _segments(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,9 +148,9 @@ def _joined(spans) -> list[tuple[int, int]]:
 
 def _block_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
-        found = [(doc, first, *blocks_of(bytes(raw))) for doc, first, raw in zip(pdf["doc"], pdf["first"], pdf["bytes"], strict=True)]
-        if found:
-            yield pd.DataFrame({"key": np.concatenate([x[2] for x in found]), "whole": np.concatenate([x[3] for x in found]), "doc": np.repeat([x[0] for x in found], [len(x[2]) for x in found]), "at": np.concatenate([(x[1] + x[4]) << 24 | x[5] for x in found])})
+        docs, base = pdf["doc"].to_numpy(), pdf["first"].to_numpy()
+        for text, key, whole, first, n in spans_of([bytes(x) for x in pdf["bytes"]], BLOCK):
+            yield pd.DataFrame({"key": key, "whole": whole, "doc": docs[text], "at": (base[text] + first) << 24 | n})
 
 
 def _judge(rows: DataFrame, name: str) -> DataFrame:
@@ -164,22 +168,41 @@ def _cut(open_spans: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     return materialise(spans.join(texts, "doc").mapInPandas(_segments, "doc long, first long, n long, bytes binary"), name)
 
 
-def _sampled(first: int, n: int) -> np.ndarray:
-    """Places of a segment in the cover {1, 2} modulo 3 whose names its windows need."""
-    p = np.arange(n + 2)
-    p = p[(p + first) % 3 != 0]
-    return np.unique(np.concatenate((p, p + TRIPLE)))
+def _numbered_from(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """0 .. size-1 of every segment in one row: (segment, number, where each segment begins)."""
+    begins = np.concatenate(([0], np.cumsum(sizes)))
+    segment = np.repeat(np.arange(len(sizes)), sizes)
+    return segment, np.arange(begins[-1]) - begins[segment], begins
+
+
+def _sampled(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, place) in the cover {1, 2} modulo 3 of all names that the segments' windows need, in order."""
+    segment, place, _ = _numbered_from(n + 2 + TRIPLE)
+    kept = ((place + first[segment]) % 3 != 0) & ((place < n[segment] + 2) | (place >= TRIPLE))
+    return segment[kept], place[kept]
+
+
+def _buffer(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all segments and where each begins."""
+    raw = [bytes(x) for x in column]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
 
 
 def _triples(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Three symbols at every sampled place (short ones at a segment's end are told apart by their length)."""
+    """Three symbols at every sampled place, and their hash."""
     for pdf in parts:
-        rows = []
-        for doc, first, n, raw in zip(pdf["doc"], pdf["first"], pdf["n"], pdf["bytes"], strict=True):
-            raw = bytes(raw)
-            rows += [(doc, first, int(p), xxhash.xxh3_64_intdigest(t) - (1 << 63), t) for p in _sampled(first, n) if (t := raw[p : p + TRIPLE])]
-        out = pd.DataFrame(rows, columns=["doc", "first", "place", "hash", "triple"])
-        yield out
+        if not len(pdf):
+            continue
+        a, begins = _buffer(pdf["bytes"])
+        segment, place = _sampled(pdf["first"].to_numpy(), pdf["n"].to_numpy())
+        for k in range(0, len(place), 50_000):
+            s, p = segment[k : k + 50_000], place[k : k + 50_000]
+            t = np.ascontiguousarray(a[(begins[s] + p)[:, None] + np.arange(TRIPLE)])
+            h = np.zeros(len(t), U64)
+            for word in t.view("<u8").T:
+                h = mix(h + word) * BYTE_CODE[0]
+            whole = t.tobytes()
+            yield pd.DataFrame({"doc": pdf["doc"].to_numpy()[s], "first": pdf["first"].to_numpy()[s], "place": p, "hash": h.astype(np.int64), "triple": [whole[x : x + TRIPLE] for x in range(0, len(whole), TRIPLE)]})
 
 
 FORMS = ((0, 1), (0, 2), (1, 2))  # residues that a form of key compares
@@ -189,17 +212,25 @@ SHIFT = {(0, 1): 1, (0, 2): 2, (1, 2): 0}  # from a window into the cover, in ea
 def _suffixes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Keys of all windows in the forms of their residue: bytes before the cover, two names, last bytes."""
     for pdf in parts:
-        rows = []
-        for doc, first, n, raw, names in zip(pdf["doc"], pdf["first"], pdf["n"], pdf["bytes"], pdf["names"], strict=True):
-            raw, name = bytes(raw), {int(x["place"]): int(x["name"]) for x in names}
-            for i in range(n):
-                tail = int.from_bytes(raw[i + LENGTH - TAIL : i + LENGTH])
-                for form, residues in enumerate(FORMS):
-                    if (first + i) % 3 in residues:
-                        o = SHIFT[residues]
-                        # Form, head and tail are one number; names compare 2 * TRIPLE bytes behind the head.
-                        rows.append((form << 48 | int.from_bytes(raw[i : i + o]) << 32 | tail, name[i + o], name[i + o + TRIPLE], doc, first + i))
-        yield pd.DataFrame(rows, columns=["head_tail", "name1", "name2", "doc", "window"])
+        if not len(pdf):
+            continue
+        a, begins = _buffer(pdf["bytes"])
+        a = a.astype(np.int64)
+        docs, first, n = (pdf[c].to_numpy() for c in ("doc", "first", "n"))
+        segment, place = _sampled(first, n)
+        row = np.concatenate(([0], np.cumsum(n + 2 + TRIPLE)))
+        name = np.zeros(row[-1], np.int64)
+        name[row[segment] + place] = np.concatenate(list(pdf["names"]))  # in the order of places
+        segment, i, _ = _numbered_from(n)
+        byte, window = begins[segment] + i, first[segment] + i
+        tail = sum(a[byte + LENGTH - TAIL + k] << (8 * (TAIL - 1 - k)) for k in range(TAIL))
+        for form, residues in enumerate(FORMS):
+            at = np.flatnonzero(np.isin(window % 3, residues))
+            o = SHIFT[residues]
+            head = sum((a[byte[at] + k] << (8 * (o - 1 - k)) for k in range(o)), np.zeros(len(at), np.int64))
+            to = row[segment[at]] + i[at] + o
+            # Form, head and tail are one number; names compare 2 * TRIPLE bytes behind the head.
+            yield pd.DataFrame({"head_tail": form << 48 | head << 32 | tail[at], "name1": name[to], "name2": name[to + TRIPLE], "doc": docs[segment[at]], "window": window[at]})
 
 
 def _repeats(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,7 +254,7 @@ def sorted_repeats(segments: DataFrame) -> DataFrame:
     # Sort the distinct triples; names are their places in the order.
     distinct = rows.groupBy("hash").agg(F.first("triple").alias("triple"))
     named = materialise(distinct.repartitionByRange("triple").sortWithinPartitions("triple").select("hash", F.monotonically_increasing_id().alias("name")), "names")
-    of = rows.select("doc", "first", "place", "hash").join(named, "hash").groupBy("doc", "first").agg(F.collect_list(F.struct("place", "name")).alias("names"))
+    of = rows.select("doc", "first", "place", "hash").join(named, "hash").groupBy("doc", "first").agg(F.array_sort(F.collect_list(F.struct("place", "name")))["name"].alias("names"))
     keys = materialise(segments.join(of, ["doc", "first"]).mapInPandas(_suffixes, "head_tail long, name1 long, name2 long, doc long, window long"), "suffixes")
     order = ["name1", "name2", "head_tail"]
     return keys.repartitionByRange(*order).sortWithinPartitions(*order, "doc", "window").mapInPandas(_repeats, "doc long, at long")
