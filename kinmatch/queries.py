@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinmatch.functions import text, vector
 from kinmatch.functions.pairs import predicted_match
-from kinmatch.operators import anchor, blocking, cluster, curate, golden, metrics, pivot, profile, score
+from kinmatch.operators import anchor, blocking, cluster, curate, golden, judge, metrics, pivot, profile, score
 from kinmatch.plans import evaluate
 from kinmatch.plans import pipeline as chains
 from kinmatch.sources import records as sources
@@ -759,3 +759,30 @@ def seen_slices(spark, sf):
 def group_costs(spark, sf):
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("left_id"), F.col("turn").alias("right_id"), (F.length("text") / 1000.0).alias("cost"))
     return anchor.group_costs(c).select("left_id", "right_id", "stamped_cost", "group_end")
+
+
+@query("select vec_id as id, round(('0x' || substr(sha256('v' || vec_id), 1, 8))::bigint / 4294967296.0, 6) as score from embeddings")
+def hash_reranker_scores(spark, sf):
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("prompt"))
+    return rounded(judge.rerank(v, judge.hash_reranker), "score").select("id", "score")
+
+
+@query(f"with {BLOCKED} select left_id, right_id, case when lp % 2 = 0 or rp % 2 = 0 then true when lp % 3 = 0 or rp % 3 = 0 then false end as decision, case when lp % 2 = 0 or rp % 2 = 0 or lp % 3 = 0 or rp % 3 = 0 then 'parsed' else 'unparsed' end as decision_step from kp")
+def scripted_model_verdicts(spark, sf):
+    from functools import partial
+
+    r = parts(spark, sf).withColumn("key", F.when(F.col("pos") % 2 == 0, "even").when(F.col("pos") % 3 == 0, "three").otherwise("none"))
+    p = judge.prompts(blocked(spark, sf), r, ["key"], "A {left} B {right}")
+    p = judge.generate(p, partial(judge.scripted_model, answers={"even": "MATCH", "three": "NO MATCH\nno"}, default="perhaps"))
+    return judge.parse(p).select("left_id", "right_id", "decision", "decision_step")
+
+
+@query(f"with {BLOCKED} select left_id, right_id, (row_number() over (partition by left_id order by rp) = 1)::int::double as score from kp")
+def group_selection(spark, sf):
+    g = blocking.groups(blocked(spark, sf).withColumn("o", F.col("right_id").cast("long")), "o")
+    return judge.select_in_groups(g, judge.first_member).select("left_id", "right_id", "score")
+
+
+@query()
+def hashed_embeddings(spark, sf):
+    return judge.embed(parts(spark, sf), ["name", "type"], judge.hash_embedder).select("id", F.round(vector.norm(F.col("vector")), 4).alias("norm"))

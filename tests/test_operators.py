@@ -283,3 +283,34 @@ def test_experiments(spark):
     gold = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "id string, cluster int")
     assert evaluate.tune_threshold(p, gold, ids, [0.5, 0.8])[0] == 0.8
     assert evaluate.within_budget(p, 0.4, 0.5).count() == 1
+
+
+def test_models(spark):
+    from functools import partial
+
+    from kinmatch.operators import judge
+    from kinmatch.plans import registry, report
+
+    r = spark.createDataFrame([("1", "red", "x"), ("2", "red", None), ("3", "blue", "y")], "id string, name string, k string")
+    p = spark.createDataFrame([("1", "2", None), ("1", "3", None)], "left_id string, right_id string, similarity double")
+    f = [score.Feature("name")]
+    model = partial(judge.scripted_model, answers={"blue": "NO_MATCH", "red": "MATCH"})
+    assert {(x.right_id, x.decision) for x in registry.run_method("zero_shot_llm", p, r, f, client=model).collect()} == {("2", True), ("3", False)}
+    scores = registry.run_method("prompt_llm", p, r, f, client=partial(judge.scripted_model, answers={"blue": "Score: 0.2"}, default="?"))
+    assert {(x.right_id, x.score, x.decision_step) for x in scores.collect()} == {("2", None, "unparsed"), ("3", 0.2, "parsed")}
+    with pytest.raises(ValueError, match="unknown"):
+        registry.run_method("nothing", p, r, f)
+    cache = judge.embed(r.limit(1), ["name"], judge.hash_embedder).select(F.sha2("name", 256).alias("key"), "vector")
+    assert judge.embed_missing(r, ["name"], judge.hash_embedder, cache).where("vector is not null").count() == 3
+    c = spark.createDataFrame([([("Yes", -0.1), ("no", -2.0)],)], "t array<struct<token:string,logprob:double>>").select(judge.logprob_confidence(F.col("t")).alias("c")).first().c
+    assert 0.8 < c < 0.9
+    s = spark.createDataFrame([(0.9, True), (0.2, False)], "score double, label boolean")
+    assert "<h2>AUC</h2>" in report.page("x", report.evaluation(s, 0.5)) and report.markdown(s).startswith("| score")
+
+
+def test_saved_features(spark, tmp_path):
+    from kinmatch.plans import registry
+
+    f = [score.Feature("a", 0.3, "ratio"), score.Feature("b")]
+    registry.save_features(spark, f, f"{tmp_path}/f")
+    assert registry.load_features(spark, f"{tmp_path}/f") == f
