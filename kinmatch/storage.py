@@ -44,8 +44,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()  # shuffle files of what was written before go as soon as nothing refers to them
+    if not spark.sparkContext.master.startswith("local["):
+        gc.collect()
+        spark._jvm.System.gc()  # shuffle files of what was written before go as soon as nothing refers to them
     return spark.read.schema(df.schema).parquet(path)
 
 
