@@ -9,9 +9,9 @@ signatures of 512 columns (which never overstate a difference) and sizes discard
 left is multiplied exactly, block of columns after block, and given up as soon as the overlap so far and
 the columns to come fall short. A frequent n-gram is no hot key, as a whole block must be equal.
 
-Equal sets are one row. Of each equal block, every document first meets the smallest one; linked
-ones form components, and only documents of different components meet in further blocks. So groups
-of copies are not expanded into pairs, and no link between components is lost.
+Equal sets are one row. Of each equal block, every document first meets one hub, another one in
+each round; linked ones form components, and only documents of different components meet further, in the end
+all of them. So groups of copies are not expanded into pairs, and no link between components is lost.
 
 Defined cases: null and empty texts have size 0 and link with nothing; fewer words than n are one
 n-gram; a null doc_id links with nothing and has a null component; repeated rows are equal sets; an
@@ -36,6 +36,8 @@ from kinmatch.storage import ensure_workers, materialise, restrict, spread
 WORDS, PERCENT = 5, 80
 SIGNATURE_BITS = 512
 WORDS64 = SIGNATURE_BITS // 64
+#: Rounds of stars before the documents of different components meet one by one.
+ROUNDS = 4
 #: Column blocks of the exact product.
 PRODUCT_BLOCKS = 8
 
@@ -163,9 +165,8 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     copies = members.where("doc_id <> rep").select("doc_id").distinct()
 
     rows = spread(restrict(named, copies, "doc_id", "left_anti")).mapInPandas(partial(_block_rows, words=words, percent=percent), "key long, doc long")
-    of_key = Window.partitionBy("key")
-    shared = rows.withColumn("size", F.count("*").over(of_key)).withColumn("hub", F.min("doc").over(of_key)).where("size > 1").select("key", "doc", "hub")
-    shared = materialise(shared, "blocks")
+    size = F.count("*").over(Window.partitionBy("key"))
+    shared = materialise(rows.withColumn("size", size).where("size > 1").select("key", "doc"), "blocks")
     signed = materialise(restrict(named, shared.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").mapInPandas(partial(_signed, words=words), "doc long, text string, n long, " + ", ".join(f"s{k} long" for k in range(WORDS64))), "candidates")
     side = lambda x: signed.drop("text").select(F.col("doc").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in signed.columns if c not in ("doc", "text")])
 
@@ -173,17 +174,26 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
         text = lambda x: signed.select(F.col("doc").alias(x), F.col("text").alias(f"text_{x}"))
         return materialise(pairs.select("a", "b").join(text("b"), "b").join(text("a"), "a").mapInPandas(partial(_multiply, words=words, percent=percent), "a long, b long"), name)
 
-    # Every document and the smallest of its blocks that the bounds let through.
-    star = shared.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    star = star.join(side("a"), "a").join(side("b"), "b").where(_bounded(percent)).groupBy("b").agg(F.min("a").alias("a"))
-    links = verified(star, "links")
-    component = connected_components(links, "a", "b")
-    # Blocks in which components still meet.
-    told = shared.join(component.select(F.col("id").alias("doc"), "component"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-    told = materialise(told, "blocks")
-    open_keys = told.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = told.join(open_keys, "key").join(signed.drop("text"), "doc")
-    left = materialise(left, "blocks")
+    def opened(told: DataFrame, hub: Column) -> DataFrame:
+        """Rows of the blocks where components still meet, with one of the block's documents as hub."""
+        keys = told.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by(F.struct("doc", "component"), hub).alias("hub"))
+        return told.join(keys.where("x <> y").select("key", "hub"), "key")
+
+    # Stars: in each block that is open every document meets the hub, another one in each round.
+    told, links = shared.withColumn("component", F.col("doc")), None
+    for turn in range(ROUNDS):
+        star = opened(told, F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))).where("component <> hub.component")
+        star = star.select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b")).distinct()
+        star = star.join(side("a"), "a").join(side("b"), "b").where(_bounded(percent))
+        if turn == 0:  # most documents need one partner only
+            star = star.groupBy("b").agg(F.min("a").alias("a"))
+        found = verified(star, "links")
+        links = found if links is None else links.union(found)
+        component = materialise(connected_components(links, "a", "b").select(F.col("id").alias("doc"), "component"), "components")
+        told = told.drop("component").join(component, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+        told = materialise(opened(told, F.col("doc")).drop("hub"), "blocks")
+    # All pairs of documents of different components in what is still open.
+    left = materialise(told.join(signed.drop("text"), "doc"), "blocks")
     named_as = lambda x: left.select("key", *[F.col(c).alias(x if c == "doc" else f"{x}_{c}") for c in left.columns if c != "key"])
     pairs = named_as("a").join(named_as("b"), "key").where("a < b and a_component <> b_component").where(_bounded(percent)).select("a", "b").distinct()
     return members, links.union(verified(materialise(pairs, "pairs"), "links"))
