@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from kinmatch.llm.textkit import U64, as_bytes, batches, mix, set_digest, shingle_sets
 from kinmatch.operators.cluster import connected_components
-from kinmatch.storage import ensure_workers, materialise, restrict, spread
+from kinmatch.storage import discard, ensure_workers, materialise, restrict, spread
 
 #: Words of an n-gram and percent of similarity, unless a contract names others.
 WORDS, PERCENT = 5, 80
@@ -162,6 +162,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     same = ["n_shingles", "d1", "d2"]
     reps = sized.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
     members = materialise(sized.join(reps, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "members")
+    discard(sized)
     copies = members.where("doc_id <> rep").select("doc_id").distinct()
 
     rows = spread(restrict(named, copies, "doc_id", "left_anti")).mapInPandas(partial(_block_rows, words=words, percent=percent), "key long, doc long")
@@ -180,7 +181,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
         return told.join(keys.where("x <> y").select("key", "hub"), "key")
 
     # Stars: in each block that is open every document meets the hub, another one in each round.
-    told, links = shared.withColumn("component", F.col("doc")), None
+    told, links, held = shared.withColumn("component", F.col("doc")), None, shared
     for turn in range(ROUNDS):
         star = opened(told, F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))).where("component <> hub.component")
         star = star.select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b")).distinct()
@@ -191,9 +192,12 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
         links = found if links is None else links.union(found)
         component = materialise(connected_components(links, "a", "b").select(F.col("id").alias("doc"), "component"), "components")
         told = told.drop("component").join(component, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-        told = materialise(opened(told, F.col("doc")).drop("hub"), "blocks")
+        before, told = held, materialise(opened(told, F.col("doc")).drop("hub"), "blocks")
+        discard(before)
+        held = told
     # All pairs of documents of different components in what is still open.
     left = materialise(told.join(signed.drop("text"), "doc"), "blocks")
+    discard(held)
     named_as = lambda x: left.select("key", *[F.col(c).alias(x if c == "doc" else f"{x}_{c}") for c in left.columns if c != "key"])
     pairs = named_as("a").join(named_as("b"), "key").where("a < b and a_component <> b_component").where(_bounded(percent)).select("a", "b").distinct()
     return members, links.union(verified(materialise(pairs, "pairs"), "links"))
