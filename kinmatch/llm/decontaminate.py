@@ -9,7 +9,8 @@ one-to-one substitution (the identity for a verbatim copy), the windows count; e
 slots do. A document is contaminated by an item if MIN_SHARE of the item's windows count.
 
 Defined cases: null and empty texts hold nothing and are kept; items below SHORTEST words or mostly
-made of placeholders match nothing; items that share a window are reported under the smallest item id; repeated
+made of placeholders match nothing; items that share windows are each judged by all of their own windows and
+slots, so a document may be reported with several; a window that an item holds twice counts once; repeated
 documents are decided alike, each row kept or dropped; an empty benchmark drops nothing; columns
 of the documents are returned as they are.
 """
@@ -90,16 +91,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         literal = F.size(F.filter(F.slice("words", F.col("item_at") + 1, k), lambda w: ~w.isin(NUMBER, NAME, UNIT)))
         of = of.where(literal >= need(k)).select("hash", "item_id", "item_at", F.lit(k).alias("length"))
         bench = of if bench is None else bench.union(of)
-    found_schema = "__id long, __text long, at int, item_id long, item_at int, length int"
+    found_schema = "__id long, __text long, at int, hash long, item_id long, item_at int, length int"
     if bench is None:
         found = docs.sparkSession.createDataFrame([], found_schema)
     else:
-        bench = materialise(bench.groupBy("hash", "length").agg(F.min(F.struct("item_id", "item_at")).alias("i")).select("hash", "length", "i.item_id", "i.item_at"), "bench")
+        bench = materialise(bench.distinct(), "bench")
         side = F.broadcast(bench) if bench.limit(SHIPPED_WINDOWS + 1).count() <= SHIPPED_WINDOWS else bench
         texts = _identified(docs.select("doc_id", "text")).where("text is not null").select("__id", "__text", template(F.col("text")).alias("words"))
         looked = texts.select("__id", "__text", F.explode(F.array(*[F.struct(F.lit(k).alias("length"), windows(F.col("words"), k).alias("w")) for k in lengths])).alias("x")) if len(lengths) > 1 else texts.select("__id", "__text", F.struct(F.lit(lengths[0]).alias("length"), windows(F.col("words"), lengths[0]).alias("w")).alias("x"))
         met = looked.select("__id", "__text", F.col("x.length").alias("length"), F.posexplode("x.w").alias("at", "hash")).join(side, ["hash", "length"])
-        found = met.select("__id", "__text", "at", F.col("item_id").cast("long").alias("item_id"), "item_at", "length").distinct()
+        found = met.select("__id", "__text", "at", "hash", F.col("item_id").cast("long").alias("item_id"), "item_at", "length").distinct()
     found = materialise(found, "windows_found").withColumn("shift", F.col("at") - F.col("item_at"))
     pair = ["__id", "__text", "item_id", "shift"]
     # Slot values of the documents found, and of the items, at the matched windows.
@@ -117,8 +118,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     slotted = pairs.select(*pair, "slot").distinct()
     with_slots = found.join(slotted, pair).where("slot between at and at + length - 1").groupBy(*pair, "at", "length").agg(F.count("*").alias("slots"))
     judged = found.join(with_slots, [*pair, "at", "length"], "left").join(broken, pair, "left").where("broken is null or slots is null")
-    counted = judged.groupBy("__id", "__text", "item_id").agg(F.countDistinct("item_at").alias("n_windows"), F.coalesce(F.sum("slots"), F.lit(0)).alias("n_slots"))
-    sizes = (bench.groupBy("item_id").agg(F.count("*").alias("of")) if bench is not None else docs.sparkSession.createDataFrame([], "item_id long, of long"))
+    counted = judged.groupBy("__id", "__text", "item_id").agg(F.countDistinct("hash", "length").alias("n_windows"), F.coalesce(F.sum("slots"), F.lit(0)).alias("n_slots"))
+    sizes = (bench.groupBy("item_id").agg(F.countDistinct("hash", "length").alias("of")) if bench is not None else docs.sparkSession.createDataFrame([], "item_id long, of long"))
     out = counted.join(sizes, "item_id").withColumn("share", F.col("n_windows") / F.col("of")).where(F.col("share") >= min_share)
     return out.select("__id", "__text", F.when(F.col("__id") != -(2**63), F.col("__id")).alias("doc_id"), "item_id", "n_windows", "share", "n_slots")
 

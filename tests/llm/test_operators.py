@@ -342,3 +342,28 @@ def test_short_items(spark):
     bench = spark.createDataFrame([(1, "Six little ducks went out"), (2, "too short")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "And so six little ducks went OUT!"), (2, "too short")], "doc_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontaminate.find_contamination(docs, bench).collect()] == [(1, 1)]
+
+
+def test_contained_item(spark):
+    inner = " ".join(f"inner{chr(97 + k)}" for k in range(20))
+    outer = " ".join([f"before{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40)] + [inner] + [f"after{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40)])
+    bench = spark.createDataFrame([(1, outer), (2, inner)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so " + inner + " it was"), (2, outer)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.share) for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert got == {(1, 2): (13, 1.0), (2, 1): (93, 1.0), (2, 2): (13, 1.0)}
+    assert decontaminate.decontaminate(docs, bench).count() == 0
+
+
+def test_items_of_one_template(spark):
+    item = "she then put {} apples and {} pears in the basket by the door"
+    bench = spark.createDataFrame([(1, item.format(3, 3)), (2, item.format(3, 5))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item.format(3, 5)), (2, item.format(3, 3)), (3, item.format(8, 9))], "doc_id long, text string")
+    whole = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(docs, bench, min_share=1.0).collect()}
+    assert whole == {(1, 2), (2, 1), (3, 2)}
+
+
+def test_item_with_a_window_twice(spark):
+    item = "put {0} red apples and {1} green pears in here now then put {2} red apples and {3} green pears in here now"
+    bench = spark.createDataFrame([(1, item.format(3, 3, 3, 5))], "item_id long, text string")
+    got = decontaminate.find_contamination(spark.createDataFrame([(1, item.format(3, 3, 3, 5))], "doc_id long, text string"), bench).collect()
+    assert [(r.item_id, r.share) for r in got] == [(1, 1.0)]
