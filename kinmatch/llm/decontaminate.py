@@ -7,9 +7,13 @@ but of SHORTEST words, is one window of its own length). A document that holds a
 at one alignment also yields pairs of slot values there: the benchmark's and the document's. If the pairs are a
 one-to-one substitution (the identity for a verbatim copy), the windows count; else only windows without
 slots do. A document is contaminated by an item if MIN_SHARE of the item's windows count.
+Items are looked up verbatim as well, by windows of words with numbers and names in place, which
+need no literal words; MIN_SHARE of these will do.
 
-Defined cases: null and empty texts hold nothing and are kept; items below SHORTEST words or mostly
-made of placeholders match nothing; items that share windows are each judged by all of their own windows and
+Defined cases: null and empty texts hold nothing and are kept; items below SHORTEST words, and
+windows mostly made of placeholders, match verbatim only; items below SHORTEST_VERBATIM words match nothing;
+n_windows, share and n_slots are those of the template windows where these suffice, else of the verbatim
+ones with n_slots 0; items that share windows are each judged by all of their own windows and
 slots, so a document may be reported with several; a window that an item holds twice counts once; repeated
 documents are decided alike, each row kept or dropped; an empty benchmark drops nothing; columns
 of the documents are returned as they are.
@@ -23,8 +27,10 @@ from pyspark.sql import functions as F
 from kinmatch.storage import BROADCAST_IDS, materialise
 
 WINDOW, SHORTEST, MIN_SHARE = 8, 5, 0.25
-#: Words of a window that must not be placeholders.
+#: Words of a window that must not be placeholders, unless it is looked up verbatim.
 MIN_LITERAL = 5
+#: Words of the shortest item looked up verbatim; fewer words stand in too many clean texts.
+SHORTEST_VERBATIM = 3
 #: Benchmark windows (24 bytes each) that are broadcast; beyond it they are shuffled.
 SHIPPED_WINDOWS = 1_000_000
 UNITS = "%|percent|km|kg|cm|mm|mg|ml|m|g|l|h|s|mph|kwh|kb|mb|gb|inch|inches|foot|feet|mile|miles|meter|meters|metre|metres|gram|grams|liter|liters|litre|litres|second|seconds|minute|minutes|hour|hours|day|days|week|weeks|month|months|year|years|dollar|dollars|cent|cents|euro|euros|pound|pounds|degree|degrees"
@@ -51,6 +57,11 @@ def template(text: Column) -> Column:
     return F.filter(F.split(marked, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def verbatim(text: Column) -> Column:
+    """Array of lower-case words and numbers, as they stand."""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(\p{{L}}+|{NUMBER_RE}|%)"), 1)
+
+
 def slots(text: Column, words: Column) -> Column:
     """Array of (at, value) of a text's placeholders, from the text and its template."""
     numbers = F.regexp_extract_all(text, F.lit(f"({NUMBER_RE})"), 1)
@@ -81,28 +92,36 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
     """(__id, __text, doc_id, item_id, n_windows, share, n_slots) of contaminated documents, and the items."""
-    items = benchmark.select("item_id", "text").dropna().withColumn("words", template(F.col("text"))).withColumn("n", F.size("words")).where(F.col("n") >= SHORTEST)
-    items = materialise(items.withColumn("length", F.least("n", F.lit(window))), "items")
-    lengths = sorted(r[0] for r in items.select("length").distinct().collect())
+    items = benchmark.select("item_id", "text").dropna().withColumn("words", template(F.col("text"))).withColumn("exact", verbatim(F.col("text")))
+    # Lengths of an item's windows; 0 where it has none of the kind.
+    sized = lambda words, least: F.when(F.size(words) >= least, F.least(F.size(words), F.lit(window))).otherwise(0)
+    items = materialise(items.withColumn("length", sized("words", SHORTEST)).withColumn("exact_length", sized("exact", SHORTEST_VERBATIM)), "items")
+    lengths, exact_lengths = ([r[0] for r in items.where(F.col(c) > 0).select(c).distinct().orderBy(c).collect()] for c in ("length", "exact_length"))
     need = lambda k: min(MIN_LITERAL, k - 1)
     bench = None
     for k in lengths:
         of = items.where(F.col("length") == k).select("item_id", "words", F.posexplode(windows(F.col("words"), k)).alias("item_at", "hash"))
         literal = F.size(F.filter(F.slice("words", F.col("item_at") + 1, k), lambda w: ~w.isin(NUMBER, NAME, UNIT)))
-        of = of.where(literal >= need(k)).select("hash", "item_id", "item_at", F.lit(k).alias("length"))
+        of = of.where(literal >= need(k)).select("hash", "item_id", "item_at", F.lit(k).alias("length"), F.lit(False).alias("exact"))
+        bench = of if bench is None else bench.union(of)
+    for k in exact_lengths:
+        of = items.where(F.col("exact_length") == k).select("item_id", F.posexplode(windows(F.col("exact"), k)).alias("item_at", "hash"))
+        of = of.select("hash", "item_id", "item_at", F.lit(k).alias("length"), F.lit(True).alias("exact"))
         bench = of if bench is None else bench.union(of)
-    found_schema = "__id long, __text long, at int, hash long, item_id long, item_at int, length int"
+    found_schema = "__id long, __text long, at int, hash long, item_id long, item_at int, length int, exact boolean"
     if bench is None:
         found = docs.sparkSession.createDataFrame([], found_schema)
     else:
         bench = materialise(bench.distinct(), "bench")
         side = F.broadcast(bench) if bench.limit(SHIPPED_WINDOWS + 1).count() <= SHIPPED_WINDOWS else bench
-        texts = _identified(docs.select("doc_id", "text")).where("text is not null").select("__id", "__text", template(F.col("text")).alias("words"))
-        looked = texts.select("__id", "__text", F.explode(F.array(*[F.struct(F.lit(k).alias("length"), windows(F.col("words"), k).alias("w")) for k in lengths])).alias("x")) if len(lengths) > 1 else texts.select("__id", "__text", F.struct(F.lit(lengths[0]).alias("length"), windows(F.col("words"), lengths[0]).alias("w")).alias("x"))
-        met = looked.select("__id", "__text", F.col("x.length").alias("length"), F.posexplode("x.w").alias("at", "hash")).join(side, ["hash", "length"])
-        found = met.select("__id", "__text", "at", "hash", F.col("item_id").cast("long").alias("item_id"), "item_at", "length").distinct()
-    found = materialise(found, "windows_found").withColumn("shift", F.col("at") - F.col("item_at"))
+        texts = _identified(docs.select("doc_id", "text")).where("text is not null").select("__id", "__text", template(F.col("text")).alias("words"), verbatim(F.col("text")).alias("exact"))
+        kinds = [(k, c == "exact", F.col(c)) for c, of in (("words", lengths), ("exact", exact_lengths)) for k in of]
+        looked = texts.select("__id", "__text", F.explode(F.array(*[F.struct(F.lit(k).alias("length"), F.lit(e).alias("exact"), windows(c, k).alias("w")) for k, e, c in kinds])).alias("x"))
+        met = looked.select("__id", "__text", F.col("x.length").alias("length"), F.col("x.exact").alias("exact"), F.posexplode("x.w").alias("at", "hash")).join(side, ["hash", "length", "exact"])
+        found = met.select("__id", "__text", "at", "hash", F.col("item_id").cast("long").alias("item_id"), "item_at", "length", "exact").distinct()
+    met_all = materialise(found, "windows_found").withColumn("shift", F.col("at") - F.col("item_at"))
     pair = ["__id", "__text", "item_id", "shift"]
+    found, copied = met_all.where(~F.col("exact")), met_all.where("exact")
     # Slot values of the documents found, and of the items, at the matched windows.
     ids = found.select("__id", "__text").distinct()
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -119,8 +138,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     with_slots = found.join(slotted, pair).where("slot between at and at + length - 1").groupBy(*pair, "at", "length").agg(F.count("*").alias("slots"))
     judged = found.join(with_slots, [*pair, "at", "length"], "left").join(broken, pair, "left").where("broken is null or slots is null")
     counted = judged.groupBy("__id", "__text", "item_id").agg(F.countDistinct("hash", "length").alias("n_windows"), F.coalesce(F.sum("slots"), F.lit(0)).alias("n_slots"))
-    sizes = (bench.groupBy("item_id").agg(F.countDistinct("hash", "length").alias("of")) if bench is not None else docs.sparkSession.createDataFrame([], "item_id long, of long"))
-    out = counted.join(sizes, "item_id").withColumn("share", F.col("n_windows") / F.col("of")).where(F.col("share") >= min_share)
+    exact = copied.groupBy("__id", "__text", "item_id").agg(F.countDistinct("hash", "length").alias("n_windows"), F.lit(0).cast("long").alias("n_slots"))
+    counted = counted.withColumn("exact", F.lit(False)).unionByName(exact.withColumn("exact", F.lit(True)))
+    sizes = bench.groupBy("item_id", "exact").agg(F.countDistinct("hash", "length").alias("of")) if bench is not None else docs.sparkSession.createDataFrame([], "item_id long, exact boolean, of long")
+    shared = counted.join(sizes, ["item_id", "exact"]).withColumn("share", F.col("n_windows") / F.col("of")).where(F.col("share") >= min_share)
+    out = shared.groupBy("__id", "__text", "item_id").agg(F.min_by(F.struct("n_windows", "share", "n_slots"), "exact").alias("x")).select("__id", "__text", "item_id", "x.*")
     return out.select("__id", "__text", F.when(F.col("__id") != -(2**63), F.col("__id")).alias("doc_id"), "item_id", "n_windows", "share", "n_slots")
 
 

@@ -367,3 +367,14 @@ def test_item_with_a_window_twice(spark):
     bench = spark.createDataFrame([(1, item.format(3, 3, 3, 5))], "item_id long, text string")
     got = decontaminate.find_contamination(spark.createDataFrame([(1, item.format(3, 3, 3, 5))], "doc_id long, text string"), bench).collect()
     assert [(r.item_id, r.share) for r in got] == [(1, 1.0)]
+
+
+def test_items_full_of_numbers(spark):
+    items = ["What is 17 times 23?", "Solve 3 x + 5 = 20 for x", "What is 7*8?", "Add 1 2 3 4 5 6 7 8 9 10 11 12 to 13"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    copies = [(k, f"They asked: {t} Nobody knew.") for k, t in enumerate(items)]
+    others = [(10, "They asked: What is 17 times 24? Nobody knew."), (11, "Solve 4 x + 5 = 20 for x"), (12, "1 2 3"), (13, "Add 2 3 1 5 4 7 6 9 8 11 10 13 to 12")]
+    docs = spark.createDataFrame(copies + others, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.share for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert got == {(k, k): 1.0 for k in range(len(items))}
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [10, 11, 12, 13]
