@@ -13,14 +13,12 @@ from pyspark.sql import functions as F
 from kinmatch.llm import decontaminate, language_id, line_dedup, ngram_join, packing
 from kinmatch.storage import materialise, spread
 
-#: Documents below this score look like none of the known languages (0.5 is the border of one).
-MIN_SCORE = 0.25
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or of no known language go."""
-    scored = language_id.identify(spread(docs), language_id.train(docs))
-    return scored.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    """Documents without letters or of no known language go; the score cannot tell foreign from short texts, known n-grams can."""
+    model = language_id.train(docs)
+    scored = language_id.identify(spread(docs), model, covered=True)
+    return scored.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("__covered") >= model["border"])).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

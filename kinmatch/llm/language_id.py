@@ -30,6 +30,9 @@ from kinmatch.storage import spread
 SAMPLE_ROWS, SAMPLE_BYTES, LANDMARKS = 3200, 200_000, 192
 #: Weights of the n-gram lengths 1, 2, 3; the ridge; texts in a matrix product.
 WEIGHTS, RIDGE, BATCH = (0.1, 0.4, 0.5), 1e-3, 256
+#: A text of a known language has this share of the known three-byte n-grams that the median landmark
+#: has in common with the others.
+FAMILIAR = 0.7
 UNKNOWN = "und"
 #: ASCII bytes that are no letters become spaces.
 PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -63,13 +66,17 @@ def lookup(model: dict) -> list[np.ndarray]:
     return _tables[model["name"]]
 
 
-def features(texts: list[str], model: dict) -> np.ndarray:
-    """Rows whose inner products are the kernel over the vocabulary."""
+def features(texts: list[str], model: dict, covered: np.ndarray | None = None) -> np.ndarray:
+    """Rows whose inner products are the kernel over the vocabulary; ``covered`` gets the share of known three-byte n-grams."""
     tables, lengths = lookup(model), [len(v) for v in model["vocabulary"]]
     x = np.zeros((len(texts), sum(lengths) + 1), np.float32)
-    for row, text in zip(x, texts, strict=True):
+    size = x.shape[1] - 1
+    for k, (row, text) in enumerate(zip(x, texts, strict=True)):
         for table, codes in zip(tables, ngrams(text), strict=True):
-            row[table[codes]] = 1
+            places = table[codes]
+            row[places] = 1
+        if covered is not None:
+            covered[k] = (places < size).mean()
     x, base = x[:, :-1], 0
     for n, weight in zip(lengths, WEIGHTS, strict=True):
         part = x[:, base : base + n]
@@ -78,15 +85,22 @@ def features(texts: list[str], model: dict) -> np.ndarray:
     return x
 
 
+def _shared(codes: list[np.ndarray]) -> list[float]:
+    """For each text, the share of its n-grams that another text has too."""
+    known, texts = np.unique(np.concatenate([np.unique(c) for c in codes]), return_counts=True)
+    return [float((texts[np.searchsorted(known, c)] > 1).mean()) for c in codes]
+
+
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict:
     """Model from labelled texts; the landmarks are the first texts of each language in turn."""
     names = sorted(set(langs))
-    model = {"name": uuid.uuid4().hex, "langs": names, "vocabulary": [], "landmarks": None, "weights": None}
+    model = {"name": uuid.uuid4().hex, "langs": names, "vocabulary": [], "landmarks": None, "weights": None, "border": 0.0}
     if not names:
         return model
     queues = {n: [t for t, x in zip(texts, langs, strict=True) if x == n] for n in names}
     chosen = [q[k] for k in range(max(map(len, queues.values()))) for q in queues.values() if k < len(q)][:landmarks]
     model["vocabulary"] = [np.unique(np.concatenate(x)) for x in zip(*map(ngrams, chosen), strict=True)]
+    model["border"] = FAMILIAR * float(np.median(_shared([ngrams(t)[2] for t in chosen])))
     marks = features(chosen, model)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     kept = values > 1e-6 * values[-1]
@@ -101,22 +115,28 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     return model | {"landmarks": marks.T.copy(), "weights": (root @ weights).astype(np.float32)}
 
 
-def classify(texts: list[str | None], model: dict) -> tuple[list[str], list[float]]:
-    """Language and score (the best one-versus-rest output, moved from [-1, 1] to [0, 1]) of whole texts."""
-    langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+def judge(texts: list[str | None], model: dict) -> tuple[list[str], list[float], list[float]]:
+    """Language, score (the best one-versus-rest output, moved from [-1, 1] to [0, 1]) and share of known n-grams of whole texts."""
+    langs, scores, shares = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     known = [i for i, t in enumerate(texts) if has_letter(t)] if model["langs"] else []
     for k in range(0, len(known), BATCH):
         at = known[k : k + BATCH]
-        f = features([texts[i] for i in at], model) @ model["landmarks"] @ model["weights"]
+        covered = np.zeros(len(at))
+        f = features([texts[i] for i in at], model, covered) @ model["landmarks"] @ model["weights"]
         best = f.argmax(axis=1)
-        for i, b, v in zip(at, best, f.max(axis=1), strict=True):
-            langs[i], scores[i] = model["langs"][b], float(min(1.0, max(0.0, (v + 1) / 2)))
-    return langs, scores
+        for i, b, v, c in zip(at, best, f.max(axis=1), covered, strict=True):
+            langs[i], scores[i], shares[i] = model["langs"][b], float(min(1.0, max(0.0, (v + 1) / 2))), float(c)
+    return langs, scores, shares
+
+
+def classify(texts: list[str | None], model: dict) -> tuple[list[str], list[float]]:
+    """Language and score of whole texts."""
+    return judge(texts, model)[:2]
 
 
 def _columns(texts: list, shipped) -> dict:
-    langs, scores = classify(texts, shipped.value)
-    return {"lang_pred": langs, "score": scores}
+    langs, scores, shares = judge(texts, shipped.value)
+    return {"lang_pred": langs, "score": scores, "__covered": shares}
 
 
 def held_out():
@@ -141,10 +161,10 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     return fit([t for t, _ in rows], [x for _, x in rows])
 
 
-def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with lang_pred and score."""
+def identify(docs: DataFrame, model: dict, covered: bool = False) -> DataFrame:
+    """``docs`` with lang_pred and score; on demand also __covered, the share of known three-byte n-grams."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    return with_columns(docs, partial(_columns, shipped=shipped), "lang_pred string, score double")
+    return with_columns(docs, partial(_columns, shipped=shipped), "lang_pred string, score double" + (", __covered double" if covered else ""))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -378,3 +378,15 @@ def test_items_full_of_numbers(spark):
     got = {(r.doc_id, r.item_id): r.share for r in decontaminate.find_contamination(docs, bench).collect()}
     assert got == {(k, k): 1.0 for k in range(len(items))}
     assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [10, 11, 12, 13]
+
+
+def test_foreign_documents_go(spark, sf):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    random_letters = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n)) for n in (40, 400)]
+    foreign = ["Это обычный русский текст о погоде и о жизни в большом городе у реки.", "这是一个关于天气和城市生活的普通中文文本，我们住在河边。", "Αυτό είναι ένα συνηθισμένο ελληνικό κείμενο για τη ζωή στην πόλη.", "To jest zwykły polski tekst o pogodzie i o tym, jak żyjemy w wielkim mieście.", *random_letters]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(10**9 + k, t, None) for k, t in enumerate(foreign)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.union(more), sf).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.collect() if language_id.has_letter(r.text)}
