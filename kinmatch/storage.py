@@ -12,7 +12,8 @@ import os
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Only for local sessions that name no shared folder (tests, notebooks).
 LOCAL_FALLBACK = "/tmp/checkpoints"
@@ -44,9 +45,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    if not spark.sparkContext.master.startswith("local["):
-        gc.collect()
-        spark._jvm.System.gc()  # shuffle files of what was written before go as soon as nothing refers to them
+    gc.collect()
+    spark._jvm.System.gc()  # shuffle files go once nothing refers to them; without this they stay until the driver's heap is full
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,12 +68,36 @@ def spread(df: DataFrame) -> DataFrame:
 
 def restrict(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", limit: int = BROADCAST_IDS) -> DataFrame:
     """Semi or anti join on ``key``; ``ids`` is broadcast only if counted at most ``limit`` rows."""
-    from pyspark.sql import functions as F
-
     small = ids.limit(limit + 1).count() <= limit
     return df.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), key, how)
 
 
+#: Rows from which a key is hot, and the share of all rows that it needs; so there are at most 1 / HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE = 1000, 1e-5
+#: Bytes of right rows of hot keys that are broadcast.
+HOT_BYTES = 64 << 20
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner", width: Column | None = None) -> DataFrame:
+    """Join ``right``, which has one row a key, to ``left``, where one key may hold any share of the rows.
+
+    Rows of hot keys stay where they are and get their right rows by a broadcast (``width``: bytes of
+    a right row, summed before); the others are shuffled. Both sides should be stored tables, as they are read twice.
+    """
+    least = max(HOT_ROWS, int(left.count() * HOT_SHARE))
+    hot = left.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > least).select(key)
+    keys = [tuple(r) for r in hot.collect()]
+    if not keys:
+        return left.join(right, key, how)
+    hot = left.sparkSession.createDataFrame(keys, hot.schema)
+    of_hot = right.join(F.broadcast(hot), key, "left_semi")
+    n, size = of_hot.agg(F.count("*"), F.sum(F.lit(64) if width is None else width)).first()
+    if not n or size > HOT_BYTES:
+        return left.join(right, key, how)
+    rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
+    return left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(of_hot), key, how).unionByName(rest)
+
+
 #: Python workers: freed memory goes back to the system, as they live as long as the session.
 WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576"}
 #: Arrow batches: rows can be whole documents, so the default of 10,000 is too many.
