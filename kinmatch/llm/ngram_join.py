@@ -1,21 +1,28 @@
-"""N-gram Jaccard self-join of documents as a blocked sparse product, and its components.
-
-Rows of the incidence matrix are documents, columns are distinct word n-grams. Sizes bound what can link:
-with similarity of at least t percent the smaller set A has at least t% of the larger's size, and both
-differ in at most D = |A|(100 - t)/t columns. Sizes fall into bands of that ratio, and each
-band deals the columns into more than D blocks, so that a linked pair is equal in one block at
-least. Only such pairs are multiplied: a shuffle brings equal blocks together; parity
-signatures of 512 columns (which never overstate a difference) and sizes discard pairs below the bound; what is
-left is multiplied exactly, block of columns after block, and given up as soon as the overlap so far and
-the columns to come fall short. A frequent n-gram is no hot key, as a whole block must be equal.
-
-Equal sets are one row. Of each equal block, every document first meets one hub, another one in
-each round; linked ones form components, and only documents of different components meet further, in the end
-all of them. So groups of copies are not expanded into pairs, and no link between components is lost.
+"""N-gram Jaccard self-join of documents as a blocked sparse product with size bounds, and its components.
+
+Rows of the incidence matrix are documents (equal sets are one row), columns are distinct word n-grams.
+With similarity of at least t a row of n columns has at least ceil(t n) columns in common with its partner,
+so it lacks at most n - ceil(t n) of them. The product is made in blocks of columns:
+
+1. Columns are counted by blocks of their hashes, and rows add up what they hold that no other row holds.
+   Rows with more of it than they may lack are discarded, first by a part of the columns, then by all
+   columns of the rows left. A row's batch sends a column that several of its rows hold only once.
+2. What is left is stored once, encoded. Its columns are put in order, the frequent ones last. Linked rows have
+   one of their first n - ceil(t n) + 1 columns in common, and only rows that do become pairs; a
+   frequent column is met only by rows that hardly have others.
+3. Pairs with sizes and 512-bit parity signatures (which never overstate a difference) within the bound are
+   multiplied: overlaps are accumulated block of columns after block for all pairs of a batch at
+   once, and pairs whose overlap so far and columns to come fall short are discarded after each block.
+
+Of each column, every row first meets one hub, another one in each round; linked ones form components, and
+only rows of different components meet further, in the end all of them, frequent columns split over
+tasks. So groups of copies are not expanded into pairs, and no link between components is lost.
 
 Defined cases: null and empty texts have size 0 and link with nothing; fewer words than n are one
-n-gram; a null doc_id links with nothing and has a null component; repeated rows are equal sets; an
-empty table gives no rows; other columns pass through ``dedup`` and are ignored by ``components``.
+n-gram; a text of any length is one row; rows without a doc_id are linked like others and come last in the order of
+ids (component null if no id is reachable); rows that repeat an id with other texts are rows of their own;
+ids are below 2**63 - 1; an empty table gives no rows; other columns pass through ``dedup``, whatever their names, and are
+ignored by ``components``.
 """
 
 from __future__ import annotations
@@ -28,58 +35,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinmatch.llm.textkit import U64, as_bytes, batches, mix, set_digest, shingle_sets
+from kinmatch.llm.textkit import U64, as_bytes, batches, mix, shingle_sets, with_columns
 from kinmatch.operators.cluster import connected_components
-from kinmatch.storage import discard, ensure_workers, materialise, restrict, spread
+from kinmatch.storage import discard, ensure_workers, lookup, materialise, restrict, spread
 
 #: Words of an n-gram and percent of similarity, unless a contract names others.
 WORDS, PERCENT = 5, 80
 SIGNATURE_BITS = 512
 WORDS64 = SIGNATURE_BITS // 64
-#: Rounds of stars before the documents of different components meet one by one.
-ROUNDS = 4
-#: Column blocks of the exact product.
-PRODUCT_BLOCKS = 8
-
-
-def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sizes of the bands up to ``most``, their numbers of column blocks, and the empty blocks allowed for."""
-    first = [1]
-    while first[-1] <= most:
-        first.append(max(first[-1] + 1, first[-1] * 100 // percent + 1))
-    s = np.array(first, np.int64)
-    differ = (s[1:] - 1) * (100 - percent) // percent
-    spare = np.where(differ > 0, np.maximum(1, np.rint(0.12 * (differ + 1))), 0).astype(np.int64)
-    return s[:-1], differ + 1 + spare, spare
-
-
-def block_keys(flat: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, key) of every block of every text: two bands each, its own and the one below."""
-    n = np.diff(offsets)
-    own = np.repeat(np.arange(len(n)), n)
-    first, blocks, spare = bands(percent, int(n.max(initial=1)))
-    band = np.searchsorted(first, n, "right") - 1
-    deal, value = mix(flat ^ U64(0x5851F42D4C957F2D)) >> U64(1), mix(flat ^ U64(0x14057B7EF767814F))
-    low, high = (value & U64(0x3FFFFFF)).astype(np.float64), ((value >> U64(26)) & U64(0x3FFFFFF)).astype(np.float64)
-    texts, keys = [], []
-    for below in (0, 1):
-        b = band - below
-        used = (n > 0) & (b >= 0)
-        m = np.where(used, blocks[np.maximum(b, 0)], 0)
-        base = np.concatenate(([0], np.cumsum(m)))
-        kept = used[own]
-        at = base[own[kept]] + (deal[kept] % m[own[kept]].astype(U64)).astype(np.int64)
-        held = np.bincount(at, minlength=base[-1])
-        sums = [np.bincount(at, weights=w[kept], minlength=base[-1]).astype(np.int64).astype(U64) for w in (low, high)]
-        text = np.repeat(np.arange(len(n)), m)
-        block = np.arange(base[-1]) - base[text]
-        empty = np.bincount(text[held == 0], minlength=len(n))
-        emit = (held > 0) | (empty > spare[np.maximum(b, 0)])[text]  # sums over 2**26 values stay exact in a double
-        key = mix(sums[0] + sums[1] * U64(0x9E3779B97F4A7C15)) + held.astype(U64)
-        key = mix(key ^ mix((b[text] << 32 | block).astype(U64)))
-        texts.append(text[emit])
-        keys.append(key[emit])
-    return np.concatenate(texts), np.concatenate(keys).astype(np.int64)
+#: Rounds of stars before the rows of different components meet one by one, if these are over so many pairs for each row of a column.
+ROUNDS, FEW_PAIRS = 4, 4
+#: Column blocks of the exact product; columns counted in one block of the first step.
+PRODUCT_BLOCKS, BLOCK_COLUMNS = 8, 500_000
+#: Bits of a column that are counted; more rows than there are make a column look shared at most.
+COLUMN_BITS = 48
+#: A column is frequent if it is met this often in a batch, and by this many rows or this share of them in all.
+IN_BATCH, IN_ALL, SHARE_OF_ALL = 8, 64, 1 / 500
+#: Rows of a column that one task compares with all others of it.
+SPLIT_ROWS = 500
+#: Stands for a null doc_id.
+LAST = 2**63 - 1
+
+
+def lacking(n: np.ndarray, percent: int) -> np.ndarray:
+    """Columns of a row of ``n`` from which a linked row holds one at least."""
+    return n + percent * n // -100 + 1
+
+
+def need(size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """Overlap from which two rows of these sizes link."""
+    return -(-percent * (size_a + size_b) // (100 + percent))
 
 
 def signature(s: np.ndarray) -> list[int]:
@@ -88,62 +73,192 @@ def signature(s: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view("<i8").tolist()
 
 
-def need(size_a: int, size_b: int, percent: int) -> int:
-    """Overlap from which two sets of these sizes link."""
-    return -(-percent * (size_a + size_b) // (100 + percent))
+def digests(flat: np.ndarray, offsets: np.ndarray, salt: int) -> np.ndarray:
+    """64 bits of each set, whatever the order."""
+    total = np.zeros(len(flat) + 1, U64)
+    np.cumsum(mix(flat ^ mix(np.array([salt], U64))), out=total[1:])
+    return mix((total[offsets[1:]] - total[offsets[:-1]]) ^ np.diff(offsets).astype(U64)).astype(np.int64)
+
+
+def multiply(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (a, b) of numbers of ``rows`` (ascending columns) link: the product where pairs stand, by blocks of columns."""
+    size = np.array([len(r) for r in rows])
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), size)
+    block = (flat >> U64(64 - (PRODUCT_BLOCKS - 1).bit_length())).astype(np.int64)
+    held = np.bincount(owner * PRODUCT_BLOCKS + block, minlength=len(rows) * PRODUCT_BLOCKS).reshape(len(rows), -1)
+    begin = np.concatenate(([0], np.cumsum(size)))
+    edge = begin[:-1, None] + np.concatenate((np.zeros((len(rows), 1), np.int64), np.cumsum(held, axis=1)), axis=1)
+    rank = np.unique(flat, return_inverse=True)[1]
+    entries = owner << 32 | rank  # ascending, as rows and columns in them are
+    overlap, least, alive = np.zeros(len(a), np.int64), need(size[a], size[b], percent), np.arange(len(a))
+    for k in range(PRODUCT_BLOCKS):
+        x, y = a[alive], b[alive]
+        count = edge[x, k + 1] - edge[x, k]
+        first = np.cumsum(count) - count
+        at = np.repeat(edge[x, k] - first, count) + np.arange(count.sum())
+        asked = np.repeat(y, count) << 32 | rank[at]
+        hit = entries[np.minimum(np.searchsorted(entries, asked), len(entries) - 1)] == asked
+        overlap[alive] += np.bincount(np.repeat(np.arange(len(alive)), count), hit, len(alive)).astype(np.int64)
+        left = np.minimum(begin[x + 1] - edge[x, k + 1], begin[y + 1] - edge[y, k + 1])
+        alive = alive[overlap[alive] + left >= least[alive]]
+    out = np.zeros(len(a), bool)
+    out[alive] = True
+    return out
+
+
+def _matrix(pdf: pd.DataFrame, words: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(flat columns, offsets, row) of a batch of texts."""
+    flat, sizes, rows = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for group in batches(as_bytes(pdf["text"], lower=True)):
+        f, offsets = shingle_sets(group, words)
+        flat.append(f)
+        sizes.append(np.diff(offsets))
+        rows.append(digests(f, offsets, salt))
+    return np.concatenate(flat), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), np.concatenate(rows)
+
+
+def _sizes(parts: Iterator[pd.DataFrame], words: int, salt: int) -> Iterator[pd.DataFrame]:
+    for pdf in parts:
+        flat, offsets, row = _matrix(pdf, words, salt)
+        check = digests(flat, offsets, salt + (1 << 32))
+        yield pd.DataFrame({"id": pdf["id"], "n": np.diff(offsets), "row": row, "check": check})
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two ascending sets link: overlaps are added up by blocks of columns."""
-    least, edges = need(len(a), len(b), percent), np.arange(1, PRODUCT_BLOCKS, dtype=U64) * U64((1 << 64) // PRODUCT_BLOCKS)
-    at, bt = (np.concatenate(([0], np.searchsorted(x, edges), [len(x)])) for x in (a, b))
-    overlap = 0
-    for k in range(PRODUCT_BLOCKS):
-        if overlap + min(len(a) - at[k], len(b) - bt[k]) < least:
-            return False
-        overlap += len(np.intersect1d(a[at[k] : at[k + 1]], b[bt[k] : bt[k + 1]], assume_unique=True))
-    return overlap >= least > 0
+def packed(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def _sets(column: pd.Series, words: int) -> Iterator[np.ndarray]:
-    for group in batches(as_bytes(column, lower=True)):
-        flat, offsets = shingle_sets(group, words)
-        yield from (flat[offsets[i] : offsets[i + 1]] for i in range(len(group)))
+def unpacked(raw: bytes, width: int) -> np.ndarray:
+    """Numbers that :func:`packed` was given."""
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
 
 
-def _digests(parts: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
-    for pdf in parts:
-        rows = [(len(s), *set_digest(s)) for s in _sets(pdf["text"], words)]
-        out = pd.DataFrame(rows, columns=["n_shingles", "d1", "d2"])
-        yield pd.concat([pdf["doc_id"].reset_index(drop=True), out], axis=1)
+def tags_of(row: np.ndarray, tag: int) -> np.ndarray:
+    """The low ``tag`` bytes of rows, but for all ones, which mean several rows."""
+    several = U64((1 << 8 * tag) - 1)
+    return np.minimum(row.astype(U64) & several, several - U64(1))
+
+
+ENTRIES = "block int, first long, width int, gaps binary, tags binary, rows binary"
+
 
+def _entries(parts: Iterator[pd.DataFrame], words: int, salt: int, part: float, blocks: int, tag: int) -> Iterator[pd.DataFrame]:
+    """Columns of a batch by blocks, with the low ``tag`` bytes of the one row that holds each (all ones: several do).
 
-def _block_rows(parts: Iterator[pd.DataFrame], words: int, percent: int) -> Iterator[pd.DataFrame]:
+    One of the batch's lines also carries its rows: row, size, columns counted that no other row of the batch holds.
+    """
+    several = (1 << 8 * tag) - 1
     for pdf in parts:
-        ids, first = pdf["doc_id"].to_numpy(), 0
-        for group in batches(as_bytes(pdf["text"], lower=True)):
-            text, key = block_keys(*shingle_sets(group, words), percent)
-            yield pd.DataFrame({"key": key, "doc": ids[first + text]})
-            first += len(group)
+        flat, offsets, row = _matrix(pdf, words, salt)
+        size = np.diff(offsets)
+        once = np.zeros(len(row), bool)
+        once[np.unique(row, return_index=True)[1]] = True
+        once &= size > 0
+        if not once.any():
+            continue
+        owner = np.repeat(np.arange(len(row)), size)
+        counted = once[owner] & (flat >= U64(0) if part >= 1 else flat < U64(int(part * 2**64)))
+        column, owner = flat[counted] >> U64(64 - COLUMN_BITS), owner[counted]
+        order = np.argsort(column)
+        column, owner = column[order], owner[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(column)), bool), column[1:] != column[:-1])))
+        alone = np.diff(np.concatenate((first, [len(column)]))) == 1
+        column, owner = column[first], owner[first]
+        single = np.bincount(owner[alone], minlength=len(row))
+        tags = np.where(alone, tags_of(row[owner], tag), U64(several))
+        block = np.minimum((column.astype(np.float64) * (blocks / (part * 2.0**COLUMN_BITS))).astype(np.int64), blocks - 1)
+        edges = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)])) if len(block) else [0, 0]
+        held = np.stack((row, size, single), axis=1)[once].astype("<i8").tobytes()
+        carrier, out = int(row[0]) % (len(edges) - 1), []
+        for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            gaps = np.diff(column[i:j])
+            width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
+            out.append((int(block[i]) if j > i else 0, int(column[i]) if j > i else 0, width, packed(gaps, width), packed(tags[i:j], tag), held if k == carrier else None))
+        yield pd.DataFrame(out, columns=["block", "first", "width", "gaps", "tags", "rows"])
+
+
+def _shared(pdf: pd.DataFrame, *, tag: int) -> pd.DataFrame:
+    """Columns of a block that several rows hold, counted by tag (n 0), and the rows that lines carry."""
+    columns, tags, rows = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros((0, 3), np.int64)]
+    for first, width, gaps, tagged, carried in zip(pdf["first"], pdf["width"], pdf["gaps"], pdf["tags"], pdf["rows"], strict=True):
+        t = unpacked(bytes(tagged), tag)
+        if len(t):
+            columns.append(np.concatenate(([U64(first)], U64(first) + np.cumsum(unpacked(bytes(gaps), width)))))
+            tags.append(t)
+        if carried is not None:
+            rows.append(np.frombuffer(bytes(carried), "<i8").reshape(-1, 3))
+    column, tags, rows = np.concatenate(columns), np.concatenate(tags), np.concatenate(rows)
+    order = np.argsort(column)
+    column, tags = column[order], tags[order]
+    found, times = np.zeros(0, U64), np.zeros(0, np.int64)
+    if len(column):
+        first = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
+        times = np.diff(np.concatenate((first, [len(column)])))  # equal tags may be two rows
+        held = np.repeat(times > 1, times) & (tags != U64((1 << 8 * tag) - 1))
+        found, times = np.unique(tags[held], return_counts=True)
+    own = tags_of(rows[:, 0], tag)
+    none = np.zeros(len(found), np.int64)
+    return pd.DataFrame({"tag": np.concatenate((own, found)).astype(np.int64), "shared": np.concatenate((np.zeros(len(own), np.int64), times)), "row": np.concatenate((rows[:, 0], none)), "n": np.concatenate((rows[:, 1], none)), "single": np.concatenate((rows[:, 2], none))})
+
+
+def peel(texts: DataFrame, words: int, percent: int, salt: int, part: float, columns: int, n_rows: int) -> DataFrame:
+    """Rows (row) of ``texts`` whose columns, among the first ``part`` of all, leave room for a link.
+
+    ``columns`` and ``n_rows`` say how many there are. Rows with equal tags add up what they share,
+    which may keep a row but never discards one.
+    """
+    parallel = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tag = max(2, -(-(max(1, n_rows).bit_length() + 4) // 8))
+    blocks = max(parallel, int(columns * part) // BLOCK_COLUMNS + 1)
+    entries = texts.mapInPandas(partial(_entries, words=words, salt=salt, part=part, blocks=blocks, tag=tag), ENTRIES)
+    counted = entries.groupBy("block").applyInPandas(partial(_shared, tag=tag), "tag long, shared long, row long, n long, single long")
+    held = F.collect_set(F.when(F.col("n") > 0, F.struct("row", "n", "single"))).alias("held")
+    rows = counted.groupBy("tag").agg(F.sum("shared").alias("shared"), held).select("shared", F.explode("held").alias("h")).select("shared", "h.*")
+    return rows.where(F.col("single") - F.col("shared") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("row").distinct()
+
+
+def _encoded(parts: Iterator[pd.DataFrame], words: int, salt: int) -> Iterator[pd.DataFrame]:
+    for pdf in parts:
+        flat, offsets, row = _matrix(pdf, words, salt)
+        sets = [flat[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+        out = pd.DataFrame([(r, len(s), s.astype("<u8").tobytes(), *signature(s)) for r, s in zip(row.tolist(), sets, strict=True) if len(s)], columns=["row", "n", "columns", *[f"s{k}" for k in range(WORDS64)]])
+        yield out.drop_duplicates("row")
 
 
-def _signed(parts: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
+def _often(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
-        rows = [(len(s), *signature(s)) for s in _sets(pdf["text"], words)]
-        out = pd.DataFrame(rows, columns=["n", *[f"s{k}" for k in range(WORDS64)]])
-        yield pd.concat([pdf[["doc_id", "text"]].reset_index(drop=True).rename(columns={"doc_id": "doc"}), out], axis=1)
+        column, n = np.unique(np.concatenate([np.zeros(0, "<u8"), *[np.frombuffer(bytes(x), "<u8") for x in pdf["columns"]]]), return_counts=True)
+        yield pd.DataFrame({"column": column[n >= IN_BATCH].astype(np.int64), "n": n[n >= IN_BATCH]})
 
 
-def _multiply(parts: Iterator[pd.DataFrame], words: int, percent: int) -> Iterator[pd.DataFrame]:
+def _firsts(parts: Iterator[pd.DataFrame], percent: int, shipped) -> Iterator[pd.DataFrame]:
+    """The first columns of each row, frequent ones last."""
+    frequent, place = shipped.value
+    for pdf in parts:
+        keys = []
+        for raw in pdf["columns"]:
+            s = np.frombuffer(bytes(raw), "<u8")
+            if len(frequent):
+                at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+                s = s[np.argsort(np.where(frequent[at] == s, place[at] + 1, 0), kind="stable")]
+            keys.append(s[: lacking(len(s), percent)])
+        n = [len(k) for k in keys]
+        yield pd.DataFrame({"key": np.concatenate([np.zeros(0, "<u8"), *keys]).astype(np.int64), "row": np.repeat(pdf["row"].to_numpy(np.int64), n)})
+
+
+def _multiplied(parts: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     for pdf in parts:
-        for k in range(0, len(pdf), 512):
-            part = pdf.iloc[k : k + 512]
-            known: dict[int, np.ndarray] = {}
-            for side in ("a", "b"):
-                new = part.drop_duplicates(side)
-                new = new[~new[side].isin(known.keys())]
-                known.update(zip(new[side], _sets(new[f"text_{side}"], words), strict=True))
-            yield part.loc[[linked(known[a], known[b], percent) for a, b in zip(part["a"], part["b"], strict=True)], ["a", "b"]]
+        if len(pdf):
+            number = {r: k for k, r in enumerate(pd.unique(pd.concat([pdf["a"], pdf["b"]])))}
+            rows: list = [None] * len(number)
+            for x in ("a", "b"):
+                for r, raw in zip(pdf[x], pdf[f"{x}_columns"], strict=True):
+                    if rows[number[r]] is None:
+                        rows[number[r]] = np.frombuffer(bytes(raw), "<u8")
+            yield pdf.loc[multiply(rows, *[pdf[x].map(number).to_numpy(np.int64) for x in ("a", "b")], percent), ["a", "b"]]
 
 
 def _bounded(percent: int) -> Column:
@@ -153,68 +268,141 @@ def _bounded(percent: int) -> Column:
     return (F.least("a_n", "b_n") >= least) & (parity <= F.col("a_n") + F.col("b_n") - 2 * least)
 
 
-def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, rep) of every row, and links (a, b) that connect the representatives' components."""
-    ensure_workers(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = texts.where("doc_id is not null")
-    sized = materialise(spread(texts).mapInPandas(partial(_digests, words=words), "doc_id long, n_shingles long, d1 long, d2 long"), "sizes")
-    same = ["n_shingles", "d1", "d2"]
-    reps = sized.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    members = materialise(sized.join(reps, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "members")
-    discard(sized)
-    copies = members.where("doc_id <> rep").select("doc_id").distinct()
-
-    rows = spread(restrict(named, copies, "doc_id", "left_anti")).mapInPandas(partial(_block_rows, words=words, percent=percent), "key long, doc long")
-    size = F.count("*").over(Window.partitionBy("key"))
-    shared = materialise(rows.withColumn("size", size).where("size > 1").select("key", "doc"), "blocks")
-    signed = materialise(restrict(named, shared.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").mapInPandas(partial(_signed, words=words), "doc long, text string, n long, " + ", ".join(f"s{k} long" for k in range(WORDS64))), "candidates")
-    side = lambda x: signed.drop("text").select(F.col("doc").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in signed.columns if c not in ("doc", "text")])
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        text = lambda x: signed.select(F.col("doc").alias(x), F.col("text").alias(f"text_{x}"))
-        return materialise(pairs.select("a", "b").join(text("b"), "b").join(text("a"), "a").mapInPandas(partial(_multiply, words=words, percent=percent), "a long, b long"), name)
-
-    def opened(told: DataFrame, hub: Column) -> DataFrame:
-        """Rows of the blocks where components still meet, with one of the block's documents as hub."""
-        keys = told.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by(F.struct("doc", "component"), hub).alias("hub"))
-        return told.join(keys.where("x <> y").select("key", "hub"), "key")
-
-    # Stars: in each block that is open every document meets the hub, another one in each round.
-    told, links, held = shared.withColumn("component", F.col("doc")), None, shared
+def _renamed(df: DataFrame, x: str, *keep: str) -> DataFrame:
+    return df.select(*keep, *[F.col(c).alias(x if c == "row" else f"{x}_{c}") for c in df.columns if c not in keep])
+
+
+def _links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect the components of the encoded ``rows``."""
+    spark = rows.sparkSession
+    total = rows.count()
+    often = rows.select("columns").mapInPandas(_often, "column long, n long").groupBy("column").agg(F.sum("n").alias("n"))
+    # At most 500 times the mean size of a row: every frequent column takes a 500th of the rows.
+    often = often.where(F.col("n") >= max(IN_ALL, total * SHARE_OF_ALL)).toPandas().sort_values(["n", "column"])
+    frequent, place = often["column"].to_numpy(np.int64).astype(U64), np.arange(len(often))
+    order = np.argsort(frequent)
+    shipped = spark.sparkContext.broadcast((frequent[order], place[order]))
+    keys = materialise(rows.select("row", "columns").mapInPandas(partial(_firsts, percent=percent, shipped=shipped), "key long, row long"), "first-columns")
+    met = keys.groupBy("key").agg(F.count("*").alias("met")).where("met > 1").select("key")
+    told = materialise(lookup(keys, met, "key").withColumn("component", F.col("row")), "first-columns")
+    discard(keys)
+    sides = rows.drop("columns")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that link; a hub's columns are not shuffled to one task."""
+        held = rows.select("row", "columns")
+        both = lookup(pairs, _renamed(held, "a"), "a", width=F.length("a_columns")).join(_renamed(held, "b"), "b")
+        return materialise(both.mapInPandas(partial(_multiplied, percent=percent), "a long, b long"), "links")
+
+    def opened(hub: Column) -> DataFrame:
+        """Columns where components still meet, each with one of its rows as hub."""
+        of = told.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by(F.struct("row", "component"), hub).alias("hub"))
+        return of.where("x <> y").select("key", "hub")
+
+    links = spark.createDataFrame([], "a long, b long")
     for turn in range(ROUNDS):
-        star = opened(told, F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))).where("component <> hub.component")
-        star = star.select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b")).distinct()
-        star = star.join(side("a"), "a").join(side("b"), "b").where(_bounded(percent))
-        if turn == 0:  # most documents need one partner only
+        each = told.groupBy("key").agg(F.count("*").alias("met"))
+        held, pairs = each.agg(F.coalesce(F.sum("met"), F.lit(0)), F.coalesce(F.sum(F.col("met") * (F.col("met") - 1) / 2), F.lit(0))).first()
+        if pairs <= FEW_PAIRS * held:
+            break
+        star = lookup(told, opened(F.xxhash64("row", F.lit(turn))), "key").where("component <> hub.component")
+        star = star.select(F.col("hub.row").alias("a"), F.col("row").alias("b")).distinct()
+        if turn == 0:  # most rows need one partner only
             star = star.groupBy("b").agg(F.min("a").alias("a"))
-        found = verified(star, "links")
-        links = found if links is None else links.union(found)
-        component = materialise(connected_components(links, "a", "b").select(F.col("id").alias("doc"), "component"), "components")
-        told = told.drop("component").join(component, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-        before, told = held, materialise(opened(told, F.col("doc")).drop("hub"), "blocks")
+        star = materialise(star.join(_renamed(sides, "a"), "a").join(_renamed(sides, "b"), "b").where(_bounded(percent)).select("a", "b"), "stars")
+        found = verified(star)
+        discard(star)
+        links = links.union(found)
+        component = connected_components(links, "a", "b").select(F.col("id").alias("row"), "component")
+        now = materialise(told.drop("component").join(component, "row", "left").select("key", "row", F.coalesce("component", "row").alias("component")), "first-columns")
+        discard(told)
+        told = materialise(lookup(now, opened_keys(now), "key"), "first-columns")
+        discard(now)
+    # All pairs of rows of different components in what is still open.
+    sizes = told.groupBy("key").agg(F.ceil(F.count("*") / SPLIT_ROWS).cast("int").alias("splits"))
+    left = materialise(lookup(told, sizes, "key").join(sides, "row"), "open-columns")
+    one = _renamed(left, "a", "key", "splits").withColumn("split", F.pmod(F.xxhash64("a"), F.col("splits")).cast("int"))
+    other = _renamed(left, "b", "key", "splits").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits")
+    pairs = one.join(other, ["key", "split"]).where("a < b and a_component <> b_component").where(_bounded(percent)).select("a", "b").distinct()
+    pairs = materialise(pairs, "pairs")
+    out = links.union(verified(pairs))
+    for table in (told, left, pairs):
+        discard(table)
+    return out
+
+
+def opened_keys(told: DataFrame) -> DataFrame:
+    """Columns (key) whose rows are of several components."""
+    return told.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+
+
+def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (id, n, row) of ``docs``, the component (row, component_id) of each matrix row, and the salt of the digests."""
+    ensure_workers(docs.sparkSession)
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text")
+    salt = 0
+    while True:  # until no two sets have one digest
+        sized = materialise(spread(texts).mapInPandas(partial(_sizes, words=words, salt=salt), "id long, n long, row long, check long"), "sizes")
+        held = F.countDistinct("check", "n").alias("sets")
+        groups = materialise(sized.groupBy("row").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.min("check").alias("x"), F.max("check").alias("y")), "rows")
+        if not groups.where("x <> y").limit(1).count():
+            break
+        salt += 1
+    groups = groups.drop("x", "y")
+    n_rows, columns = groups.where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # One text of each row is worked on: ids all of whose texts are copies of a smaller id's are left out.
+    by_id = lookup(sized.select("id", "row"), groups.select("row", "least"), "row").groupBy("id").agg((F.min("row") != F.max("row")).alias("several"), F.min("least").alias("least"))
+    copies = by_id.where("not several and id <> least").select("id")
+    rows_of = lambda alive: restrict(texts, alive.join(groups, "row").select(F.col("least").alias("id")).distinct(), "id")
+    part = min(1.0, 2.5 * (100 - percent) / 100)
+    alive = materialise(peel(spread(restrict(texts, materialise(copies, "copies"), "id", "left_anti")), words, percent, salt, part, columns, n_rows), "rows-left")
+    if part < 1 or alive.count() < n_rows:
+        held = alive.join(groups, "row").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        before, alive = alive, materialise(peel(spread(rows_of(alive)), words, percent, salt, 1.0, held[1], held[0]), "rows-left")
         discard(before)
-        held = told
-    # All pairs of documents of different components in what is still open.
-    left = materialise(told.join(signed.drop("text"), "doc"), "blocks")
-    discard(held)
-    named_as = lambda x: left.select("key", *[F.col(c).alias(x if c == "doc" else f"{x}_{c}") for c in left.columns if c != "key"])
-    pairs = named_as("a").join(named_as("b"), "key").where("a < b and a_component <> b_component").where(_bounded(percent)).select("a", "b").distinct()
-    return members, links.union(verified(materialise(pairs, "pairs"), "links"))
+    encoded = spread(rows_of(alive)).mapInPandas(partial(_encoded, words=words, salt=salt), "row long, n long, columns binary, " + ", ".join(f"s{k} long" for k in range(WORDS64)))
+    if sized.count() > n_rows:  # a row may come with several texts
+        encoded = encoded.dropDuplicates(["row"])
+    encoded = materialise(encoded, "encoded-rows")
+    component = connected_components(_links(encoded, percent), "a", "b").select(F.col("id").alias("row"), "component")
+    discard(encoded)
+    labels = groups.join(component, "row", "left").select("row", "n", "least", F.coalesce("component", "row").alias("component"))
+    least = labels.groupBy("component").agg(F.min("least").alias("component_id"))
+    labels = materialise(labels.join(least, "component").select("row", F.when(F.col("n") > 0, F.col("component_id")).alias("component_id")), "labels")
+    discard(groups)
+    return sized, labels, salt
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    members, links = classes(docs, words, percent)
-    component = connected_components(links, "a", "b").select(F.col("id").alias("rep"), "component")
-    return members.join(component, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    sized, labels, _ = _labelled(docs, words, percent)
+    known = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    return lookup(sized, labels, "row").select(known("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(known("component_id"), known("id")).alias("component_id"))
 
 
 def dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with the document of the smallest id of each component, and one row of equal rows of it."""
-    gone = materialise(components(docs, words, percent).where("doc_id <> component_id").select("doc_id").distinct(), "near_copies")
-    kept = restrict(docs.withColumn("__id", F.col("doc_id").cast("long")), gone.select(F.col("doc_id").alias("__id")), "__id", "left_anti")
-    return kept.drop("__id")
+    """``docs`` with one row of each component: the one of the smallest id (null last), of the smallest digest among its texts."""
+    sized, labels, salt = _labelled(docs, words, percent)
+    told = materialise(lookup(sized, labels, "row").select("id", "row", "n", "component_id"), "members")
+    discard(sized)
+    # Ids with one row are decided by their id, all others (and nulls) by id, digest and place among equal rows.
+    of_id = told.groupBy("id").agg(F.count("*").alias("texts"), F.min(F.coalesce(F.col("component_id"), F.col("id"))).alias("least"))
+    odd = materialise(of_id.where(F.col("texts") > 1).select("id"), "repeated-ids")
+    gone = materialise(of_id.where("texts = 1 and id <> least").select("id"), "near-copies")
+    names = docs.columns
+    own = "__id" + "_" * max(map(len, names))
+    keyed = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    drop = lambda df, ids, how="left_anti": restrict(df, ids.withColumnRenamed("id", own), own, how)
+    if not odd.limit(1).count():
+        return drop(keyed, gone).select(*[F.col(f"`{c}`") for c in names])
+    first = told.where("n > 0").groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("x")).select(F.col("x.id").alias("id"), F.col("x.row").alias("row")).withColumn("first", F.lit(True))
+    told = told.select("id", "row", "n").distinct().join(first, ["id", "row"], "left").join(odd, "id").select(F.col("id").alias(own), F.col("row").alias(own + "r"), F.coalesce("first", F.col("n") == 0).alias(own + "k"), (F.col("n") == 0).alias(own + "e"))
+    sets = lambda ts: {own + "r": _matrix(pd.DataFrame({"text": ts}), words, salt)[2].tolist()}
+    repeated = with_columns(drop(keyed, odd, "left_semi"), sets, f"{own}r long").join(told, [own, own + "r"]).where(F.col(own + "k"))
+    nth = F.row_number().over(Window.partitionBy(own, own + "r").orderBy(F.xxhash64("text")))
+    repeated = repeated.withColumn(own + "n", nth).where(F.col(own + "e") | (F.col(own + "n") == 1))
+    pick = [F.col(f"`{c}`") for c in names]
+    return drop(drop(keyed, odd), gone).select(*pick).union(repeated.select(*pick))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,7 +116,44 @@ def test_product_bounds():
         a = np.unique(rng.integers(0, 80, 40).astype(np.uint64) * np.uint64(230584300921369395))
         b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.9], rng.integers(0, 80, 3).astype(np.uint64) * np.uint64(230584300921369395))))
         inter = len(np.intersect1d(a, b))
-        assert ngram_join.linked(a, b, 80) == (100 * inter >= 80 * (len(a) + len(b) - inter))
+        assert ngram_join.multiply([a, b], np.array([0]), np.array([1]), 80).tolist() == [100 * inter >= 80 * (len(a) + len(b) - inter)]
+
+
+def test_product_of_many_pairs():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    rows = [np.unique(np.concatenate((base[rng.random(60) < 0.93], rng.integers(0, 2**64, rng.integers(0, 5), dtype=np.uint64)))) for _ in range(40)]
+    a, b = np.triu_indices(40, 1)
+    inter = np.array([len(np.intersect1d(rows[x], rows[y])) for x, y in zip(a, b, strict=True)])
+    size = np.array([len(r) for r in rows])
+    want = 100 * inter >= 85 * (size[a] + size[b] - inter)
+    assert (ngram_join.multiply(rows, a, b, 85) == want).all() and 0 < want.sum() < len(want)
+
+
+def test_packed_numbers():
+    x = np.array([0, 1, 255, 256, 2**24 - 1], np.uint64)
+    assert ngram_join.unpacked(ngram_join.packed(x, 3), 3).tolist() == x.tolist()
+
+
+def test_unrelated_with_a_footer(spark):
+    """Documents that share a footer only leave no rows to compare."""
+    rng = random.Random(7)
+    footer = " ".join(f"footer{k}" for k in range(22))
+    docs = [(k, " ".join(f"w{rng.randrange(10**9)}" for _ in range(rng.randint(12, 200))) + " " + footer) for k in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumnRenamed("doc_id", "id")
+    assert ngram_join.peel(df, 3, 90, 0, 1.0, 600 * 120, 600).count() == 0
+    assert ngram_join.peel(df, 3, 80, 0, 1.0, 600 * 120, 600).count() == 0
+
+
+def test_links_without_ids_and_with_repeated_ids(spark):
+    a = " ".join(f"a{k}" for k in range(60))
+    b = " ".join(f"b{k}" for k in range(60))
+    rows = [(3, a, 1), (5, a + " x", 2), (5, b, 3), (None, b + " y", 4), (None, "alone in the world of texts", 5), (None, "alone in the world of texts", 6), (7, "two equal rows of one id", 7), (7, "two equal rows of one id", 8), (9, None, 9), (9, None, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id long")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.components(docs).collect()), key=str)
+    assert got == sorted([(3, 56, 3), (5, 57, 3), (5, 56, 5), (None, 57, 5), (None, 2, None), (None, 2, None), (7, 2, 7), (7, 2, 7), (9, 0, 9), (9, 0, 9)], key=str)
+    kept = sorted(r["__id"] for r in ngram_join.dedup(docs).collect())
+    assert [x for x in kept if x not in (5, 6, 7, 8)] == [1, 3, 9, 10] and len(kept) == 6
 
 
 # Suffix dedup
