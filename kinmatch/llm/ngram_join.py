@@ -7,8 +7,9 @@ so it lacks at most n - ceil(t n) of them. The product is made in blocks of colu
 1. Columns are counted by blocks of their hashes, and rows add up what they hold that no other row holds.
    Rows with more of it than they may lack are discarded, first by a part of the columns, then by all
    columns of the rows left. A row's batch sends a column that several of its rows hold only once.
-2. What is left is stored once, encoded. Its columns are put in order, the frequent ones last. Linked rows have
-   one of their first n - ceil(t n) + 1 columns in common, and only rows that do become pairs; a
+2. What is left is stored once, encoded. Its columns are put in order, the rarest first. Linked rows have
+   a column in common that is among the first n - ceil(t n) + 1 of the larger row and the first
+   n - ceil(2 t n / (1 + t)) + 1 of the smaller, and only rows that do become pairs; a
    frequent column is met only by rows that hardly have others.
 3. Pairs with sizes and 512-bit parity signatures (which never overstate a difference) within the bound are
    multiplied: overlaps are accumulated block of columns after block for all pairs of a batch at
@@ -43,14 +44,14 @@ from kinmatch.storage import discard, ensure_workers, lookup, materialise, restr
 WORDS, PERCENT = 5, 80
 SIGNATURE_BITS = 512
 WORDS64 = SIGNATURE_BITS // 64
-#: Rounds of stars before the rows of different components meet one by one, if these are over so many pairs for each row of a column.
-ROUNDS, FEW_PAIRS = 4, 4
+#: Rounds of stars before the rows of different components meet one by one.
+ROUNDS = 2
 #: Column blocks of the exact product; columns counted in one block of the first step.
 PRODUCT_BLOCKS, BLOCK_COLUMNS = 8, 500_000
 #: Bits of a column that are counted; more rows than there are make a column look shared at most.
 COLUMN_BITS = 48
 #: A column is frequent if it is met this often in a batch, and by this many rows or this share of them in all.
-IN_BATCH, IN_ALL, SHARE_OF_ALL = 8, 64, 1 / 500
+IN_BATCH, IN_ALL, SHARE_OF_ALL = 8, 1000, 1 / 500
 #: Rows of a column that one task compares with all others of it.
 SPLIT_ROWS = 500
 #: Stands for a null doc_id.
@@ -180,7 +181,7 @@ def _entries(parts: Iterator[pd.DataFrame], words: int, salt: int, part: float,
         yield pd.DataFrame(out, columns=["block", "first", "width", "gaps", "tags", "rows"])
 
 
-def _shared(pdf: pd.DataFrame, *, tag: int) -> pd.DataFrame:
+def _shared(pdf: pd.DataFrame, tag: int) -> pd.DataFrame:
     """Columns of a block that several rows hold, counted by tag (n 0), and the rows that lines carry."""
     columns, tags, rows = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros((0, 3), np.int64)]
     for first, width, gaps, tagged, carried in zip(pdf["first"], pdf["width"], pdf["gaps"], pdf["tags"], pdf["rows"], strict=True):
@@ -214,7 +215,10 @@ def peel(texts: DataFrame, words: int, percent: int, salt: int, part: float, col
     tag = max(2, -(-(max(1, n_rows).bit_length() + 4) // 8))
     blocks = max(parallel, int(columns * part) // BLOCK_COLUMNS + 1)
     entries = texts.mapInPandas(partial(_entries, words=words, salt=salt, part=part, blocks=blocks, tag=tag), ENTRIES)
-    counted = entries.groupBy("block").applyInPandas(partial(_shared, tag=tag), "tag long, shared long, row long, n long, single long")
+    def shared(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _shared(pdf, tag)
+
+    counted = entries.groupBy("block").applyInPandas(shared, "tag long, shared long, row long, n long, single long")
     held = F.collect_set(F.when(F.col("n") > 0, F.struct("row", "n", "single"))).alias("held")
     rows = counted.groupBy("tag").agg(F.sum("shared").alias("shared"), held).select("shared", F.explode("held").alias("h")).select("shared", "h.*")
     return rows.where(F.col("single") - F.col("shared") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("row").distinct()
@@ -234,19 +238,31 @@ def _often(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"column": column[n >= IN_BATCH].astype(np.int64), "n": n[n >= IN_BATCH]})
 
 
-def _firsts(parts: Iterator[pd.DataFrame], percent: int, shipped) -> Iterator[pd.DataFrame]:
-    """The first columns of each row, frequent ones last."""
-    frequent, place = shipped.value
+def _split(raw: bytes, frequent: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row's rare columns, and its frequent ones in order."""
+    s = np.frombuffer(bytes(raw), "<u8")
+    if not len(frequent):
+        return s, s[:0]
+    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+    often = frequent[at] == s
+    return s[~often], s[often][np.argsort(place[at[often]])]
+
+
+def _rare(parts: Iterator[pd.DataFrame], shipped) -> Iterator[pd.DataFrame]:
     for pdf in parts:
-        keys = []
-        for raw in pdf["columns"]:
-            s = np.frombuffer(bytes(raw), "<u8")
-            if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                s = s[np.argsort(np.where(frequent[at] == s, place[at] + 1, 0), kind="stable")]
-            keys.append(s[: lacking(len(s), percent)])
-        n = [len(k) for k in keys]
-        yield pd.DataFrame({"key": np.concatenate([np.zeros(0, "<u8"), *keys]).astype(np.int64), "row": np.repeat(pdf["row"].to_numpy(np.int64), n)})
+        for k in range(0, len(pdf), 256):
+            part = pdf.iloc[k : k + 256]
+            sets = [_split(raw, *shipped.value)[0] for raw in part["columns"]]
+            yield pd.DataFrame({"column": np.concatenate(sets).astype(np.int64), "row": np.repeat(part["row"].to_numpy(np.int64), [len(s) for s in sets])})
+
+
+def _heads(parts: Iterator[pd.DataFrame], percent: int, shipped) -> Iterator[pd.DataFrame]:
+    for pdf in parts:
+        sets = [_split(raw, *shipped.value) for raw in pdf["columns"]]
+        first = lacking(pdf["n"].to_numpy(np.int64), percent)
+        n = pdf["n"].to_numpy(np.int64)
+        near = n - need(n, n, percent) + 1
+        yield pd.DataFrame({"row": pdf["row"], "first": first, "near": near, "rare": [len(r) for r, _ in sets], "often": [o[:k].astype(np.int64) for (_, o), k in zip(sets, first, strict=True)]})
 
 
 def _multiplied(parts: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
@@ -282,29 +298,34 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
     frequent, place = often["column"].to_numpy(np.int64).astype(U64), np.arange(len(often))
     order = np.argsort(frequent)
     shipped = spark.sparkContext.broadcast((frequent[order], place[order]))
-    keys = materialise(rows.select("row", "columns").mapInPandas(partial(_firsts, percent=percent, shipped=shipped), "key long, row long"), "first-columns")
-    met = keys.groupBy("key").agg(F.count("*").alias("met")).where("met > 1").select("key")
+    # Rarest columns first. What no other row holds comes before and is no key; what a 500th of the rows holds comes last.
+    met = rows.select("row", "columns").mapInPandas(partial(_rare, shipped=shipped), "column long, row long").groupBy("column").agg(F.collect_list("row").alias("rows")).where(F.size("rows") > 1)
+    shared = met.select(F.struct(F.size("rows").alias("met"), "column").alias("c"), F.explode("rows").alias("row")).groupBy("row").agg(F.array_sort(F.collect_list("c")).alias("shared"))
+    heads = rows.select("row", "n", "columns").mapInPandas(partial(_heads, percent=percent, shipped=shipped), "row long, first int, near int, rare int, often array<bigint>")
+    none = F.array().cast("array<bigint>")
+    by_row = heads.join(shared, "row", "left").select("row", "first", "near", "rare", "often", F.coalesce(F.col("shared.column"), none).alias("shared"))
+    alone = F.col("rare") - F.size("shared")
+    keys = by_row.where(alone < F.col("first")).select("row", (F.col("near") - alone).alias("near"), F.posexplode(F.slice(F.concat("shared", "often"), F.lit(1), F.col("first") - alone)).alias("at", "key"))
+    keys = materialise(keys.select("key", "row", (F.col("at") < F.col("near")).alias("near")), "first-columns")
+    met = keys.groupBy("key").agg(F.count("*").alias("met"), F.max("near").alias("any")).where("met > 1 and any").select("key")
     told = materialise(lookup(keys, met, "key").withColumn("component", F.col("row")), "first-columns")
     discard(keys)
     sides = rows.drop("columns")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that link; a hub's columns are not shuffled to one task."""
-        held = rows.select("row", "columns")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+        held = restrict(rows.select("row", "columns"), ids, "row")
         both = lookup(pairs, _renamed(held, "a"), "a", width=F.length("a_columns")).join(_renamed(held, "b"), "b")
         return materialise(both.mapInPandas(partial(_multiplied, percent=percent), "a long, b long"), "links")
 
     def opened(hub: Column) -> DataFrame:
         """Columns where components still meet, each with one of its rows as hub."""
-        of = told.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by(F.struct("row", "component"), hub).alias("hub"))
+        of = told.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by(F.struct("row", "component"), F.struct(~F.col("near"), hub)).alias("hub"))
         return of.where("x <> y").select("key", "hub")
 
     links = spark.createDataFrame([], "a long, b long")
     for turn in range(ROUNDS):
-        each = told.groupBy("key").agg(F.count("*").alias("met"))
-        held, pairs = each.agg(F.coalesce(F.sum("met"), F.lit(0)), F.coalesce(F.sum(F.col("met") * (F.col("met") - 1) / 2), F.lit(0))).first()
-        if pairs <= FEW_PAIRS * held:
-            break
         star = lookup(told, opened(F.xxhash64("row", F.lit(turn))), "key").where("component <> hub.component")
         star = star.select(F.col("hub.row").alias("a"), F.col("row").alias("b")).distinct()
         if turn == 0:  # most rows need one partner only
@@ -314,7 +335,7 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
         discard(star)
         links = links.union(found)
         component = connected_components(links, "a", "b").select(F.col("id").alias("row"), "component")
-        now = materialise(told.drop("component").join(component, "row", "left").select("key", "row", F.coalesce("component", "row").alias("component")), "first-columns")
+        now = materialise(told.drop("component").join(component, "row", "left").select("key", "row", "near", F.coalesce("component", "row").alias("component")), "first-columns")
         discard(told)
         told = materialise(lookup(now, opened_keys(now), "key"), "first-columns")
         discard(now)
@@ -323,7 +344,8 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
     left = materialise(lookup(told, sizes, "key").join(sides, "row"), "open-columns")
     one = _renamed(left, "a", "key", "splits").withColumn("split", F.pmod(F.xxhash64("a"), F.col("splits")).cast("int"))
     other = _renamed(left, "b", "key", "splits").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits")
-    pairs = one.join(other, ["key", "split"]).where("a < b and a_component <> b_component").where(_bounded(percent)).select("a", "b").distinct()
+    ordered = "a_near and a_component <> b_component and (a_n < b_n or a_n = b_n and (a < b or not b_near))"
+    pairs = one.join(other, ["key", "split"]).where(ordered).where(_bounded(percent)).select("a", "b").distinct()
     pairs = materialise(pairs, "pairs")
     out = links.union(verified(pairs))
     for table in (told, left, pairs):
