@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Texts become sequences of lower-case words in which numbers, units after numbers, and names
-(capitalised words inside a sentence) are typed placeholders; punctuation and case go. Every window of
+Texts become sequences of lower-case words in which numbers (in digits or words), units after numbers, and names
+(runs of capitalised words wherever they stand, so that a word's placeholder does not hang on what precedes
+it) are typed placeholders; punctuation and case go. Every window of
 WINDOW words of a document is looked up among the windows of the benchmark by hash (an item shorter than that,
 but of SHORTEST words, is one window of its own length). A document that holds an item's windows
 at one alignment also yields pairs of slot values there: the benchmark's and the document's. If the pairs are a
@@ -13,10 +14,10 @@ need no literal words; MIN_SHARE of these will do.
 Defined cases: null and empty texts hold nothing and are kept; items below SHORTEST words, and
 windows mostly made of placeholders, match verbatim only; items below SHORTEST_VERBATIM words match nothing;
 n_windows, share and n_slots are those of the template windows where these suffice, else of the verbatim
-ones with n_slots 0; items that share windows are each judged by all of their own windows and
+ones with n_slots 0; a text of any length is looked up by all of its windows; items that share windows are each judged by all of their own windows and
 slots, so a document may be reported with several; a window that an item holds twice counts once; repeated
-documents are decided alike, each row kept or dropped; an empty benchmark drops nothing; columns
-of the documents are returned as they are.
+documents are decided alike, each row kept or dropped; an empty benchmark drops nothing, an empty table gives no
+rows; columns of the documents are returned as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +37,14 @@ SHIPPED_WINDOWS = 1_000_000
 UNITS = "%|percent|km|kg|cm|mm|mg|ml|m|g|l|h|s|mph|kwh|kb|mb|gb|inch|inches|foot|feet|mile|miles|meter|meters|metre|metres|gram|grams|liter|liters|litre|litres|second|seconds|minute|minutes|hour|hours|day|days|week|weeks|month|months|year|years|dollar|dollars|cent|cents|euro|euros|pound|pounds|degree|degrees"
 NUMBER, NAME, UNIT = "0", "2", "1"
 NUMBER_RE = r"[$€£]?\p{N}(?:[\p{N}.,:/]*\p{N})?"
-NAME_RE = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+"
+_SMALL = "one|two|three|four|five|six|seven|eight|nine"
+_TENS = "twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety"
+_WORDS = f"(?:{_TENS})(?:[- ](?:{_SMALL}))?|zero|{_SMALL}|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|hundred|thousand|million|billion|dozen"
+#: Numbers in digits or words; a name is a capitalised word with a small letter, also O'Neil, McKay and Smith-Jones, or up to four such
+#: (repetitions of groups are bounded, as the matcher recurses in them).
+COUNT_RE = rf"{NUMBER_RE}|(?<![\p{{L}}\p{{N}}])(?i:{_WORDS})(?![\p{{L}}\p{{N}}])"
+_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{L}*\p{Ll}\p{L}*(?:-\p{Lu}\p{L}+){0,2}"
+NAME_RE = rf"(?<![\p{{L}}\p{{N}}]){_NAME}(?: {_NAME}){{0,3}}"
 UNIT_RE = rf"(?<= {NUMBER} ) ?(?:{UNITS})(?![\p{{L}}\p{{N}}])"
 
 
@@ -47,7 +55,7 @@ def bound(value: Column, then) -> Column:
 
 def _named(text: Column) -> Column:
     """Placeholders for numbers, then units, then names; other digits are gone by then."""
-    text = F.regexp_replace(text, NUMBER_RE, f" {NUMBER} ")
+    text = F.regexp_replace(text, COUNT_RE, f" {NUMBER} ")
     return F.regexp_replace(text, NAME_RE, f" {NAME} ")
 
 
@@ -64,8 +72,8 @@ def verbatim(text: Column) -> Column:
 
 def slots(text: Column, words: Column) -> Column:
     """Array of (at, value) of a text's placeholders, from the text and its template."""
-    numbers = F.regexp_extract_all(text, F.lit(f"({NUMBER_RE})"), 1)
-    numbered = F.regexp_replace(text, NUMBER_RE, f" {NUMBER} ")
+    numbers = F.regexp_extract_all(text, F.lit(f"({COUNT_RE})"), 1)
+    numbered = F.regexp_replace(text, COUNT_RE, f" {NUMBER} ")
     names = F.regexp_extract_all(numbered, F.lit(f"({NAME_RE})"), 1)
     units = F.regexp_extract_all(F.lower(_named(text)), F.lit(f"({UNIT_RE})"), 1)
 
@@ -85,9 +93,9 @@ def windows(words: Column, length: int) -> Column:
     )
 
 
-def _identified(docs: DataFrame) -> DataFrame:
+def _identified(docs: DataFrame, id_: str = "__id", text: str = "__text") -> DataFrame:
     """A row's identity is its id and the hash of its text; rows alike in both are decided alike."""
-    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("__text", F.xxhash64("text"))
+    return docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn(text, F.xxhash64("text"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
@@ -150,7 +158,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """``docs`` without the contaminated rows."""
     found = materialise(find_contamination(docs, benchmark, window, min_share).select("__id", "__text").distinct(), "contaminated")
     small = found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return _identified(docs).join(F.broadcast(found) if small else found, ["__id", "__text"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = [x + "_" * max(map(len, docs.columns)) for x in ("__id", "__text")]  # longer than any name there is
+    found = found.toDF(*own)
+    return _identified(docs, *own).join(F.broadcast(found) if small else found, own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
