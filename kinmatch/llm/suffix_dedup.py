@@ -7,18 +7,20 @@ anchor are a run. Windows can only be equal if their anchors are. Runs whose anc
 are done; runs equal as a whole to an earlier one are repeats; what remains are the first runs
 of anchors that occur in several contexts. Their text is suffix-sorted:
 
-1. positions are sampled by the difference cover {1, 2} modulo 3, and triples of eight bytes
-   at them are sorted and named in order;
-2. triples of those names are sorted and named again, which orders sampled suffixes by 72 bytes;
-3. two names and a byte order them by LENGTH bytes; the remaining suffixes (0 modulo 3) are merged by their
-   first byte or two and the names behind them, as any two positions have a common shift into the cover;
+1. positions are sampled by the difference cover {1, 2} modulo 3, and triples of symbols of eight bytes
+   at them are sorted and named in order, by their bytes;
+2. triples of those names are sorted and named again, which orders sampled suffixes by 72 bytes; a name of the
+   first kind behind it and the last bytes make LENGTH, so the recursion ends there;
+3. all suffixes are merged by the few bytes before the cover and the names behind them, as any two
+   positions have a common shift into the cover;
 4. neighbours with equal prefixes form a group, whose first start stays while the others are repeats.
 
-Names are made of distinct triples only, so a passage that a third of the corpus holds is no hot key there.
+Names are made of distinct triples only, and are looked up without shuffling hot ones, so a passage that a third of
+the corpus holds is no hot key there.
 
 Defined cases: a null text has no bytes and an empty one is like it; rows that repeat an id and text are
 one document; texts under one id are ordered by hash; a null doc_id comes last; texts under LENGTH bytes
-lose nothing; an empty table gives no rows; other columns are ignored.
+lose nothing; long texts are worked on in overlapping pieces; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +35,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinmatch.llm.textkit import BYTE_CODE, U64, _power, as_bytes, mix
-from kinmatch.storage import ensure_workers, materialise, restrict, spread
+from kinmatch.storage import discard, ensure_workers, lookup, materialise, restrict, spread
 
 LENGTH, ANCHOR = 100, 32
 #: Windows that a long text is looked at at once, and bytes of short ones; positions take 21 bits.
 PASS_WINDOWS = PASS_BYTES = 1 << 20
 LAST = 2**63 - 1
 #: Windows of a block, by their distance to the anchor; bytes of a symbol; bytes behind the names.
-BLOCK, SYMBOL, TAIL = 8, 16, 4
-TRIPLE = 3 * SYMBOL
+BLOCK, SYMBOL, TAIL = 8, 8, 4
+#: Bytes that names of the first and of the second kind stand for.
+TRIPLE, NINE = 3 * SYMBOL, 9 * SYMBOL
 
 
 def _groups(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -197,10 +200,13 @@ def _numbered_from(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return segment, np.arange(begins[-1]) - begins[segment], begins
 
 
-def _sampled(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, place) in the cover {1, 2} modulo 3 of all names that the segments' windows need, in order."""
-    segment, place, _ = _numbered_from(n + 2 + TRIPLE)
-    kept = ((place + first[segment]) % 3 != 0) & ((place < n[segment] + 2) | (place >= TRIPLE))
+def _sampled(first: np.ndarray, n: np.ndarray, reach: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, place) in the cover {1, 2} modulo 3 of the segments' windows, and up to ``reach`` triples behind, in order."""
+    segment, place, _ = _numbered_from(n + 2 + reach * TRIPLE)
+    kept = np.zeros(len(place), bool)
+    for k in range(reach + 1):
+        kept |= (place >= k * TRIPLE) & (place < n[segment] + 2 + k * TRIPLE)
+    kept &= (place + first[segment]) % 3 != 0
     return segment[kept], place[kept]
 
 
@@ -211,20 +217,41 @@ def _buffer(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _triples(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Three symbols at every sampled place, and their hash."""
+    """Three symbols at every sampled place."""
     for pdf in parts:
         if not len(pdf):
             continue
         a, begins = _buffer(pdf["bytes"])
-        segment, place = _sampled(pdf["first"].to_numpy(), pdf["n"].to_numpy())
+        docs, first = pdf["doc"].to_numpy(), pdf["first"].to_numpy()
+        segment, place = _sampled(first, pdf["n"].to_numpy(), 3)
         for k in range(0, len(place), 50_000):
             s, p = segment[k : k + 50_000], place[k : k + 50_000]
-            t = np.ascontiguousarray(a[(begins[s] + p)[:, None] + np.arange(TRIPLE)])
-            h = np.zeros(len(t), U64)
-            for word in t.view("<u8").T:
-                h = mix(h + word) * BYTE_CODE[0]
-            whole = t.tobytes()
-            yield pd.DataFrame({"doc": pdf["doc"].to_numpy()[s], "first": pdf["first"].to_numpy()[s], "place": p, "hash": h.astype(np.int64), "triple": [whole[x : x + TRIPLE] for x in range(0, len(whole), TRIPLE)]})
+            whole = np.ascontiguousarray(a[(begins[s] + p)[:, None] + np.arange(TRIPLE)]).tobytes()
+            yield pd.DataFrame({"doc": docs[s], "first": first[s], "place": p, "key": [whole[x : x + TRIPLE] for x in range(0, len(whole), TRIPLE)]})
+
+
+def _named(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the first kind at the places of all segments laid end to end, and where each segment begins."""
+    first, n = pdf["first"].to_numpy(), pdf["n"].to_numpy()
+    segment, place = _sampled(first, n, 3)
+    row = np.concatenate(([0], np.cumsum(n + 2 + NINE)))
+    name = np.zeros(row[-1], np.int64)
+    name[row[segment] + place] = np.concatenate(list(pdf["names"]))  # in the order of places
+    return name, row
+
+
+def _nines(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Three names at every sampled place that begins a window's part in the cover."""
+    for pdf in parts:
+        if not len(pdf):
+            continue
+        name, row = _named(pdf)
+        docs, first = pdf["doc"].to_numpy(), pdf["first"].to_numpy()
+        segment, place = _sampled(first, pdf["n"].to_numpy())
+        for k in range(0, len(place), 50_000):
+            s, p = segment[k : k + 50_000], place[k : k + 50_000]
+            x, y, z = (name[row[s] + p + j * TRIPLE] for j in range(3))
+            yield pd.DataFrame({"doc": docs[s], "first": first[s], "place": p, "x": x, "y": y, "z": z})
 
 
 FORMS = ((0, 1), (0, 2), (1, 2))  # residues that a form of key compares
@@ -239,10 +266,10 @@ def _suffixes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, begins = _buffer(pdf["bytes"])
         a = a.astype(np.int64)
         docs, first, n = (pdf[c].to_numpy() for c in ("doc", "first", "n"))
+        name, row = _named(pdf)
+        nine = np.zeros(row[-1], np.int64)
         segment, place = _sampled(first, n)
-        row = np.concatenate(([0], np.cumsum(n + 2 + TRIPLE)))
-        name = np.zeros(row[-1], np.int64)
-        name[row[segment] + place] = np.concatenate(list(pdf["names"]))  # in the order of places
+        nine[row[segment] + place] = np.concatenate(list(pdf["nines"]))
         segment, i, _ = _numbered_from(n)
         byte, window = begins[segment] + i, first[segment] + i
         tail = sum(a[byte + LENGTH - TAIL + k] << (8 * (TAIL - 1 - k)) for k in range(TAIL))
@@ -251,8 +278,8 @@ def _suffixes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             o = SHIFT[residues]
             head = sum((a[byte[at] + k] << (8 * (o - 1 - k)) for k in range(o)), np.zeros(len(at), np.int64))
             to = row[segment[at]] + i[at] + o
-            # Form, head and tail are one number; names compare 2 * TRIPLE bytes behind the head.
-            yield pd.DataFrame({"head_tail": form << 48 | head << 32 | tail[at], "name1": name[to], "name2": name[to + TRIPLE], "doc": docs[segment[at]], "window": window[at]})
+            # Form, head and tail are one number; names compare NINE + TRIPLE bytes behind the head.
+            yield pd.DataFrame({"head_tail": form << 48 | head << 32 | tail[at], "name1": nine[to], "name2": name[to + NINE], "doc": docs[segment[at]], "window": window[at]})
 
 
 def _repeats(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,15 +296,27 @@ def _repeats(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc": pdf["doc"][same], "at": pdf["window"][same].to_numpy() << 24 | 1})
 
 
+def _names(rows: DataFrame, names: str) -> DataFrame:
+    """Sort the distinct keys of ``rows`` (doc, first, place, key); names are their places in the order, listed for each segment."""
+    distinct = rows.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    named = materialise(distinct.select("key", F.monotonically_increasing_id().alias("name")), "names")
+    of = lookup(rows, named, "key").groupBy("doc", "first").agg(F.array_sort(F.collect_list(F.struct("place", "name")))["name"].alias(names))
+    of = materialise(of, "names-of-segments")
+    discard(named)
+    return of
+
+
 def sorted_repeats(segments: DataFrame) -> DataFrame:
     """(doc, at) of windows of ``segments`` (doc, first, n, bytes) that start again later, by suffix sorting."""
-    rows = segments.mapInPandas(_triples, "doc long, first long, place long, hash long, triple binary")
-    rows = materialise(rows, "triples")
-    # Sort the distinct triples; names are their places in the order.
-    distinct = rows.groupBy("hash").agg(F.first("triple").alias("triple"))
-    named = materialise(distinct.repartitionByRange("triple").sortWithinPartitions("triple").select("hash", F.monotonically_increasing_id().alias("name")), "names")
-    of = rows.select("doc", "first", "place", "hash").join(named, "hash").groupBy("doc", "first").agg(F.array_sort(F.collect_list(F.struct("place", "name")))["name"].alias("names"))
-    keys = materialise(segments.join(of, ["doc", "first"]).mapInPandas(_suffixes, "head_tail long, name1 long, name2 long, doc long, window long"), "suffixes")
+    triples = materialise(segments.mapInPandas(_triples, "doc long, first long, place long, key binary"), "triples")
+    ones = _names(triples, "names")
+    discard(triples)
+    nines = segments.select("doc", "first", "n").join(ones, ["doc", "first"]).mapInPandas(_nines, "doc long, first long, place long, x long, y long, z long")
+    nines = materialise(nines.select("doc", "first", "place", F.struct("x", "y", "z").alias("key")), "triples-of-names")
+    twos = _names(nines, "nines")
+    discard(nines)
+    both = segments.join(ones, ["doc", "first"]).join(twos, ["doc", "first"])
+    keys = materialise(both.mapInPandas(_suffixes, "head_tail long, name1 long, name2 long, doc long, window long"), "suffixes")
     order = ["name1", "name2", "head_tail"]
     return keys.repartitionByRange(*order).sortWithinPartitions(*order, "doc", "window").mapInPandas(_repeats, "doc long, at long")
 
