@@ -1,11 +1,12 @@
 """MPEG audio media columns: a frame walker that resynchronises, and a lossless payload store.
 
-Reading: an ID3v2 tag is skipped and its frames listed, an ID3v1 tag is cut off, frame headers
-(MPEG 1, 2 and 2.5, layers I to III) are followed one to the next, and where a header is wanting
-the reader looks for the next sync whose frame is followed by another frame or by the end. A
-Xing, Info or VBRI table in the first frame is parsed and not counted as sound. The CRC-16 of
-protected frames is verified. Duration is exact: samples over sampling rate, per stream;
-seek offsets are the bytes where frames start.
+Reading: an ID3v2 tag (2.2 to 2.4, extended headers and unsynchronisation included) and an ID3v1 tag are read and
+passed over, frame headers (MPEG 1, 2 and 2.5, layers I to III, free format too) are followed one to the next, and
+where a header is wanting the reader looks for the next sync whose frame is followed by another one of the same
+version, layer and sampling rate, or by the end. A Xing, Info or VBRI table in the first frame is parsed, not counted
+as sound, and compared with the frames found. The CRC-16 of protected frames is verified: header and side information in layer
+III, header and bit allocation in layer I, these and the scale-factor selection in layer II. Duration is exact: samples over
+sampling rate, per stream; seek offsets are the bytes where frames start.
 
 Storing: a payload is carried in layer III frames as ancillary data. Side information is
 all zero, which decodes as silence; each frame is protected; after the side information stand two
@@ -13,7 +14,8 @@ bytes with the number of payload bytes, then those bytes, then zeros. The frames
 bit rate that holds their part, so the stream has a variable rate and starts with a Xing table.
 
 Defined cases: a null text is an empty one; an empty payload is one unit of zeros; bytes that hold
-no frame give zero frames and duration; repeated rows give equal values; other columns are ignored.
+no frame give zero frames and duration; a null stream has no bytes; a text of any length is one stream of as many frames as
+it takes; an empty table gives no rows; repeated rows give equal values; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ UNIT = 64
 #: Payload bytes of a full frame of the store (320 kbit/s at 32 kHz, mono).
 FRAME_PAYLOAD = 1408
 XING_FLAGS = 0x7  # frames, bytes and seek table
+#: Bytes within which a frame of free format ends.
+FREE_LONGEST = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -63,25 +67,34 @@ class Header:
     size: int
     samples: int
     side: int
+    bound: int  # subband from which two channels share their allocation (32: none)
+
+    def alike(self, other: Header) -> bool:
+        """Whether both can be frames of one stream."""
+        return (self.version, self.layer, self.sampling) == (other.version, other.layer, other.sampling)
 
 
 @lru_cache(maxsize=4096)
-def header(word: bytes) -> Header | None:
-    """The header in four bytes, or None."""
+def header(word: bytes, free: int = 0) -> Header | None:
+    """The header in four bytes, or None; ``free``: bytes of an unpadded frame where the rate is free."""
     if len(word) < 4 or word[0] != 0xFF or word[1] & 0xE0 != 0xE0:
         return None
     version = {0: 25, 2: 2, 3: 1}.get(word[1] >> 3 & 3)
     layer = 4 - (word[1] >> 1 & 3)
     rate, sampling = word[2] >> 4, word[2] >> 2 & 3
-    if version is None or layer == 4 or rate in (0, 15) or sampling == 3 or word[3] & 3 == 2:
+    if version is None or layer == 4 or rate == 15 or (rate == 0 and not free) or sampling == 3 or word[3] & 3 == 2:
         return None
     hertz = SAMPLING[sampling] // {1: 1, 2: 2, 25: 4}[version]
     kbit = RATES[1 if version == 1 else 2, layer][rate]
     padding, mono = word[2] >> 1 & 1, word[3] >> 6 == 3
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 1 else 1152
-    size = (12000 * kbit // hertz + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbit // hertz + padding
+    if rate == 0:
+        size = free + padding * (4 if layer == 1 else 1)
+    else:
+        size = (12000 * kbit // hertz + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbit // hertz + padding
+    bound = 4 * (word[3] >> 4 & 3) + 4 if word[3] >> 6 == 1 else 32
     side = 0 if layer != 3 else (17 if mono else 32) if version == 1 else 9 if mono else 17
-    return Header(version, layer, not word[1] & 1, kbit, hertz, mono, size, samples, side)
+    return Header(version, layer, not word[1] & 1, kbit, hertz, mono, size, samples, side, bound)
 
 
 def _crc_table() -> list[int]:
@@ -106,12 +119,56 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """CRC-16 of the first ``bits`` bits."""
+    c = crc16(data[: bits // 8])
+    for k in range(bits // 8 * 8, bits):
+        bit = data[k // 8] >> (7 - k % 8) & 1
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ bit else 0)
+    return c
+
+
+def allocation_widths(h: Header) -> list[int]:
+    """Bits of each subband's allocation in a layer II frame, fixed by the format's tables."""
+    if h.version != 1:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    kbit = (h.rate or 384) // (1 if h.mono else 2)
+    if kbit < 56:
+        return [4] * 2 + [3] * (10 if h.sampling == 32000 else 6)
+    return ([4] * 11 + [3] * 12 + [2] * 7)[: 30 if kbit >= 96 and h.sampling != 48000 else 27]
+
+
+def checked_bits(h: Header, body: bytes) -> int:
+    """Bits behind header and checksum that the checksum covers; ``body`` starts there."""
+    channels = 1 if h.mono else 2
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (32 * channels if h.mono else 32 + min(32, h.bound))
+    word, at, chosen = int.from_bytes(body[:64].ljust(64, b"\0")), 0, 0
+    for band, width in enumerate(allocation_widths(h)):
+        for _ in range(channels if band < h.bound else 1):
+            allocated = word >> (512 - at - width) & (1 << width) - 1
+            at += width
+            chosen += (channels if band >= h.bound else 1) * (allocated > 0)
+    return at + 2 * chosen
+
+
+def crc_good(frame: bytes, h: Header) -> bool:
+    """Whether a protected frame's checksum is right."""
+    bits = checked_bits(h, frame[6:])
+    data = frame[2:4] + frame[6 : 6 + -(-bits // 8)]
+    return len(data) * 8 >= 16 + bits and crc16_bits(data, 16 + bits) == int.from_bytes(frame[4:6])
+
+
 @dataclass
 class Stream:
-    """What a walk over a stream found; ``durations`` by sampling rate, in samples."""
+    """What a walk over a stream found; ``samples`` by sampling rate."""
 
     tags: dict[str, bytes] = field(default_factory=dict)
+    id3v1: dict[str, str] = field(default_factory=dict)
     table: dict = field(default_factory=dict)
+    table_at: int = 0
     offsets: list[int] = field(default_factory=list)
     sizes: list[int] = field(default_factory=list)
     samples: dict[int, int] = field(default_factory=dict)
@@ -124,18 +181,69 @@ class Stream:
     def duration(self) -> Fraction:
         return sum((Fraction(n, hz) for hz, n in self.samples.items()), Fraction(0))
 
+    def table_agrees(self) -> bool | None:
+        """Whether the variable-bitrate table tells of the frames found; None without a table."""
+        if not self.table:
+            return None
+        n, toc = len(self.offsets), self.table.get("toc", [])
+        whole = (self.offsets[-1] + self.sizes[-1] if n else self.table_at) - self.table_at
+        good = self.table.get("frames", n) == n and (n == 0 or abs(self.table.get("bytes", whole) - whole) <= max(self.sizes))
+        if good and n and toc and self.table["kind"] == "VBRI":  # bytes of so many frames each
+            step = self.table["step"]
+            ends = np.array([*self.offsets, self.offsets[-1] + self.sizes[-1]])[np.minimum(np.arange(len(toc) + 1) * step, n)]
+            return bool((np.abs(np.diff(ends) - toc)[:-1] <= max(self.sizes) + self.table["scale"]).all())
+        if good and n and toc:  # 256ths of the stream at each hundredth of the frames
+            at = np.array(self.offsets)[np.arange(100) * n // 100] - self.table_at
+            return bool((np.abs(at - np.array(toc) * whole / 256) <= whole / 256 + 2 * max(self.sizes)).all())
+        return good
+
+
+def _seven(raw: bytes) -> int:
+    """A number in the low seven bits of each byte."""
+    return sum(b << 7 * k for k, b in enumerate(reversed(raw)))
+
 
 def parse_id3v2(data: bytes) -> tuple[dict[str, bytes], int]:
-    """Frames of an ID3v2.3 or 2.4 tag at the start, and the tag's length (0: there is none)."""
+    """Frames of an ID3v2.2 to 2.4 tag at the start, and the tag's length (0: there is none)."""
     if len(data) < 10 or data[:3] != b"ID3" or any(b & 0x80 for b in data[6:10]):
         return {}, 0
-    size = data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]
-    end, at, out = min(len(data), 10 + size), 10, {}
-    while at + 10 <= end and data[at] and data[3] in (3, 4):
-        n = struct.unpack(">I", data[at + 4 : at + 8])[0] if data[3] == 3 else data[at + 4] << 21 | data[at + 5] << 14 | data[at + 6] << 7 | data[at + 7]
-        out[data[at : at + 4].decode("latin-1")] = data[at + 10 : min(end, at + 10 + n)]
-        at += 10 + n
-    return out, 10 + size
+    version, flags, size = data[3], data[5], _seven(data[6:10])
+    body, out, at = data[10 : 10 + size], {}, 0
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    if flags & 0x40 and version > 2 and len(body) >= 4:
+        at = 4 + int.from_bytes(body[:4]) if version == 3 else _seven(body[:4])
+    name, width = (3, 3) if version == 2 else (4, 4)
+    head = name + width + (0 if version == 2 else 2)
+    while version in (2, 3, 4) and at + head <= len(body) and body[at]:
+        n = _seven(body[at + name : at + name + width]) if version == 4 else int.from_bytes(body[at + name : at + name + width])
+        out[body[at : at + name].decode("latin-1")] = body[at + head : at + head + n]
+        at += head + n
+    return out, 10 + size + (10 if version == 4 and flags & 0x10 else 0)
+
+
+def parse_id3v1(data: bytes) -> dict[str, str]:
+    """Fields of an ID3v1 tag at the end, or nothing."""
+    if len(data) < 128 or data[-128:-125] != b"TAG":
+        return {}
+    t = data[-128:]
+    out = {k: t[i:j].split(b"\0")[0].decode("latin-1").strip() for k, i, j in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97), ("comment", 97, 127))}
+    if t[125] == 0 and t[126]:
+        out["track"] = str(t[126])
+    return {k: v for k, v in out.items() if v} | {"genre": str(t[127])}
+
+
+def free_size(data: bytes, at: int, end: int) -> int:
+    """Bytes of an unpadded frame of free format at ``at``, by the next two headers like it; 0: there are none."""
+    like = lambda x: data[x : x + 2] == data[at : at + 2] and x + 4 <= end and (data[x + 2] ^ data[at + 2]) & 0xFC == 0
+    slot, then = 4 if header(data[at : at + 4], 1).layer == 1 else 1, at + 24
+    while 0 <= (then := data.find(data[at : at + 2], then, min(end, at + FREE_LONGEST))):
+        size = then - at - slot * (data[at + 2] >> 1 & 1)
+        after = then + size + slot * (data[then + 2] >> 1 & 1) if then + 4 <= end else end
+        if like(then) and (after == end or like(after)):
+            return size
+        then += 1
+    return 0
 
 
 def parse_table(frame: bytes, h: Header) -> dict:
@@ -152,34 +260,39 @@ def parse_table(frame: bytes, h: Header) -> dict:
             out["toc"] = list(frame[p : p + 100])
         return out
     if frame[36:40] == b"VBRI" and len(frame) >= 62:
-        _, _, _, size, frames, entries, scale, width, _ = struct.unpack(">HHHIIHHHH", frame[40:62])
+        _, _, _, size, frames, entries, scale, width, step = struct.unpack(">HHHIIHHHH", frame[40:62])
         toc = [int.from_bytes(frame[62 + k * width : 62 + (k + 1) * width]) * scale for k in range(entries) if 62 + (k + 1) * width <= len(frame)]
-        return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": toc}
+        return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": toc, "scale": scale, "step": max(1, step)}
     return {}
 
 
 def walk(data: bytes) -> Stream:
     """Follow the frames of a whole stream."""
-    out = Stream()
+    out = Stream(id3v1=parse_id3v1(data))
     out.tags, at = parse_id3v2(data)
-    end = len(data) - 128 if len(data) >= 128 and data[-128:-125] == b"TAG" else len(data)
-    first = synced = True
+    end = len(data) - 128 if out.id3v1 else len(data)
+    first, synced, free = True, True, 0
     while at + 4 <= end:
-        h = header(data[at : at + 4])
-        follows = h and at + h.size <= end and (synced or at + h.size == end or header(data[at + h.size : at + h.size + 4]))
+        word = data[at : at + 4]
+        h = header(word, free)
+        if h is None and not free and header(word, 1) and (free := free_size(data, at, end)):
+            h = header(word, free)
+        follows = h and at + h.size <= end
+        if follows and not synced and at + h.size != end:
+            then = header(data[at + h.size : at + h.size + 4], free)
+            follows = then and h.alike(then)
         if not follows:
             then = data.find(b"\xff", at + 1, end)
             then = end if then < 0 else then
             out.skipped += then - at
-            at, synced = then, False
+            at, synced, free = then, False, 0
             continue
         synced = True
-        if h.protected and h.layer == 3:
-            told = int.from_bytes(data[at + 4 : at + 6])
-            good = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == told
+        if h.protected:
+            good = crc_good(data[at : at + h.size], h)
             out.crc_ok, out.crc_bad = out.crc_ok + good, out.crc_bad + (not good)
         if first and h.layer == 3 and (table := parse_table(data[at : at + h.size], h)):
-            out.table = table
+            out.table, out.table_at = table, at
         else:
             out.offsets.append(at)
             out.sizes.append(h.size)
@@ -228,7 +341,7 @@ def load(data: bytes, stream: Stream) -> bytes:
         out.append(data[begin + 2 : begin + 2 + n])
     payload = b"".join(out)
     told = stream.tags.get("TXXX", b"").rpartition(b"\0")[2]
-    if stream.crc_bad or stream.skipped or told != str(len(payload)).encode() or stream.table.get("frames") != len(stream.offsets):
+    if stream.crc_bad or stream.skipped or told != str(len(payload)).encode() or not stream.table_agrees():
         raise ValueError("the stored stream is damaged")
     return payload
 
@@ -246,13 +359,13 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return materialise(spread(docs.select("doc_id", "text")).mapInPandas(_store, "doc_id long, n_bytes long, media binary"), "media")
 
 
-PROBE = "tags array<string>, vbr_table string, n_frames long, n_crc_ok long, n_crc_bad long, n_skipped long, duration_samples map<int,long>, duration_seconds double, seek_offsets array<long>"
+PROBE = "tags array<string>, id3v1 map<string,string>, vbr_table string, vbr_agrees boolean, n_frames long, n_crc_ok long, n_crc_bad long, n_skipped long, duration_samples map<int,long>, duration_seconds double, seek_offsets array<long>"
 
 
 def _probe(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
         s = [walk(bytes(m) if m is not None else b"") for m in pdf["media"]]
-        found = pd.DataFrame({"tags": [sorted(x.tags) for x in s], "vbr_table": [x.table.get("kind") for x in s], "n_frames": [len(x.offsets) for x in s], "n_crc_ok": [x.crc_ok for x in s], "n_crc_bad": [x.crc_bad for x in s], "n_skipped": [x.skipped for x in s], "duration_samples": [x.samples for x in s], "duration_seconds": [float(x.duration) for x in s], "seek_offsets": [x.offsets for x in s]})
+        found = pd.DataFrame({"tags": [sorted(x.tags) for x in s], "id3v1": [x.id3v1 for x in s], "vbr_table": [x.table.get("kind") for x in s], "vbr_agrees": [x.table_agrees() for x in s], "n_frames": [len(x.offsets) for x in s], "n_crc_ok": [x.crc_ok for x in s], "n_crc_bad": [x.crc_bad for x in s], "n_skipped": [x.skipped for x in s], "duration_samples": [x.samples for x in s], "duration_seconds": [float(x.duration) for x in s], "seek_offsets": [x.offsets for x in s]})
         yield pd.concat([pdf["doc_id"].reset_index(drop=True), found], axis=1)
 
 
