@@ -4,11 +4,14 @@ A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends with A-
 reference table holds, for each key, in how many documents it stands; keys that reach the threshold
 also stand in the cuckoo filter of their shard. Inserting or deleting documents adds to or takes
 from the counts, and moves only the keys that cross the threshold into or out of the filters, so
-deleting what was inserted restores the former state. Filters answer most probes; what they let
-through is checked against the exact table.
+deleting what was inserted restores the former state. Applying an index ships the filters, which answer most
+probes on the spot; what they let through is checked against the exact table, shipped too up to SHIPPED_KEYS,
+else by a shuffle of those lines alone. Beyond FILTERED_KEYS the filters are too large to ship and lines are joined
+with the exact table.
 
 Defined cases: a null or empty text is one empty line and stays as it is (null stays null); keys
-shorter than ``min_chars`` code points never count; repeated rows count as documents of their own; an
+shorter than ``min_chars`` code points never count; rows that repeat a doc_id are one document in the counts of
+one set of documents, rows without a doc_id are documents of their own; a text of any length is split whole; an
 empty table gives no rows; other columns pass through, but those named n_lines or n_dropped
 are replaced.
 """
@@ -26,13 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.llm.textkit import as_bytes, mix, with_columns
-from kinmatch.storage import ensure_workers, materialise, spread
+from kinmatch.storage import ensure_workers, materialise, restrict, spread
 
 MIN_DOCS, MIN_CHARS = 10, 1
 #: Keys over the threshold that a shard is made for.
 SHARD_KEYS = 100_000
-#: Keys over the threshold that are shipped to workers (16 bytes each); beyond it, lines are joined by a shuffle.
-SHIPPED_KEYS = 1_000_000
+#: Keys over the threshold that are shipped to workers (16 bytes each), and those whose filters are (about 2.5 bytes each).
+SHIPPED_KEYS, FILTERED_KEYS = 1_000_000, 20_000_000
 SPACE = b" \t\n\v\f\r"
 U64 = np.uint64
 
@@ -112,6 +115,15 @@ def _keys(parts: Iterator[pd.DataFrame], min_chars: int) -> Iterator[pd.DataFram
         yield pd.DataFrame({"k1": keys[:, 0], "k2": keys[:, 1], "refs": n})
 
 
+def _keys_of(parts: Iterator[pd.DataFrame], min_chars: int) -> Iterator[pd.DataFrame]:
+    """Distinct keys of each row, with its doc_id."""
+    for pdf in parts:
+        for doc_id, raw in zip(pdf["doc_id"], as_bytes(pdf["text"]), strict=True):
+            _, keys, held = line_keys(raw, min_chars)
+            keys = np.unique(keys[held], axis=0)
+            yield pd.DataFrame({"doc_id": [doc_id] * len(keys), "k1": keys[:, 0], "k2": keys[:, 1]})
+
+
 @dataclass
 class LineIndex:
     """Reference counts (k1, k2, refs) of all keys, and filters (shard, n_keys, bits) of the frequent ones."""
@@ -166,19 +178,31 @@ class LineIndex:
             tables = {int(r.shard): np.frombuffer(r.bits, np.uint16).reshape(-1, 4) for r in self.filters.collect()}
             shipped = spark.sparkContext.broadcast((np.sort(_exact(rows["k1"].to_numpy(), rows["k2"].to_numpy())), tables, self.shards))
             return with_columns(docs, partial(_drop, shipped=shipped, min_chars=self.min_chars), added)
-        probe = with_columns(docs, partial(_probe, min_chars=self.min_chars), "text_id binary, line_keys array<struct<k1:bigint,k2:bigint>>")
-        lines = probe.dropDuplicates(["text_id"]).select("text_id", F.explode("line_keys").alias("k")).select("text_id", "k.k1", "k.k2").distinct()
-        gone = lines.join(frequent, ["k1", "k2"]).groupBy("text_id").agg(F.collect_list(F.struct("k1", "k2")).alias("gone"))
-        joined = probe.drop("line_keys").join(gone, "text_id", "left")
+        filters = None
+        if frequent.limit(FILTERED_KEYS + 1).count() <= FILTERED_KEYS:
+            filters = spark.sparkContext.broadcast(({int(r.shard): np.frombuffer(r.bits, np.uint16).reshape(-1, 4) for r in self.filters.toLocalIterator()}, self.shards))
+        own = [x + "_" * max(map(len, docs.columns)) for x in ("text_id", "line_keys", "gone")]  # longer than any name there is
+        probe = with_columns(docs, partial(_probe, shipped=filters, min_chars=self.min_chars, names=own[:2]), f"{own[0]} binary, {own[1]} array<struct<k1:bigint,k2:bigint>>")
+        lines = probe.dropDuplicates([own[0]]).select(own[0], F.explode(own[1]).alias("k")).select(own[0], "k.k1", "k.k2").distinct()
+        gone = lines.join(frequent, ["k1", "k2"]).groupBy(own[0]).agg(F.collect_list(F.struct("k1", "k2")).alias(own[2]))
+        joined = probe.drop(own[1]).join(gone, own[0], "left")
         ensure_workers(spark)
         fields = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n_lines long", "n_dropped long"])
-        return joined.mapInPandas(partial(_drop_joined, names=[f.name for f in fields], min_chars=self.min_chars), schema)
+        return joined.mapInPandas(partial(_drop_joined, names=[f.name for f in fields], gone_name=own[2], min_chars=self.min_chars), schema)
 
 
 def _counted(docs: DataFrame, min_chars: int) -> DataFrame:
+    """In how many documents each key stands."""
     ensure_workers(docs.sparkSession)
-    return spread(docs.select("text")).mapInPandas(partial(_keys, min_chars=min_chars), "k1 long, k2 long, refs long").groupBy("k1", "k2").agg(F.sum("refs").alias("refs"))
+    add_up = lambda rows: spread(rows.select("text")).mapInPandas(partial(_keys, min_chars=min_chars), "k1 long, k2 long, refs long")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not repeated.limit(1).count():
+        return add_up(docs).groupBy("k1", "k2").agg(F.sum("refs").alias("refs"))
+    repeated = materialise(repeated, "repeated_ids")
+    of_one = restrict(docs.select("doc_id", "text"), repeated, "doc_id").mapInPandas(partial(_keys_of, min_chars=min_chars), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long")
+    of_one = of_one.distinct().select("k1", "k2", F.lit(1).cast("long").alias("refs"))
+    return add_up(restrict(docs.select("doc_id", "text"), repeated, "doc_id", "left_anti")).union(of_one).groupBy("k1", "k2").agg(F.sum("refs").alias("refs"))
 
 
 def _shard(shards: int):
@@ -243,20 +267,24 @@ def _drop(texts: list, shipped, min_chars: int) -> dict:
     return {"text": out, "n_lines": n_lines, "n_dropped": n_dropped}
 
 
-def _probe(texts: list, min_chars: int) -> dict:
+def _probe(texts: list, shipped, min_chars: int, names: list[str]) -> dict:
+    """A text's digest, and those of its keys that may be frequent."""
     ids, keys = [], []
     for t in texts:
         raw = b"" if t is None else t.encode("utf-8", "surrogatepass")
         _, k, held = line_keys(raw, min_chars)
         ids.append(xxhash.xxh3_128_digest(raw))
-        keys.append([{"k1": int(a), "k2": int(b)} for a, b in k[held]])
-    return {"text_id": ids, "line_keys": keys}
+        k = k[held]
+        if shipped is not None and len(k):
+            k = k[_in_filters(k, *shipped.value)]
+        keys.append([{"k1": int(a), "k2": int(b)} for a, b in k])
+    return dict(zip(names, (ids, keys), strict=True))
 
 
-def _drop_joined(parts: Iterator[pd.DataFrame], names: list[str], min_chars: int) -> Iterator[pd.DataFrame]:
+def _drop_joined(parts: Iterator[pd.DataFrame], names: list[str], gone_name: str, min_chars: int) -> Iterator[pd.DataFrame]:
     for pdf in parts:
         texts, n_lines, n_dropped = [], [], []
-        for text, gone in zip(pdf["text"], pdf["gone"], strict=True):
+        for text, gone in zip(pdf["text"], pdf[gone_name], strict=True):
             lines, keys, held = line_keys(b"" if text is None else text.encode("utf-8", "surrogatepass"), min_chars)
             frequent = {(int(g["k1"]), int(g["k2"])) for g in (gone if gone is not None else [])}
             keep = [x for x, (a, b), h in zip(lines, keys.tolist(), held, strict=True) if not (h and (a, b) in frequent)]
