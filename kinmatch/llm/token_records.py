@@ -7,8 +7,8 @@ u64 number of ids, ids; all little-endian. Checksum: CRC-32 rotated right by 15
 record u64 offset and u64 bytes, so a reader can fetch records in any order.
 
 Defined cases: a null or empty text is the single end id; a null doc_id sorts first and
-reads back as null; repeated ids keep one record for each row, ordered by text; an empty
-table gives no rows; other columns are ignored.
+reads back as null; repeated ids keep one record for each row, ordered by text; a text of any length is
+one record, encoded at once; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ HEAD, PAYLOAD, FOOT, ENTRY = struct.Struct("<QI"), struct.Struct("<qBBQ"), struc
 MANIFEST = "shard long, records_file string, index_file string, n_records long, n_tokens long, n_file_bytes long"
 #: Bytes read from a shard at once.
 READ_BYTES = 1 << 22
+#: Bytes of text that a shard is made for.
+SHARD_BYTES = 256 << 20
 
 
 def masked_crc(data: bytes) -> int:
@@ -80,12 +82,14 @@ def unframe(record: bytes | memoryview, at: int = 0) -> tuple[bytes, int]:
 def write_records(docs: DataFrame, tokenizer: str = tokens.TOKENIZER_FILE, shards: int | None = None) -> DataFrame:
     """Write one shard for each range of doc_id; returns the manifest, a row for each shard.
 
-    A task writes under a name of its own, and only the names that successful tasks return
+    Shards are as many as the session's shuffle partitions, or more where the texts fill more. A task writes under a name of its own, and only the names that successful tasks return
     are in the manifest, so retried and speculative tasks leave nothing behind that is read.
     """
     spark = docs.sparkSession
     ensure_workers(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     folder = new_path(spark, "records")
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

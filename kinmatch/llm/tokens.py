@@ -1,8 +1,10 @@
 """Exact, memoised use of a word-splitting tokenizer of the tokenizers library.
 
 The tokenizer's pre-tokenizer never lets a piece cross white space, so a text's ids are
-the ids of its words one after another, and a word of letters followed by ASCII marks is
-the letters' ids, then the marks'. Each worker keeps the ids of the words it has met as
+the ids of its words one after another, and a word of Latin-1 letters followed by ASCII marks is
+the letters' ids, then the marks'. Letters beyond Latin-1 may turn into a letter and a combining
+mark when they are normalised, and such a mark belongs to the marks behind it; words that hold one are asked
+for as a whole. Each worker keeps the ids of the words it has met as
 little-endian bytes and asks the library only for new ones; both caches are emptied when
 full, so memory stays bounded on any vocabulary.
 """
@@ -63,8 +65,10 @@ class WordEncoder(dict):
     def __missing__(self, word: str) -> bytes:
         got = self.older.get(word)
         if got is None:
-            if word.isalpha():
-                got = self._letters(word) if word.islower() and max(word) < "\u0100" else self._ask(word)
+            if max(word) >= "\u0100":
+                got = self._ask(word)
+            elif word.isalpha():
+                got = self._letters(word) if word.islower() else self._ask(word)
             elif word[-1] in MARKS and word[:-1].isalpha():
                 got = self[word[:-1]] + self[word[-1]]
             else:
