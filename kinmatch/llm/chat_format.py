@@ -1,9 +1,11 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
 A record is a VARIANT. Its fingerprint is the hash of its nested field paths (types of leaves and
-array positions left out, paths sorted); the fingerprint selects one of the declarative mappings
-below, which says where the turns, their roles and their texts are. A layout without mapping is
-reported with its fingerprint and gives no turns, so a mapping can be added for it.
+array positions left out, paths sorted), at any depth. Of these paths, the ones that some mapping
+names are hashed again, and that hash selects one of the declarative mappings
+below, which says where the turns, their roles and their texts are; fields that no mapping names (ids, sources,
+names of speakers) do not hide a layout and are left out. A layout without mapping, and a record without turns, is one
+row of its own with its fingerprint and null for role and text, so a mapping can be added for it.
 
 Template of a turn: ``<|turn|>role<|text|>text<|end|>``. Control strings inside roles and texts are
 escaped by one backslash after their first character (strings that already have backslashes there
@@ -13,29 +15,32 @@ of assistant turns.
 
 Defined cases: a null text is an empty one and a null role an empty role; turns without an order
 come first, ties are ordered by role and text; repeated rows are turns of their own; a null
-conversation id is a conversation; an empty table gives no rows; other columns are ignored.
+conversation id is a conversation; a null record has the fingerprint of no paths and is a row without turns;
+texts of any length are escaped as a whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Declarative mappings. ``paths``: the field paths of the layout. ``turns``: an array of turns
-#: with the names of role and text in it; or else ``parts``: (role, path) in order, where the path
-#: of a role is given as $.name and a part that is null is left out if listed in ``optional``.
+#: Declarative mappings. ``paths``: the field paths of the layout; ``optional``: paths it may have besides; ``also``:
+#: other sets of paths with the same meaning. ``turns``: an array of turns with the names of role and text in it; or
+#: else ``parts``: (role, path) in order, where the role is a name or the path of one; a part whose path is
+#: optional is left out where it is null, and a path after + is added to the one before it.
 MAPPINGS = {
     "turn row": {"paths": ["role", "text", "turn"], "parts": [("$.role", "$.text")]},
-    "messages": {"paths": ["messages[].content", "messages[].role"], "turns": ("$.messages", "role", "content")},
-    "conversations": {"paths": ["conversations[].from", "conversations[].value"], "turns": ("$.conversations", "from", "value")},
-    "prompt and completion": {"paths": ["completion", "prompt"], "parts": [("user", "$.prompt"), ("assistant", "$.completion")]},
-    "prompt and response": {"paths": ["prompt", "response"], "parts": [("user", "$.prompt"), ("assistant", "$.response")]},
+    "messages": {"paths": ["messages[].content", "messages[].role"], "also": [["messages[]"]], "turns": ("$.messages", "role", "content")},
+    "conversations": {"paths": ["conversations[].from", "conversations[].value"], "also": [["conversations[]"]], "turns": ("$.conversations", "from", "value")},
+    "prompt and completion": {"paths": ["completion", "prompt"], "optional": ["system"], "parts": [("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.completion")]},
+    "prompt and response": {"paths": ["prompt", "response"], "optional": ["system"], "parts": [("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response")]},
     "instruction": {"paths": ["instruction", "output"], "parts": [("user", "$.instruction"), ("assistant", "$.output")]},
-    "instruction with input": {"paths": ["input", "instruction", "output"], "parts": [("user", "$.instruction+$.input"), ("assistant", "$.output")]},
+    "instruction with input": {"paths": ["input", "instruction", "output"], "optional": ["system"], "parts": [("system", "$.system"), ("user", "$.instruction+$.input"), ("assistant", "$.output")]},
     "system, instruction": {"paths": ["instruction", "output", "system"], "parts": [("system", "$.system"), ("user", "$.instruction"), ("assistant", "$.output")]},
-    "question": {"paths": ["answer", "question"], "parts": [("user", "$.question"), ("assistant", "$.answer")]},
+    "question": {"paths": ["answer", "question"], "optional": ["system"], "parts": [("system", "$.system"), ("user", "$.question"), ("assistant", "$.answer")]},
 }
 #: Role names of other layouts, and the canonical ones.
 ROLES = {"human": "user", "gpt": "assistant", "model": "assistant", "bot": "assistant", "chatgpt": "assistant"}
@@ -46,25 +51,32 @@ LOSS_ROLE = "assistant"
 
 
 def paths_of(record: Column) -> Column:
-    """Sorted distinct leaf paths of a variant record, two levels of nesting and arrays of objects deep.
+    """Sorted distinct leaf paths of a variant record.
 
-    The schema that Spark derives of the value is rewritten: ``OBJECT<a: STRING, b:
-    ARRAY<OBJECT<c: STRING>>>`` has the paths a and b[].c.
+    The schema that Spark derives of the value is read token by token: ``OBJECT<a: STRING, `b c`:
+    ARRAY<OBJECT<d: STRING>>>`` has the paths a and `b c`[].d. Objects and arrays put the path they stand at
+    on a stack and take it off at their end.
     """
-    schema = F.regexp_replace(F.schema_of_variant(record), r"^OBJECT<(.*)>$", "$1")
-    # Names are quoted only if they need it; leaves' types go, inner objects keep their names.
-    nested = r"(\w+): (ARRAY<)?OBJECT<([^<>]*)>>?"
-    inner = F.flatten(
-        F.transform(
-            F.regexp_extract_all(schema, F.lit(r"(\w+: (?:ARRAY<)?OBJECT<[^<>]*>)"), 1),
-            lambda x: F.transform(
-                F.regexp_extract_all(F.regexp_extract(x, r"OBJECT<([^<>]*)>", 1), F.lit(r"(\w+): "), 1),
-                lambda y: F.concat(F.regexp_extract(x, r"^(\w+):", 1), F.when(x.contains("ARRAY<"), F.lit("[].")).otherwise(F.lit(".")), y),
-            ),
-        )
-    )
-    outer = F.regexp_extract_all(F.regexp_replace(schema, nested, ""), F.lit(r"(\w+): "), 1)
-    return F.array_sort(F.array_distinct(F.concat(outer, inner)))
+    tokens = F.regexp_extract_all(F.schema_of_variant(record), F.lit(r"(`(?:[^`]|``)*`: |[^\s<>,`]+: |OBJECT<>|OBJECT<|ARRAY<|>|[A-Z_]+(?:\([^)]*\))?)"), 1)
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("stack"), F.lit("").alias("at"), none.alias("found"))
+
+    def step(s: Column, t: Column) -> Column:
+        top = F.coalesce(F.try_element_at(s["stack"], F.lit(-1)), F.lit(""))
+        named, opens, array, ends = t.endswith(": "), t == "OBJECT<", t == "ARRAY<", t == ">"
+        inside = F.concat(s["at"], F.lit("[]"))
+        at = F.when(named, F.concat(top, F.when(top == "", "").otherwise("."), F.regexp_replace(t, ": $", ""))).when(array, inside).otherwise(s["at"])
+        stack = F.when(opens, F.array_append(s["stack"], s["at"])).when(array, F.array_append(s["stack"], inside)).when(ends, F.slice(s["stack"], 1, F.greatest(F.size(s["stack"]) - 1, F.lit(0)))).otherwise(s["stack"])
+        leaf = ~(named | opens | array | ends)
+        return F.struct(stack.alias("stack"), at.alias("at"), F.when(leaf, F.array_append(s["found"], s["at"])).otherwise(s["found"]).alias("found"))
+
+    return F.array_sort(F.array_distinct(F.coalesce(F.aggregate(tokens, start, step, lambda s: s["found"]), none)))
+
+
+def _layouts(mapping: dict) -> list[list[str]]:
+    """Every set of paths that selects a mapping."""
+    extra = mapping.get("optional", [])
+    return [sorted(mapping["paths"] + list(x)) for k in range(len(extra) + 1) for x in combinations(extra, k)] + [sorted(x) for x in mapping.get("also", [])]
 
 
 def fingerprint(paths: Column) -> Column:
@@ -98,8 +110,10 @@ def _turns(record: Column, mapping: dict) -> Column:
     for role, path in mapping["parts"]:
         texts = [_text(record, p) for p in path.split("+")]
         text = reduce(lambda a, b: F.when(b == "", a).otherwise(F.concat(a, F.lit("\n\n"), b)), texts)
-        out.append(_turn(_text(record, role) if role.startswith("$") else F.lit(role), text))
-    return F.array(*out)
+        turn = _turn(_text(record, role) if role.startswith("$") else F.lit(role), text)
+        optional = path.removeprefix("$.") in mapping.get("optional", [])
+        out.append(F.when(F.try_variant_get(record, path, "string").isNotNull(), turn) if optional else turn)
+    return F.array_compact(F.array(*out))
 
 
 def to_turns(records: DataFrame, record: str = "record") -> DataFrame:
@@ -108,19 +122,23 @@ def to_turns(records: DataFrame, record: str = "record") -> DataFrame:
     Columns that already bear these names are replaced. No mapping: layout null, turns empty.
     """
     spark = records.sparkSession
-    known = {}  # hash -> name, worked out by the same function
-    for name, m in MAPPINGS.items():
-        known[name] = F.xxhash64(F.lit("\n".join(sorted(m["paths"]))))
-    out = records.drop("layout", "schema_hash", "turns").withColumn("schema_hash", fingerprint(paths_of(F.col(record))))
-    hashes = spark.range(1).select(*[h.alias(n) for n, h in known.items()]).first()
+    layouts = {(name, k): F.xxhash64(F.lit("\n".join(x))) for name, m in MAPPINGS.items() for k, x in enumerate(_layouts(m))}
+    told = spark.range(1).select(*[h.alias(f"h{i}") for i, h in enumerate(layouts.values())]).first()  # by the same function
+    hashes: dict[str, list[int]] = {}
+    for (name, _), h in zip(layouts, told, strict=True):
+        hashes.setdefault(name, []).append(h)
+    known = sorted({p for m in MAPPINGS.values() for x in _layouts(m) for p in x})
+    own = [x + "_" * max(map(len, records.columns)) for x in ("paths", "known")]  # longer than any name there is
+    out = records.drop("layout", "schema_hash", "turns").withColumn(own[0], paths_of(F.col(record)))
+    out = out.withColumn("schema_hash", fingerprint(F.col(own[0]))).withColumn(own[1], fingerprint(F.filter(own[0], lambda p: p.isin(known)))).drop(own[0])
     layout = turns = None
     for name, mapping in MAPPINGS.items():
-        is_it = F.col("schema_hash") == F.lit(hashes[name])
+        is_it = F.col(own[1]).isin(hashes[name])
         layout = F.when(is_it, name) if layout is None else layout.when(is_it, name)
         turns = F.when(is_it, _turns(F.col(record), mapping)) if turns is None else turns.when(is_it, _turns(F.col(record), mapping))
     roles = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
     canonical = F.transform(turns, lambda t: _turn(F.coalesce(roles[t["role"]], t["role"], F.lit("")), t["text"]))
-    return out.withColumn("layout", layout).withColumn("turns", F.coalesce(canonical, F.array().cast("array<struct<role:string,text:string>>")))
+    return out.withColumn("layout", layout).withColumn("turns", F.coalesce(canonical, F.array().cast("array<struct<role:string,text:string>>"))).drop(own[1])
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
@@ -141,9 +159,9 @@ def parse_formatted(formatted: Column, loss_span: Column) -> Column:
 def format_records(records: DataFrame, keys: list[str], order: str, record: str = "record") -> DataFrame:
     """One row for each turn: keys, order, place in the record, role, text, formatted, loss_span, layout, schema_hash.
 
-    The formatted turns of a conversation, in order, are its sequence. Nothing is shuffled.
+    A record without turns is one row whose place, role, text and formatted text are null. The formatted turns of a conversation, in order, are its sequence. Nothing is shuffled.
     """
-    turns = to_turns(records, record).select(*keys, F.col(order).alias("turn_order"), "layout", "schema_hash", F.posexplode("turns").alias("place", "t"))
+    turns = to_turns(records, record).select(*keys, F.col(order).alias("turn_order"), "layout", "schema_hash", F.posexplode_outer("turns").alias("place", "t"))
     return format_turns(turns.select(*keys, "turn_order", "place", "layout", "schema_hash", "t.role", "t.text"))
 
 

@@ -7,9 +7,15 @@ One-versus-rest kernel ridge regression is fitted on the Nystroem features of a
 whole texts are scored in batches, as a matrix product with the landmarks and one with the
 regression's weights.
 
+Bounds of the fit, whatever the corpus: SAMPLE_ROWS labelled rows of at most LONGEST characters and
+together about SAMPLE_CHARS, shared out among the languages; the LANGUAGES that most rows bear (others are
+never predicted, none is sampled away below that number); a landmark for each language and LANDMARKS at least;
+the VOCABULARY n-grams of each length that most landmarks hold.
+
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a null language is
 not learned from; without any labelled row every text is ``und``; a null doc_id is never learned
-from; repeated rows are scored alike; other columns pass through, but those named lang_pred or
+from; of tied scores the first language in the order of names is taken; a text of any length is scored as a
+whole, a batch at a time; repeated rows are scored alike; other columns pass through, but those named lang_pred or
 score are replaced.
 """
 
@@ -19,15 +25,15 @@ import uuid
 from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinmatch.llm.textkit import with_columns
 from kinmatch.storage import spread
 
-#: Bounds of the fit: labelled rows sampled (shared out evenly among the languages), bytes of
-#: the longest text learned from, and landmarks.
-SAMPLE_ROWS, SAMPLE_BYTES, LANDMARKS = 3200, 200_000, 192
+#: Bounds of the fit: labelled rows sampled, characters of the longest text learned from and of all together, landmarks,
+#: languages, n-grams of each length.
+SAMPLE_ROWS, LONGEST, SAMPLE_CHARS, LANDMARKS, LANGUAGES, VOCABULARY = 3200, 200_000, 64_000_000, 192, 400, 60_000
 #: Weights of the n-gram lengths 1, 2, 3; the ridge; texts in a matrix product.
 WEIGHTS, RIDGE, BATCH = (0.1, 0.4, 0.5), 1e-3, 256
 #: A text of a known language has this share of the known three-byte n-grams that the median landmark
@@ -85,6 +91,12 @@ def features(texts: list[str], model: dict, covered: np.ndarray | None = None) -
     return x
 
 
+def _most_held(codes: list[np.ndarray]) -> np.ndarray:
+    """Ascending n-grams of texts; beyond VOCABULARY those that most texts hold."""
+    known, texts = np.unique(np.concatenate([np.unique(c) for c in codes]), return_counts=True)
+    return known if len(known) <= VOCABULARY else np.sort(known[np.argsort(-texts, kind="stable")[:VOCABULARY]])
+
+
 def _shared(codes: list[np.ndarray]) -> list[float]:
     """For each text, the share of its n-grams that another text has too."""
     known, texts = np.unique(np.concatenate([np.unique(c) for c in codes]), return_counts=True)
@@ -98,8 +110,8 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     if not names:
         return model
     queues = {n: [t for t, x in zip(texts, langs, strict=True) if x == n] for n in names}
-    chosen = [q[k] for k in range(max(map(len, queues.values()))) for q in queues.values() if k < len(q)][:landmarks]
-    model["vocabulary"] = [np.unique(np.concatenate(x)) for x in zip(*map(ngrams, chosen), strict=True)]
+    chosen = [q[k] for k in range(max(map(len, queues.values()))) for q in queues.values() if k < len(q)][: max(landmarks, len(names))]
+    model["vocabulary"] = [_most_held(x) for x in zip(*map(ngrams, chosen), strict=True)]
     model["border"] = FAMILIAR * float(np.median(_shared([ngrams(t)[2] for t in chosen])))
     marks = features(chosen, model)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
@@ -146,13 +158,16 @@ def held_out():
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     """Fit on at most about ``sample_rows`` labelled rows, as many of each language as there are."""
-    labelled = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out()).where(F.length("text").between(1, SAMPLE_BYTES))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows // 8).collect()}
+    labelled = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out()).where(F.length("text").between(1, LONGEST))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     share = max(8, sample_rows // max(1, len(counts)))
-    # Hash order: about a fifth more than a language's share is drawn, then cut to it.
+    # Hash order: about a fifth more than a language's share is drawn, then cut to it and to its characters.
     part = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * share / n + 10 / n))])[F.col("lang")] if counts else F.lit(0.0)
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000).select("doc_id", "text", "lang").collect()
-    drawn.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"]))
+    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000).select("doc_id", "text", "lang")
+    place = F.xxhash64("doc_id", F.lit(1))
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy(place, "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1))
+    drawn = drawn.withColumn("place", place).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SAMPLE_CHARS // max(1, len(counts)))
+    drawn = sorted(drawn.drop("before").collect(), key=lambda r: (r["place"], r["doc_id"]))
     rows, taken = [], dict.fromkeys(counts, 0)
     for r in drawn:
         if taken[r["lang"]] < share and has_letter(r["text"]):

@@ -71,6 +71,89 @@ def test_headers():
     assert mpeg_audio.header(bytes([0xFF, 0xFB, 0xF0, 0x00])) is None
 
 
+def protected_frame(word, body):
+    """A frame of any layer with a checksum worked out bit by bit."""
+    h = mpeg_audio.header(word)
+    bits = mpeg_audio.checked_bits(h, body)
+    c = 0xFFFF
+    for bit in ("".join(f"{b:08b}" for b in word[2:4]) + "".join(f"{b:08b}" for b in body))[: 16 + bits]:
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ int(bit) else 0)
+    return (word + c.to_bytes(2) + body).ljust(h.size, b"\0"), bits
+
+
+@pytest.mark.parametrize(
+    ("word", "bits"),
+    [
+        (bytes([0xFF, 0xFE, 0x80, 0xC0]), 128),  # layer I, mono: 32 allocations of 4 bits
+        (bytes([0xFF, 0xFE, 0x80, 0x40]), 4 * (32 + 4)),  # layer I, joint stereo from subband 4
+        (bytes([0xFF, 0xFC, 0xA0, 0xC0]), 11 * 4 + 12 * 3 + 7 * 2),  # layer II, mono, 192 kbit/s, 44.1 kHz, nothing allocated
+        (bytes([0xFF, 0xFC, 0x10, 0xC0]), 2 * 4 + 6 * 3),  # layer II, mono, 32 kbit/s
+        (bytes([0xFF, 0xF4, 0x80, 0x00]), 2 * (4 * 4 + 7 * 3 + 19 * 2)),  # MPEG 2 layer II, stereo
+    ],
+)
+def test_checksums_of_other_layers(word, bits):
+    frame, n = protected_frame(word, bytes(40))
+    assert n == bits
+    good = mpeg_audio.walk(frame * 3)
+    assert (good.crc_ok, good.crc_bad, good.skipped) == (3, 0, 0)
+    hurt = bytearray(frame * 3)
+    hurt[4] ^= 1
+    assert mpeg_audio.walk(bytes(hurt)).crc_bad == 1
+
+
+def test_scale_factor_selection_is_checked():
+    frame, bits = protected_frame(bytes([0xFF, 0xFC, 0x10, 0xC0]), b"\x11" + bytes(30))
+    assert bits == 2 * 4 + 6 * 3 + 2 * 2  # two subbands are allocated
+    hurt = bytearray(frame)
+    hurt[6 + 3] ^= 0x10  # the last of the bits checked
+    assert mpeg_audio.crc_good(frame, mpeg_audio.header(frame[:4])) and not mpeg_audio.crc_good(bytes(hurt), mpeg_audio.header(frame[:4]))
+
+
+def test_free_format_and_resync():
+    word = bytes([0xFF, 0xFB, 0x00, 0xC0])
+    frames = b"".join((word if k % 3 else bytes([0xFF, 0xFB, 0x02, 0xC0])) + bytes(196 + (k % 3 == 0)) for k in range(7))
+    s = mpeg_audio.walk(frames)
+    assert (len(s.offsets), s.skipped, s.offsets[:3]) == (7, 0, [0, 201, 401])
+    real = b"".join(protected_frame(bytes([0xFF, 0xFA, 0x90, 0xC0]), bytes(20))[0] for _ in range(3))
+    decoy = bytes([0xFF, 0xFD, 0x10, 0xC0]).ljust(mpeg_audio.header(bytes([0xFF, 0xFD, 0x10, 0xC0])).size, b"\1")
+    assert len(mpeg_audio.walk(b"junk" + decoy + real).offsets) == 3  # a layer II frame before layer III ones is no sync
+
+
+def test_tags():
+    tag = b"ID3\x02\0\0" + bytes([0, 0, 0, 10]) + b"TT2" + bytes([0, 0, 4]) + b"\0abc"
+    assert mpeg_audio.parse_id3v2(tag) == ({"TT2": b"\0abc"}, 20)
+    tag = b"ID3\x03\0\x40" + bytes([0, 0, 0, 24]) + bytes([0, 0, 0, 6]) + bytes(6) + b"TIT2" + bytes([0, 0, 0, 4, 0, 0]) + b"\0abc"
+    assert mpeg_audio.parse_id3v2(tag) == ({"TIT2": b"\0abc"}, 34)
+    last = b"TAG" + b"a title".ljust(30, b"\0") + b"someone".ljust(30, b" ") + bytes(30) + b"1999" + bytes(29) + bytes([7, 12])
+    assert mpeg_audio.walk(last).id3v1 == {"title": "a title", "artist": "someone", "year": "1999", "track": "7", "genre": "12"}
+
+
+def test_tables_are_compared():
+    media = mpeg_audio.store(bytes(range(256)) * 90)
+    s = mpeg_audio.walk(media)
+    assert s.table_agrees()
+    wrong = bytearray(media)
+    wrong[s.table_at + 23 + 16 + 50] ^= 0x7F  # an entry of the seek table
+    assert mpeg_audio.walk(bytes(wrong)).table_agrees() is False
+    assert mpeg_audio.walk(media[: s.offsets[-1]]).table_agrees() is False
+    assert mpeg_audio.walk(media[s.offsets[0] :]).table_agrees() is None
+
+
+def test_media_query(spark, sf):
+    """All columns of the contract, recomputed from the texts; the media are read by the library's own frame sizes only."""
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = mpeg_audio.op1_mpeg_audio(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        raw = texts[r.doc_id]
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        media = mpeg_audio.store(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        parts = -(-len(payload) // mpeg_audio.FRAME_PAYLOAD)
+        assert r.feature.startswith(f"frames={parts};seconds={mpeg_audio.Fraction(1152 * parts, 32000).numerator}/")
+
+
 # N-gram join
 
 
@@ -225,6 +308,20 @@ def test_word_cache_on_odd_texts(text):
     assert np.frombuffer(enc.encode(text), "<u4").tolist()[:-1] == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["ALİ,", "KENDİSİ.", "कड़,", "बड़.", "איִ,"])
+def test_letters_that_normalising_splits(text):
+    enc = tokens.encoder()
+    assert np.frombuffer(enc.encode(text), "<u4").tolist()[:-1] == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_word_cache_on_mixed_alphabets():
+    enc, rng = tokens.encoder(), random.Random(11)
+    letters = [*"aEßéÀµªºİıΣςſKÅ", *map(chr, range(0x0958, 0x0960)), *map(chr, range(0xFB1D, 0xFB4F)), *map(chr, range(0x0300, 0x0340)), "\u0915", "\u093c", "\u05d9", "\u05b4", "7", "²", " ", "\n", *tokens.MARKS, "'s", "'ll"]
+    for _ in range(30_000):
+        text = "".join(rng.choices(letters, k=rng.randint(1, 9)))
+        assert np.frombuffer(enc.encode(text), "<u4").tolist()[:-1] == enc.tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def encoded(spark, sf):
     t = Tokenizer.from_file(tokens.TOKENIZER_FILE)
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
@@ -305,12 +402,22 @@ def test_line_index_is_reversible(spark):
     assert dropped(first) == dropped(back) == [1, 1, 1, 1] and dropped(more) == [2, 2, 2, 2]
 
 
+def test_lines_of_repeated_ids(spark):
+    rows = [(1, "a\nb")] * 3 + [(2, "a"), (3, "b\nb"), (None, "a"), (None, "a")]
+    index = line_dedup.LineIndex.build(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=3)
+    assert sorted(r.refs for r in index.refs.collect()) == [2, 4]
+
+
 def test_lines_by_shuffle(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     key = lambda df: sorted((r.doc_id, r.text, r.n_dropped) for r in df.collect())
     shipped = key(line_dedup.dedup_lines(docs, 3))
     monkeypatch.setattr(line_dedup, "SHIPPED_KEYS", 0)
-    assert key(line_dedup.dedup_lines(docs, 3)) == shipped and sum(n for _, _, n in shipped)
+    odd = docs.withColumn("text_id", F.lit("x")).withColumn("gone", F.lit(1))
+    got = line_dedup.dedup_lines(odd, 3)
+    assert key(got) == shipped and sum(n for _, _, n in shipped) and {(r.text_id, r.gone) for r in got.collect()} == {("x", 1)}
+    monkeypatch.setattr(line_dedup, "FILTERED_KEYS", 0)
+    assert key(line_dedup.dedup_lines(docs, 3)) == shipped
 
 
 # Languages
@@ -342,6 +449,37 @@ def test_layouts(spark):
     assert got == [("prompt and response", [("user", "a"), ("assistant", "b")]), ("instruction with input", [("user", "i"), ("assistant", "o")]), ("conversations", [("user", "h"), ("assistant", "g")]), ("messages", [("system", "s")]), (None, [])]
 
 
+def test_no_record_is_lost(spark):
+    texts = [
+        '{"messages":[{"role":"user","content":"u","name":"n"},{"role":"assistant","content":"a"}],"id":7}',  # fields that no mapping names
+        '{"foo":{"bar":[{"baz":1}]}}',  # an unknown layout
+        '{"messages":[]}',
+        '{"prompt":"p","completion":"c","my key":1}',
+        '{"prompt":"p","completion":"c","system":"s"}',  # an optional part
+        '{"prompt":"p","completion":"c","system":null}',
+        None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, j string").select("id", F.lit(0).alias("o"), F.parse_json("j").alias("record"))
+    got = {}
+    for r in chat_format.format_records(rows, ["id"], "o").orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append((r.layout, r.role, r.text))
+    assert got == {
+        0: [("messages", "user", "u"), ("messages", "assistant", "a")],
+        1: [(None, None, None)],
+        2: [("messages", None, None)],
+        3: [("prompt and completion", "user", "p"), ("prompt and completion", "assistant", "c")],
+        4: [("prompt and completion", "system", "s"), ("prompt and completion", "user", "p"), ("prompt and completion", "assistant", "c")],
+        5: [("prompt and completion", "user", "p"), ("prompt and completion", "assistant", "c")],
+        6: [(None, None, None)],
+    }
+
+
+def test_paths(spark):
+    texts = ['{"a":{"b":{"c":[1,{"x":2}]}},"my key":"v","n":[[{"d":1}]],"e":{}}', '{"z":null,"m":[{"p":1},{"q":"s"}]}', "[1]", '"text"']
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, j string").select("id", chat_format.paths_of(F.parse_json("j")).alias("p")).orderBy("id").collect()
+    assert [r.p for r in rows] == [["`my key`", "a.b.c[]", "e", "n[][].d"], ["m[].p", "m[].q", "z"], ["[]"], [""]]
+
+
 def test_escape_round_trip(spark):
     parts = ["<|end|>", "<\\|end|>", "</s>", "[INST]", "[\\\\/INST]", "<", "|end|>", "\\", "<<SYS>>", "<|turn|>", "é\n", "<|text|>", "$1"]
     rng = random.Random(5)
@@ -375,6 +513,44 @@ def test_reparameterised(spark):
     assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [2, 3]
 
 
+def test_harder_slots(spark):
+    item = "{0} has {1} apples in a basket by the old door and takes away {2} of them so how many are left in the basket for {0}"
+    bench = spark.createDataFrame([(1, item.format("McKay", "30", "seven"))], "item_id long, text string")
+    docs = [(1, item.format("Maria", "41", "12")), (2, "Well: " + item.format("O'Neil", "twenty-five", "eleven")), (3, item.format("Mary Smith-Jones", "8", "3")), (4, item.replace("{0} has", "Carl has").format("Anna", "8", "3"))]
+    got = {r.doc_id for r in decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench, min_share=0.9).collect()}
+    assert got == {1, 2, 3}
+
+
+def test_recall_of_reparameterised_items(spark):
+    """Of questions with other names, numbers and units, nine in ten are found, and no clean document."""
+    rng = random.Random(17)
+    names, nouns, verbs, units = ["Ann", "Bo", "Cy McKay", "Dora", "Eve O'Neil", "Finn", "Gus"], ["apples", "pears", "coins", "books", "stamps", "shells"], ["buys", "sells", "finds", "loses", "paints"], ["km", "kg", "hours", "cents"]
+    fill = lambda: rng.choices([f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)], k=rng.randint(12, 30))
+
+    def made():
+        words = fill()
+        for k in range(rng.randint(2, 5)):
+            words.insert(rng.randrange(len(words)), f"{{n{k % 2}}} {rng.choice(verbs)} {{v{k % 3}}} {rng.choice([rng.choice(nouns), '{u}'])}")
+        return " ".join(words) + "."
+
+    def asked(t):
+        a, b = rng.sample(names, 2)
+        v = rng.sample([*map(str, range(2, 90)), "seven", "eleven", "thirty"], 3)
+        return t.format(n0=a, n1=b, v0=v[0], v1=v[1], v2=v[2], u=rng.choice(units))
+
+    templates = [made() for _ in range(80)]
+    bench = spark.createDataFrame([(k, asked(t)) for k, t in enumerate(templates)], "item_id long, text string")
+    docs = [(k, f"{' '.join(fill())}. {asked(t)} {' '.join(fill())}") for k, t in enumerate(templates)] + [(1000 + k, asked(made())) for k in range(80)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert sum((k, k) in got for k in range(80)) >= 72 and all(d == i for d, i in got)
+
+
+def test_clashing_names(spark):
+    bench = spark.createDataFrame([(1, "Six little ducks went out")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Six little ducks went out", "a", "b"), (2, "clean", "c", "d")], "doc_id long, text string, __id string, __text string")
+    assert [tuple(r) for r in decontaminate.decontaminate(docs, bench).collect()] == [(2, "clean", "c", "d")]
+
+
 def test_short_items(spark):
     bench = spark.createDataFrame([(1, "Six little ducks went out"), (2, "too short")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "And so six little ducks went OUT!"), (2, "too short")], "doc_id long, text string")
