@@ -48,6 +48,8 @@ WORDS64 = SIGNATURE_BITS // 64
 ROUNDS = 2
 #: Column blocks of the exact product; columns counted in one block of the first step.
 PRODUCT_BLOCKS, BLOCK_COLUMNS = 8, 500_000
+#: Tags that a task adds up before it hands them on.
+HELD_TAGS = 2_000_000
 #: Bits of a column that are counted; more rows than there are make a column look shared at most.
 COLUMN_BITS = 48
 #: A column is frequent if it is met this often in a batch, and by this many rows or this share of them in all.
@@ -181,28 +183,71 @@ def _entries(parts: Iterator[pd.DataFrame], words: int, salt: int, part: float,
         yield pd.DataFrame(out, columns=["block", "first", "width", "gaps", "tags", "rows"])
 
 
-def _shared(pdf: pd.DataFrame, tag: int) -> pd.DataFrame:
-    """Columns of a block that several rows hold, counted by tag (n 0), and the rows that lines carry."""
-    columns, tags, rows = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros((0, 3), np.int64)]
-    for first, width, gaps, tagged, carried in zip(pdf["first"], pdf["width"], pdf["gaps"], pdf["tags"], pdf["rows"], strict=True):
-        t = unpacked(bytes(tagged), tag)
+def _counted(lines: list, tag: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tags of the columns of a block that several rows hold, with the number of these columns."""
+    columns, tags = [np.zeros(0, U64)], [np.zeros(0, U64)]
+    for r in lines:
+        t = unpacked(bytes(r.tags), tag)
         if len(t):
-            columns.append(np.concatenate(([U64(first)], U64(first) + np.cumsum(unpacked(bytes(gaps), width)))))
+            columns.append(np.concatenate(([U64(r.first)], U64(r.first) + np.cumsum(unpacked(bytes(r.gaps), r.width)))))
             tags.append(t)
-        if carried is not None:
-            rows.append(np.frombuffer(bytes(carried), "<i8").reshape(-1, 3))
-    column, tags, rows = np.concatenate(columns), np.concatenate(tags), np.concatenate(rows)
+    column, tags = np.concatenate(columns), np.concatenate(tags)
+    if not len(column):
+        return tags, np.zeros(0, np.int64)
     order = np.argsort(column)
     column, tags = column[order], tags[order]
-    found, times = np.zeros(0, U64), np.zeros(0, np.int64)
-    if len(column):
-        first = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
-        times = np.diff(np.concatenate((first, [len(column)])))  # equal tags may be two rows
-        held = np.repeat(times > 1, times) & (tags != U64((1 << 8 * tag) - 1))
-        found, times = np.unique(tags[held], return_counts=True)
+    first = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
+    times = np.diff(np.concatenate((first, [len(column)])))  # equal tags may be two rows
+    held = np.repeat(times > 1, times) & (tags != U64((1 << 8 * tag) - 1))
+    return np.unique(tags[held], return_counts=True)
+
+
+SHARED = "bucket int, tags binary, shared binary, rows binary"
+
+
+def _shared(parts: Iterator[pd.DataFrame], tag: int, buckets: int) -> Iterator[pd.DataFrame]:
+    """By buckets of tags: what blocks, which come one after another, say of each tag, added up, and the rows that lines carry."""
+    tags, shared, rows, lines, at = [], [], [], [], None
+
+    def told() -> pd.DataFrame:
+        t, place = np.unique(np.concatenate([np.zeros(0, U64), *tags]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([np.zeros(0), *shared]), len(t)).astype(np.int64)
+        r = np.concatenate([np.zeros((0, 3), np.int64), *rows])
+        of_tag, of_row = ((x % U64(buckets)).astype(np.int64) for x in (t, tags_of(r[:, 0], tag)))
+        out = [(k, packed(t[of_tag == k], tag), packed(n[of_tag == k].astype(U64), 4), r[of_row == k].astype("<i8").tobytes()) for k in np.union1d(of_tag, of_row).tolist()]
+        for x in (tags, shared, rows):
+            x.clear()
+        return pd.DataFrame(out, columns=["bucket", "tags", "shared", "rows"])
+
+    def counted() -> None:
+        for x, y in zip((tags, shared), _counted(lines, tag), strict=True):
+            x.append(y)
+        lines.clear()
+
+    for pdf in parts:
+        for r in pdf.itertuples():
+            if r.block != at and lines:
+                counted()
+                if sum(map(len, tags)) > HELD_TAGS:
+                    yield told()
+            at = r.block
+            lines.append(r)
+            if r.rows is not None:
+                rows.append(np.frombuffer(bytes(r.rows), "<i8").reshape(-1, 3))
+    counted()
+    yield told()
+
+
+def _left(pdf: pd.DataFrame, percent: int, tag: int) -> pd.DataFrame:
+    """Rows of a bucket whose own columns leave room for a link."""
+    join = lambda c, width: np.concatenate([np.zeros(0, U64), *[unpacked(bytes(x), width) for x in pdf[c]]])
+    tags, place = np.unique(join("tags", tag), return_inverse=True)
+    shared = np.bincount(place, join("shared", 4).astype(np.float64), len(tags))
+    rows = np.concatenate([np.zeros((0, 3), np.int64), *[np.frombuffer(bytes(x), "<i8").reshape(-1, 3) for x in pdf["rows"]]])
     own = tags_of(rows[:, 0], tag)
-    none = np.zeros(len(found), np.int64)
-    return pd.DataFrame({"tag": np.concatenate((own, found)).astype(np.int64), "shared": np.concatenate((np.zeros(len(own), np.int64), times)), "row": np.concatenate((rows[:, 0], none)), "n": np.concatenate((rows[:, 1], none)), "single": np.concatenate((rows[:, 2], none))})
+    at = np.minimum(np.searchsorted(tags, own), max(0, len(tags) - 1))
+    met = np.where(tags[at] == own, shared[at], 0) if len(tags) else np.zeros(len(own))
+    return pd.DataFrame({"row": np.unique(rows[rows[:, 2] - met < lacking(rows[:, 1], percent), 0])})
 
 
 def peel(texts: DataFrame, words: int, percent: int, salt: int, part: float, columns: int, n_rows: int) -> DataFrame:
@@ -213,15 +258,14 @@ def peel(texts: DataFrame, words: int, percent: int, salt: int, part: float, col
     """
     parallel = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tag = max(2, -(-(max(1, n_rows).bit_length() + 4) // 8))
-    blocks = max(parallel, int(columns * part) // BLOCK_COLUMNS + 1)
+    blocks = max(4 * parallel, int(columns * part) // BLOCK_COLUMNS + 1)
     entries = texts.mapInPandas(partial(_entries, words=words, salt=salt, part=part, blocks=blocks, tag=tag), ENTRIES)
-    def shared(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _shared(pdf, tag)
+    shared = entries.repartition(parallel, "block").sortWithinPartitions("block").mapInPandas(partial(_shared, tag=tag, buckets=parallel), SHARED)
+
+    def left(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _left(pdf, percent, tag)
 
-    counted = entries.groupBy("block").applyInPandas(shared, "tag long, shared long, row long, n long, single long")
-    held = F.collect_set(F.when(F.col("n") > 0, F.struct("row", "n", "single"))).alias("held")
-    rows = counted.groupBy("tag").agg(F.sum("shared").alias("shared"), held).select("shared", F.explode("held").alias("h")).select("shared", "h.*")
-    return rows.where(F.col("single") - F.col("shared") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("row").distinct()
+    return shared.groupBy("bucket").applyInPandas(left, "row long")
 
 
 def _encoded(parts: Iterator[pd.DataFrame], words: int, salt: int) -> Iterator[pd.DataFrame]:
