@@ -142,3 +142,9 @@ def truncated(c: Column, words: int) -> Column:
 def spreadsheet_safe(c: Column) -> Column:
     """A quote before cells that a spreadsheet would take for a formula."""
     return F.when(c.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), c)).otherwise(c)
+
+
+def without_controls(value: Column) -> Column:
+    """Text for a terminal: escape sequences (ANSI) and control characters but tabs and line ends go."""
+    bare = F.regexp_replace(value, r"\x1B(?:\[[0-?]*[ -/]*[@-~]|\][^\x07\x1B]*(?:\x07|\x1B\\)|[@-Z\\-_])", "")
+    return F.regexp_replace(bare, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "")

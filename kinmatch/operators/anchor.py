@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.functions.pairs import positioned
+from kinmatch.operators.blocking import nearest
 from kinmatch.operators.cluster import complete_partition
 
 
@@ -42,6 +43,15 @@ class AnchorStore:
         minted = fresh.select("record_id", F.concat(F.lit(self.prefix), (F.col("top") + 1 + F.col("pos")).cast("string")).alias("entity_id"), F.lit("new").alias("kind"))
         return linked.union(minted)
 
+    def candidates(self, new: DataFrame, known: DataFrame | None = None, k: int | None = None) -> DataFrame:
+        """(record_id, anchor_id) to be judged for new records: with ``k``, the k anchors nearest by the vectors of ``new`` and
+        ``known`` (id, vector); without, every anchor, which is for small stores only."""
+        own = self.anchors.select("record_id")
+        if k is None:
+            return new.select(F.col("id").alias("record_id")).crossJoin(own.withColumnRenamed("record_id", "anchor_id"))
+        base = known.join(own.withColumnRenamed("record_id", "id"), "id", "left_semi")
+        return nearest(new, base, k).select(F.col("id").alias("record_id"), F.col("neighbour").alias("anchor_id"))
+
     def save(self, path: str) -> None:
         self.anchors.write.mode("overwrite").parquet(path)
 

@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.functions.text import folded
-from kinmatch.functions.vector import cosine
+from kinmatch.functions.vector import cosine, max_sim
 from kinmatch.storage import ensure_workers, materialise
 
-#: Bytes of vectors that a search ships to every task at once.
-SHIPPED_BYTES = 64 << 20
+#: Bytes of vectors in a block of a search.
+BLOCK_BYTES = 8 << 20
 
 
 def _pairs(joined: DataFrame, name: str) -> DataFrame:
@@ -71,57 +71,67 @@ def groups(pairs: DataFrame, order: str) -> DataFrame:
     return pairs.groupBy("left_id").agg(F.transform(ordered, lambda x: x["right_id"]).alias("members"), F.count("*").alias("n_members"))
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, same_source: bool = True, vector: str = "vector") -> DataFrame:
-    """Exact top-k by cosine: (id, neighbour, similarity, rank), self left out, ties by neighbour.
+def _packed(table: DataFrame, blocks: int, name: str, cols: list[str]) -> DataFrame:
+    """Rows (ids, vectors, sources) of blocks by a hash of the id, vectors as little-endian doubles laid end to end."""
+    kind = table.schema["id"].dataType.simpleString()
+    src = table.schema["source"].dataType.simpleString() if "source" in cols else "int"
+    vector = cols[1]
 
-    The base is cut into blocks whose vectors fit in SHIPPED_BYTES; a block is one broadcast matrix, a batch
-    of queries one matrix product, and only k candidates of a query leave a block. With ``same_source``
-    False, neighbours of the query's own source are left out before the top k are taken.
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        m = np.stack(pdf[vector]).astype("<f8")
+        sources = pdf["source"].tolist() if "source" in cols else None
+        return pd.DataFrame({f"{name}_ids": [pdf["id"].tolist()], f"{name}_vectors": [m.tobytes()], f"{name}_size": [m.shape[1]], f"{name}_sources": [sources]})
+
+    dealt = table.select(*cols).where(F.col(vector).isNotNull()).groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    return dealt.applyInPandas(pack, f"{name}_ids array<{kind}>, {name}_vectors binary, {name}_size int, {name}_sources array<{src}>")
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int, same_source: bool = True, vector: str = "vector", metric: str = "cosine") -> DataFrame:
+    """Exact top-k (id, neighbour, <metric>, rank), self left out, ties by neighbour; metric: cosine, l2 (distance) or ip.
+
+    Queries and base are packed into blocks of BLOCK_BYTES of vectors; each block of queries meets each block of
+    the base in a task, as one matrix product, and only k candidates of a query leave it. No vector passes through
+    the driver. With ``same_source`` False, neighbours of the query's own source are left out before the top k are taken.
     """
+    if metric not in ("cosine", "l2", "ip"):
+        raise ValueError(f"unknown metric {metric}")
     spark = base.sparkSession
     ensure_workers(spark)
     cols = ["id", vector] + ([] if same_source else ["source"])
-    base = base.select(*cols).where(F.col(vector).isNotNull())
-    stats = base.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
-    n, d = stats["n"], stats["d"] or 1
-    blocks = max(1, -(-n * d * 4 // SHIPPED_BYTES))
-    best = None
-    for b in range(blocks):
-        rows = base.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas() if blocks > 1 else base.toPandas()
-        if not len(rows):
-            continue
-        rows = rows.sort_values("id")
-        matrix = np.stack(rows[vector]).astype(np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        shipped = spark.sparkContext.broadcast((rows["id"].to_numpy(), matrix, None if same_source else rows["source"].to_numpy()))
-
-        def search(parts: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            ids, m, sources = shipped.value
-            for pdf in parts:
-                pdf = pdf[pdf[vector].notna()]
-                for at in range(0, len(pdf), 256):
-                    part = pdf.iloc[at : at + 256]
-                    if not len(part):
-                        continue
-                    q = np.stack(part[vector]).astype(np.float64)
-                    s = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)) @ m.T
-                    s[ids[None, :] == part["id"].to_numpy()[:, None]] = -np.inf
-                    if sources is not None:
-                        s[sources[None, :] == part["source"].to_numpy()[:, None]] = -np.inf
+    kind = base.schema["id"].dataType.simpleString()
+
+    def blocks(table: DataFrame, least: int) -> int:
+        n, d = table.where(F.col(vector).isNotNull()).agg(F.count("*"), F.max(F.size(vector))).first()
+        return max(1, min(least, n), -(-n * (d or 1) * 8 // BLOCK_BYTES))
+
+    q = _packed(queries, blocks(queries, spark.sparkContext.defaultParallelism), "q", cols)
+    b = _packed(base, blocks(base, 1), "b", cols)
+
+    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for r in pdf.itertuples():
+                x, y = (np.frombuffer(v, "<f8").reshape(-1, d) for v, d in ((r.q_vectors, r.q_size), (r.b_vectors, r.b_size)))
+                who, ids = np.asarray(r.q_ids), np.asarray(r.b_ids)
+                if metric == "cosine":
+                    x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (x, y))
+                for at in range(0, len(x), 256):
+                    s = x[at : at + 256] @ y.T
+                    if metric == "l2":
+                        s = -np.sqrt(np.maximum((x[at : at + 256] ** 2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * s, 0))
+                    s[ids[None, :] == who[at : at + 256, None]] = -np.inf
+                    if not same_source:
+                        s[np.asarray(r.b_sources)[None, :] == np.asarray(r.q_sources)[at : at + 256, None]] = -np.inf
                     s = np.round(s, 9)  # so that ties do not hang on the order of additions
                     top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    who = np.repeat(part["id"].to_numpy(), top.shape[1])
                     got = np.take_along_axis(s, top, axis=1).ravel()
-                    out = pd.DataFrame({"id": who, "neighbour": ids[top.ravel()], "cosine": got})
-                    yield out[np.isfinite(out["cosine"])]
+                    out = pd.DataFrame({"id": np.repeat(who[at : at + 256], top.shape[1]), "neighbour": ids[top.ravel()], metric: got})
+                    yield out[np.isfinite(out[metric])]
 
-        kind = base.schema["id"].dataType.simpleString()
-        found = queries.select(*cols).mapInPandas(search, f"id {kind}, neighbour {kind}, cosine double")
-        best = found if best is None else best.union(found)
-    if best is None:
-        return queries.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(1).alias("rank")).limit(0)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+    found = q.crossJoin(b).mapInPandas(search, f"id {kind}, neighbour {kind}, `{metric}` double")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(metric), "neighbour"))
+    out = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.withColumn(metric, -F.col(metric)) if metric == "l2" else out
 
 
 def knn_blocking(records: DataFrame, k: int, name: str = "vector") -> DataFrame:
@@ -155,6 +165,47 @@ def fuse_rrf(lists: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     return fused.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def fuse_dbsf(lists: list[DataFrame], k: int) -> DataFrame:
+    """Distribution-based fusion of scored lists (id, neighbour, score): of each list and query, scores are placed between the
+    mean less and plus three population deviations, 0 to 1 (one half without a deviation), and summed over the lists."""
+    both = None
+    for one in lists:
+        own = one.select("id", "neighbour", "score").withColumn("m", F.avg("score").over(Window.partitionBy("id"))).withColumn("d", F.stddev_pop("score").over(Window.partitionBy("id")))
+        placed = F.when(F.col("d") > 0, (F.col("score") - F.col("m")) / (6 * F.col("d")) + 0.5).otherwise(0.5)
+        own = own.select("id", "neighbour", F.least(F.greatest(placed, F.lit(0.0)), F.lit(1.0)).alias("s"))
+        both = own if both is None else both.union(own)
+    fused = both.groupBy("id", "neighbour").agg(F.sum("s").alias("fused"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("fused", 9).desc(), "neighbour"))
+    return fused.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def nearest_sparse(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """Top-k by the inner product of sparse vectors (id, term, weight): (id, neighbour, score, rank), self left out.
+
+    Terms meet by a shuffle of postings. Terms of every row make the postings long; drop them from the vectors first.
+    """
+    a = queries.select("id", "term", F.col("weight").alias("w"))
+    b = base.select(F.col("id").alias("neighbour"), "term", "weight")
+    scored = a.join(b, "term").where("id <> neighbour").groupBy("id", "neighbour").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("score", 9).desc(), "neighbour"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def padded(ranked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Exactly k rows of each query: missing ranks have neighbour -1 and a NaN score."""
+    slots = queries.select("id").distinct().select("id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
+    out = slots.join(ranked.select("id", "rank", "neighbour", "score"), ["id", "rank"], "left")
+    return out.select("id", F.coalesce("neighbour", F.lit(-1)).alias("neighbour"), F.coalesce("score", F.lit(float("nan"))).alias("score"), "rank")
+
+
+def rerank_late(ranked: DataFrame, queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """The k best of a (fused) list by late interaction of token vectors: queries (id, tokens), base (id, tokens)."""
+    q, d = queries.select("id", F.col("tokens").alias("q")), base.select(F.col("id").alias("neighbour"), F.col("tokens").alias("d"))
+    scored = ranked.select("id", "neighbour").join(q, "id").join(d, "neighbour").select("id", "neighbour", max_sim(F.col("q"), F.col("d")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("score", 9).desc(), "neighbour"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def ring_neighbours(records: DataFrame, k: int) -> DataFrame:
     """Deterministic stand-in for an index: the k records after each one by position, round the end."""
     n = records.count()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmatch.functions.pairs import canonical, last_wins
+from kinmatch.functions.pairs import canonical, last_wins, positioned
 from kinmatch.operators.cluster import connected_components
 
 KEY = ["pair_a", "pair_b"]
@@ -120,6 +120,38 @@ def sample_negatives(labelled: DataFrame, ratio: float, seed: int = 0) -> DataFr
     return labelled.where("label").unionByName(few)
 
 
+def random_pairs(records: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """At most ``n`` distinct unordered pairs of all records (left_id, right_id, draw), each draw two hashed places.
+
+    Places number the records in the order of ``pos``. Twice as many pairs are drawn as are asked for, equal places and
+    repeated pairs drop, and the first ``n`` stay; nothing is paired but what is drawn.
+    """
+    rows = positioned(records.select("id", F.col("pos").alias("__at")), "__at").select("id", F.col("pos").alias("place"))
+    total = rows.count()
+    place = lambda side: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), F.lit(side))), 1, 8), 16, 10).cast("long"), F.lit(max(1, total)))
+    drawn = records.sparkSession.range(2 * n + 16).select(F.col("id").alias("draw")).select("draw", place("a").alias("x"), place("b").alias("y")).where("x <> y")
+    first = drawn.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("draw").alias("draw")).orderBy("draw").limit(n)
+    of = lambda side, at: rows.select(F.col("id").alias(f"{side}_id"), F.col("place").alias(at))
+    return first.join(of("left", "x"), "x").join(of("right", "y"), "y").select("left_id", "right_id", "draw")
+
+
+def cross_cluster_pairs(clusters: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """Negative pairs: random pairs of records (id, pos, cluster) of different clusters."""
+    of = lambda side: clusters.select(F.col("id").alias(f"{side}_id"), F.col("cluster").alias(f"__{side}"))
+    drawn = random_pairs(clusters, 2 * n, seed).join(of("left"), "left_id").join(of("right"), "right_id").where("__left <> __right")
+    return drawn.orderBy("draw").limit(n).select("left_id", "right_id", F.lit(False).alias("label"))
+
+
+def within_cluster_pairs(clusters: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """Positive pairs: each record with the next one of its cluster in hash order, the first ``n`` of them in that order.
+
+    A cluster of m records gives m - 1 pairs, never their square.
+    """
+    w = Window.partitionBy("cluster").orderBy(hashed("id", seed=seed), "id")
+    rows = clusters.select("id", F.lead("id").over(w).alias("next")).where("next is not null")
+    return rows.select(F.least("id", "next").alias("left_id"), F.greatest("id", "next").alias("right_id")).orderBy(hashed("left_id", "right_id", seed=seed)).limit(n).withColumn("label", F.lit(True))
+
+
 def augment(labelled: DataFrame, fields: list[str]) -> DataFrame:
     """For each positive and each field present on both sides, a copy with that field blank on both."""
     there = F.array_compact(F.array(*[F.when((F.col(f"left_{f}") != "") & (F.col(f"right_{f}") != ""), F.lit(f)) for f in fields]))

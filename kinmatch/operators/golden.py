@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinmatch.functions.pairs import positioned
+
 STRATEGIES = ("first", "source_priority", "longest", "most_frequent", "most_complete", "most_recent")
 
 
@@ -45,8 +47,26 @@ def canonicalize(members: DataFrame, fields: dict[str, str], cluster: str = "clu
     return out.select(cluster, "n_members", *fields)
 
 
-def enrich(golden: DataFrame, mentions: DataFrame, fields: dict[str, str], cluster: str = "cluster_id") -> DataFrame:
-    """Golden records folded once more with new mentions, which come after them."""
-    old = golden.select(cluster, F.lit(0).cast("long").alias("pos"), *fields)
-    new = mentions.select(cluster, (F.col("pos") + 1).cast("long").alias("pos"), *fields)
-    return canonicalize(old.unionByName(new), fields, cluster)
+def enrich(golden: DataFrame, mentions: DataFrame, fields: dict[str, str], cluster: str = "cluster_id", timestamp: str | None = None) -> DataFrame:
+    """Golden records folded once more with new mentions, which come after them.
+
+    With most_recent, ``timestamp`` is a column of both; a golden record without a date loses to any dated mention.
+    """
+    keep = [*fields] + ([timestamp] if timestamp and timestamp not in fields else [])
+    old = golden if timestamp is None or timestamp in golden.columns else golden.withColumn(timestamp, F.lit(None).cast(mentions.schema[timestamp].dataType))
+    old = old.select(cluster, F.lit(0).cast("long").alias("pos"), *keep)
+    new = mentions.select(cluster, (F.col("pos") + 1).cast("long").alias("pos"), *keep)
+    out = canonicalize(old.unionByName(new), fields, cluster, timestamp=timestamp)
+    dated = [f for f, how in fields.items() if how == "most_recent"] if timestamp and timestamp not in golden.columns else []
+    if dated:  # values of golden records without a date stay where no dated mention has one
+        kept = golden.select(cluster, *[F.col(f).alias(f"__{f}") for f in dated])
+        out = out.join(kept, cluster, "left").withColumns({f: F.coalesce(f, f"__{f}") for f in dated}).drop(*[f"__{f}" for f in dated])
+    return out
+
+
+def finalize(members: DataFrame, fields: dict[str, str], cluster: str = "cluster_id", timestamp: str | None = None) -> DataFrame:
+    """The golden record of exactly one cluster, its members in the order of their ids; raises for none or several."""
+    found = members.select(cluster).distinct().limit(2).collect()
+    if len(found) != 1:
+        raise ValueError("exactly one cluster is finalised at a time")
+    return canonicalize(positioned(members.drop("pos"), "id"), fields, cluster, "pos", timestamp)

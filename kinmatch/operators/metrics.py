@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmatch.functions.pairs import canonical, predicted_match
+from kinmatch.functions.pairs import canonical, positioned, predicted_match
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -172,7 +172,7 @@ def _grouped(scored: DataFrame) -> DataFrame:
 def cumulative(scored: DataFrame) -> DataFrame:
     """For each distinct score, highest first: tp and fp of calling it and all above matches, with totals.
 
-    Distinct scores are rounded buckets' worth of rows, so the running sums are made in two steps: sums of ranges
+    Rows are grouped by score first, and the running sums are made in two steps: sums of ranges (64 to a unit)
     of scores, then within each range.
     """
     g = _grouped(scored).withColumn("range", F.floor(F.least(F.greatest("score", F.lit(-1e6)), F.lit(1e6)) * 64))
@@ -217,6 +217,48 @@ def youden(scored: DataFrame) -> DataFrame:
     return best.select(F.when(F.col("j") > 0, F.col("t")).otherwise(F.col("top") + 1e-9).alias("threshold"), "j")
 
 
+def percentile_threshold(scored: DataFrame, q: float) -> DataFrame:
+    """The score below which the share ``q`` of all scores lies, interpolated."""
+    return scored.where("score is not null").agg(F.percentile("score", q).alias("threshold"))
+
+
+def threshold_from_pairs(labelled: DataFrame, method: str = "youden", q: float = 0.95) -> tuple[float, list[str]]:
+    """Threshold from labelled pairs (score, label, optional label_source), and warnings.
+
+    Raises on a null score and without both classes; warns if no label is a correction.
+    """
+    told = labelled.agg(F.count("*").alias("n"), F.count_if(F.col("score").isNull()).alias("unscored"), F.count_if("label").alias("positive"), (F.count_if(F.col("label_source") == "correction") if "label_source" in labelled.columns else F.count("*")).alias("gold")).first()
+    if told["unscored"]:
+        raise ValueError(f"{told['unscored']} pairs have no score")
+    if method == "youden" and told["positive"] in (0, told["n"]):
+        raise ValueError("both classes are needed")
+    warnings = [] if told["gold"] else ["no label is a correction; the threshold follows the judge's own verdicts"]
+    df = youden(labelled) if method == "youden" else percentile_threshold(labelled, q)
+    return df.first()["threshold"], warnings
+
+
+def partition_track(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """BCubed and pairwise F1 of a partition, and those of all ids alone (the floor), for the ids of ``gold``."""
+    alone = gold.select("id", F.col("id").cast("string").alias("cluster"))
+    one = lambda p, x: bcubed(p, gold).select(F.col("f1").alias(f"{x}bcubed_f1")).join(F.broadcast(pairwise(p, gold).select(F.col("f1").alias(f"{x}pairwise_f1"))))
+    return one(pred, "").join(F.broadcast(one(alone, "floor_")))
+
+
+def running_f1(labels: DataFrame) -> DataFrame:
+    """Convergence of labels: after each labelled pair in the order of its key, tp, fp, fn and F1 of verdicts so far.
+
+    ``labels``: pair_a, pair_b, verdict, label. Running sums are made in two steps: sums of ranges of pairs, then within each.
+    """
+    flags = labels.select("pair_a", "pair_b", (F.col("verdict") & F.col("label")).cast("int").alias("tp"), (F.col("verdict") & ~F.col("label")).cast("int").alias("fp"), (~F.col("verdict") & F.col("label")).cast("int").alias("fn"))
+    rows = positioned(flags, "pair_a", "pair_b").withColumn("part", F.floor(F.col("pos") / 4096))
+    sums = rows.groupBy("part").agg(*[F.sum(c).alias(f"s_{c}") for c in ("tp", "fp", "fn")])
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("part", *[F.coalesce(F.sum(f"s_{c}").over(before), F.lit(0)).alias(f"b_{c}") for c in ("tp", "fp", "fn")])
+    within = Window.partitionBy("part").orderBy("pos")
+    out = rows.join(sums, "part").select("pair_a", "pair_b", (F.col("pos") + 1).alias("n"), *[(F.col(f"b_{c}") + F.sum(c).over(within)).alias(c) for c in ("tp", "fp", "fn")])
+    return out.withColumn("f1", ratio(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
+
+
 def brier(scored: DataFrame) -> DataFrame:
     """Mean squared error of probabilities."""
     return scored.agg(F.avg((F.col("score") - F.col("label").cast("double")) ** 2).alias("brier"))
@@ -230,11 +272,11 @@ def log_loss(scored: DataFrame, eps: float = 1e-15) -> DataFrame:
 
 def reliability(scored: DataFrame, bins: int = 8, quantile: bool = False) -> DataFrame:
     """(bin, n, confidence, accuracy). Quantile bins are cut on distinct scores, a tie never split; what the cuts
-    need comes to the driver as counts of scores rounded to six digits."""
+    need comes to the driver as counts of probabilities rounded to six digits, a million at most."""
     if not quantile:
         b = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1))
     else:
-        rows = scored.groupBy(F.round("score", 6).alias("s")).agg(F.count("*").alias("n")).orderBy("s").collect()
+        rows = scored.groupBy(F.round(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)), 6).alias("s")).agg(F.count("*").alias("n")).orderBy("s").collect()
         total, cuts, done, at = sum(r["n"] for r in rows), [], 0, 0
         for k in range(1, bins):
             while at < len(rows) and done < round(k * total / bins):

@@ -41,6 +41,33 @@ def embedding_norms(vectors: DataFrame, *by: str) -> DataFrame:
     return v.withColumn("u", F.when(ok, F.col("v"))).groupBy(*by).agg(F.count("u").alias("n"), F.avg("u").alias("mean"), F.stddev_pop("u").alias("deviation"), F.min("u").alias("least"), F.max("u").alias("greatest"), F.count_if(F.col("u").isNull()).alias("dropped"))
 
 
+def norm_histogram(vectors: DataFrame, bins: int = 10, *by: str) -> DataFrame:
+    """Counts of usable vectors' lengths in equal bins on one axis, from the least to the greatest of all groups."""
+    v = vectors.withColumn("v", norm(F.col("vector"))).where((F.col("v") > 0) & ~F.isnan("v") & (F.col("v") < float("inf")))
+    m = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    b = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col("v") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1)))
+    return v.join(F.broadcast(m)).groupBy(*by, b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def compare_embeddings(models: dict[str, DataFrame], bins: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Norm statistics and histograms of several models' vectors on a shared axis, by ``model``."""
+    both = None
+    for name, df in models.items():
+        one = df.select(F.lit(name).alias("model"), "vector")
+        both = one if both is None else both.unionByName(one)
+    return embedding_norms(both, "model"), norm_histogram(both, bins, "model")
+
+
+def headline(sections: dict[str, DataFrame]) -> dict[str, float | int | None]:
+    """Headline figures of a profile: the first row of every one-row section, as section.column."""
+    out = {}
+    for name, df in sections.items():
+        rows = df.limit(2).collect()
+        if len(rows) == 1:
+            out |= {f"{name}.{c}": rows[0][c] for c in df.columns if isinstance(rows[0][c], int | float)}
+    return out
+
+
 def failures(judged: DataFrame, slices: list[str]) -> DataFrame:
     """Errors by slice: rows, false positives and negatives, rate and lift over the overall rate, worst first.
 

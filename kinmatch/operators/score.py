@@ -120,8 +120,11 @@ def patterns(pairs: DataFrame, features: list[str], agree_at: float = 0.85) -> D
     return pairs.groupBy(mark.alias("pattern")).agg(F.count("*").alias("n"))
 
 
-def fit_fellegi_sunter(pairs: DataFrame, random_pairs: DataFrame, features: list[str], agree_at: float = 0.85, prior: float = 0.1, iterations: int = 20, tolerance: float = 1e-4) -> FellegiSunter:
-    """u from random pairs (add-one), prior and m by EM over pattern counts, which are all that leaves the cluster."""
+def fit_fellegi_sunter(pairs: DataFrame, random_pairs: DataFrame, features: list[str], agree_at: float = 0.85, prior: float = 0.5, iterations: int = 20, tolerance: float = 1e-4) -> FellegiSunter:
+    """u from random pairs (add-one), prior and m by EM over pattern counts, which are all that leaves the cluster.
+
+    ``random_pairs`` are drawn from all records (:func:`kinmatch.operators.curate.random_pairs`), not from the candidates.
+    """
 
     def table(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         rows = patterns(df, features, agree_at).orderBy("pattern").collect()
@@ -203,14 +206,14 @@ class Calibrator:
         return cls(slope=float(model.coefficients[0]), intercept=float(model.intercept))
 
     def value(self, score: Column) -> Column:
-        """Calibrated probability; isotonic maps are interpolated and flat outside."""
+        """Calibrated probability; isotonic maps are interpolated and flat outside. The boundaries are one array literal."""
         if self.slope is not None:
             return 1 / (1 + F.exp(-(score * self.slope + self.intercept)))
-        out = F.when(score <= self.bounds[0], self.values[0])
-        for (x0, y0), (x1, y1) in zip(zip(self.bounds, self.values, strict=True), list(zip(self.bounds, self.values, strict=True))[1:], strict=False):
-            if x1 > x0:
-                out = out.when(score <= x1, y0 + (y1 - y0) * (score - x0) / (x1 - x0))
-        return out.otherwise(self.values[-1])
+        xs, ys = (F.array(*[F.lit(float(x)) for x in v]) for v in (self.bounds, self.values))
+        above = F.size(F.filter(xs, lambda x: x < score))  # boundaries below the score
+        x0, x1, y0, y1 = F.get(xs, above - 1), F.get(xs, above), F.get(ys, above - 1), F.get(ys, above)
+        between = F.when(x1 > x0, y0 + (y1 - y0) * (score - x0) / (x1 - x0)).otherwise(y1)
+        return F.when(score.isNull(), F.lit(None).cast("double")).when(above == 0, F.get(ys, F.lit(0))).when(above >= len(self.bounds), F.lit(float(self.values[-1]))).otherwise(between)
 
     def apply(self, pairs: DataFrame) -> DataFrame:
         """Rows that have a score and a score type get the probability; decisions stay."""
@@ -280,7 +283,7 @@ def link(pairs: DataFrame, at: float) -> DataFrame:
 
 def assign(pairs: DataFrame, at: float) -> DataFrame:
     """One-to-one greedy assignment: rounds of mutually best pairs until none is left."""
-    from kinmatch.storage import materialise
+    from kinmatch.storage import discard, materialise
 
     left, chosen = materialise(threshold(pairs, at), "pairs"), None
     cols = pairs.columns
@@ -291,4 +294,5 @@ def assign(pairs: DataFrame, at: float) -> DataFrame:
         chosen = won if chosen is None else chosen.union(won)
         if not won.limit(1).count():
             return chosen
-        left = materialise(left.join(won.select("left_id"), "left_id", "left_anti").join(won.select("right_id"), "right_id", "left_anti").select(*cols), "pairs")
+        before, left = left, materialise(left.join(won.select("left_id"), "left_id", "left_anti").join(won.select("right_id"), "right_id", "left_anti").select(*cols), "pairs")
+        discard(before)

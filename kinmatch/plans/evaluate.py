@@ -72,7 +72,7 @@ def pareto(runs: DataFrame, gain: str, cost: str) -> DataFrame:
 
 def within_budget(pairs: DataFrame, worst_cost: float, budget: float, order: str = "left_id") -> DataFrame:
     """The rows that can be paid for at their worst cost; a distributed job cannot stop halfway."""
-    return pairs.orderBy(order, "right_id").limit(int(budget // worst_cost))
+    return pairs.orderBy(order, "right_id").limit(int(budget / worst_cost + 1e-9))
 
 
 def price(usage: DataFrame, prices: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinmatch.functions import text, vector
 from kinmatch.functions.pairs import predicted_match
-from kinmatch.operators import anchor, blocking, cluster, curate, golden, judge, metrics, pivot, profile, score
+from kinmatch.operators import anchor, blocking, bootstrap, cluster, curate, golden, judge, metrics, pivot, profile, score
 from kinmatch.plans import evaluate
 from kinmatch.plans import pipeline as chains
 from kinmatch.sources import records as sources
@@ -160,18 +160,19 @@ def indel_ratio_names(spark, sf):
     return p.select("a", "b", r6(text.indel_expr(F.col("a"), F.col("b"))).alias("ratio"))
 
 
-_SET = f"""with n as (select distinct p_name || ' ' || p_type as a from part), m as (select distinct p_name as b from part),
-p as (select a, b, list_distinct(string_split(a, ' ')) as ta, list_distinct(string_split(b, ' ')) as tb from n join m on true),
-q as (select a, b, list_sort(list_filter(ta, lambda x: list_contains(tb, x))) as c, list_sort(list_filter(ta, lambda x: not list_contains(tb, x))) as da, list_sort(list_filter(tb, lambda x: not list_contains(ta, x))) as db from p),
+_SET = f"""with {BLOCKED}, p as (select distinct ln || ' ' || lt as a, rn as b from kp where ln is not null and rn is not null),
+t as (select a, b, list_distinct(string_split(trim(a), ' ')) as ta, list_distinct(string_split(b, ' ')) as tb from p),
+q as (select a, b, list_sort(list_filter(ta, lambda x: list_contains(tb, x))) as c, list_sort(list_filter(ta, lambda x: not list_contains(tb, x))) as da, list_sort(list_filter(tb, lambda x: not list_contains(ta, x))) as db from t),
 s as (select *, array_to_string(c, ' ') as sc, array_to_string(list_concat(c, da), ' ') as sa, array_to_string(list_concat(c, db), ' ') as sb from q)
 select a, b, round(case when len(c) > 0 and (len(da) = 0 or len(db) = 0) then 1.0 when len(c) = 0 then {ratio_sql("sa", "sb")} else greatest({ratio_sql("sc", "sa")}, {ratio_sql("sc", "sb")}, {ratio_sql("sa", "sb")}) end, 6) as token_set_ratio from s"""
 
 
 @query(_SET)
 def token_set_ratio_names(spark, sf):
-    p = table(spark, sf, "part")
-    a, b = p.select(F.concat_ws(" ", "p_name", "p_type").alias("a")).distinct(), p.select(F.col("p_name").alias("b")).distinct()
-    return a.join(F.broadcast(b)).select("a", "b", r6(text.similarity(F.col("a"), F.col("b"), "token_set_ratio")).alias("token_set_ratio"))
+    r = parts(spark, sf)
+    of = lambda side, c: r.select(F.col("id").alias(f"{side}_id"), c)
+    told = blocked(spark, sf).join(of("left", F.concat("name", F.lit(" "), "type").alias("a")), "left_id").join(of("right", F.col("name").alias("b")), "right_id")
+    return told.select("a", "b").where("a is not null and b is not null").distinct().select("a", "b", r6(text.similarity(F.col("a"), F.col("b"), "token_set_ratio")).alias("token_set_ratio"))
 
 
 @query(f"with {SCORED} select left_id, right_id, round(score, 6) as score, decision_step from scored")
@@ -238,7 +239,8 @@ def fellegi_sunter_scores(spark, sf):
 @query()
 def fellegi_sunter_fit(spark, sf):
     p = materialise(compared(spark, sf), "compared")
-    m = score.fit_fellegi_sunter(p, p, ["name", "type"])
+    random = score.compare(curate.random_pairs(parts(spark, sf), 2000), parts(spark, sf), FEATURES)
+    m = score.fit_fellegi_sunter(p, materialise(random, "random_pairs"), ["name", "type"])
     return rounded(m.score(p), "score").groupBy("score").agg(F.count("*").alias("n"))
 
 
@@ -278,9 +280,9 @@ def pivot_clusters(spark, sf):
 
 @query("with f as (select text, min(doc_id) as component from documents group by text) select doc_id as id, component from documents join f using (text)")
 def exact_text_components(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    first = d.groupBy("text").agg(F.min("doc_id").alias("component"))
-    links = d.join(first, "text").where("doc_id <> component").select(F.col("component").alias("left_id"), F.col("doc_id").alias("right_id"))
+    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    first = d.groupBy("digest").agg(F.min("doc_id").alias("component"))
+    links = d.join(first, "digest").where("doc_id <> component").select(F.col("component").alias("left_id"), F.col("doc_id").alias("right_id"))
     return cluster.complete_partition(cluster.connected_components(links), d.select(F.col("doc_id").alias("id")))
 
 
@@ -325,6 +327,17 @@ QUERIES["golden_most_frequent"] = _golden("most_frequent")
 SQL["golden_most_frequent"] = f"with {ORD}, s as (select cluster_id, status, count(*) as c, min(pos) as p from o where trim(status) <> '' group by 1, 2), r as (select cluster_id, priority, count(*) as c, min(pos) as p from o where trim(priority) <> '' group by 1, 2) select g.cluster_id, g.n_members, (select arg_max(status, (c, -p)) from s where s.cluster_id = g.cluster_id) as status, (select arg_max(priority, (c, -p)) from r where r.cluster_id = g.cluster_id) as priority from (select cluster_id, count(*) as n_members from o group by 1) g"
 
 
+def _when(c: str) -> str:
+    return f"arg_max({c}, (at_, -pos)) filter (where trim({c}) <> '' and at_ is not null)"
+
+
+@query(f"with {ORD}, ev as (select cluster_id, {_when('status')} as s, arg_min(priority, pos) filter (where trim(priority) <> '') as p from f where pos % 2 = 0 group by 1), od as (select cluster_id, count(*) as n, {_when('status')} as s, arg_min(priority, pos) filter (where trim(priority) <> '') as p from f where pos % 2 = 1 group by 1) select coalesce(ev.cluster_id, od.cluster_id) as cluster_id, (coalesce(n, 0) + (ev.cluster_id is not null)::int)::bigint as n_members, coalesce(od.s, ev.s) as status, coalesce(ev.p, od.p) as priority from ev full join od on ev.cluster_id = od.cluster_id")
+def golden_enriched(spark, sf):
+    o, fields = orders(spark, sf), {"status": "most_recent", "priority": "first"}
+    old = golden.canonicalize(o.where("pos % 2 = 0"), fields, timestamp="at")
+    return golden.enrich(old, o.where("pos % 2 = 1"), fields, timestamp="at")
+
+
 # Partitions of customers: nation against market segment and account band.
 
 
@@ -347,6 +360,11 @@ def pairwise(spark, sf):
     return m.withColumns({c: F.col(c).cast("long") for c in ("tp", "fp", "fn")})
 
 
+@query(f"with {PART}, x as (select sum(np * n / ps.s) / sum(np) as p, sum(ng * n / gs.s) / sum(ng) as r from cells join ps using (p) join gs using (g)), y as (select (select sum(n * (n - 1) / 2) from cells) as tp, (select sum(s * (s - 1) / 2) from ps) as pp, (select sum(s * (s - 1) / 2) from gs) as gp), fl as (select count(distinct c) / count(*) as r from g0) select round(2 * p * x.r / (p + x.r), 6) as bcubed_f1, round(2 * tp / (pp + gp), 6) as pairwise_f1, round(2 * fl.r / (1 + fl.r), 6) as floor_bcubed_f1, 0.0::double as floor_pairwise_f1 from x, y, fl")
+def partition_floor(spark, sf):
+    return rounded(metrics.partition_track(*_partitions(spark, sf)), "bcubed_f1", "pairwise_f1", "floor_bcubed_f1", "floor_pairwise_f1")
+
+
 @query(f"with {PART} select ((select count(*) from cells) * 2 - (select count(*) from ps) - (select count(*) from gs))::double as distance, (select count(*) from cells) - (select count(*) from ps) as splits, (select count(*) from cells) - (select count(*) from gs) as merges")
 def merge_distance(spark, sf):
     return metrics.merge_distance(*_partitions(spark, sf))
@@ -543,12 +561,35 @@ def hybrid_rrf(spark, sf):
     return blocking.fuse_rrf([_ranked(spark, sf, 10), same], 5).select("id", "neighbour", "rank")
 
 
-@query("with v as (select vec_id as id, embedding::double[] as e from embeddings), d as (select id, [e[1:32], e[33:64]] as q from v), p as (select a.id, b.id as neighbour, greatest(list_dot_product(a.q[1], b.q[1]), list_dot_product(a.q[1], b.q[2])) + greatest(list_dot_product(a.q[2], b.q[1]), list_dot_product(a.q[2], b.q[2])) as s from d a join d b on b.id > a.id and b.id <= a.id + 5) select id, neighbour, round(s, 5) as score from p")
+_TOK = "tok as (select id, e[1:32] as t1, e[33:64] as t2 from v)"
+_RRF = "d as (select id, neighbour, row_number() over (partition by id order by cosine desc, neighbour) as rank from cs qualify rank <= 10), s as (select a.id, b.id as neighbour, row_number() over (partition by a.id order by b.id) as rank from v a join v b on a.label = b.label and a.id <> b.id qualify rank <= 10), f as (select id, neighbour, sum(1 / (60 + rank)) as fused from (select * from d union all select * from s) group by 1, 2), fused as (select id, neighbour from f qualify row_number() over (partition by id order by round(fused, 12) desc, neighbour) <= 5)"
+
+
+@query(f"with {VEC}, {_RRF}, {_TOK}, l as (select fused.id, neighbour, greatest(list_dot_product(q.t1, d.t1), list_dot_product(q.t1, d.t2)) + greatest(list_dot_product(q.t2, d.t1), list_dot_product(q.t2, d.t2)) as score from fused join tok q on q.id = fused.id join tok d on d.id = neighbour) select id, neighbour, round(score, 5) as score from l qualify row_number() over (partition by id order by round(score, 9) desc, neighbour) <= 3")
 def late_interaction(spark, sf):
-    v = vectors(spark, sf).select("id", F.array(F.slice("vector", 1, 32), F.slice("vector", 33, 32)).alias("q"))
-    near = v.select("id", F.explode(F.sequence(F.col("id") + 1, F.col("id") + 5)).alias("neighbour"))
-    p = near.join(v, "id").join(v.select(F.col("id").alias("neighbour"), F.col("q").alias("d")), "neighbour")
-    return p.select("id", "neighbour", F.round(vector.max_sim(F.col("q"), F.col("d")), 5).alias("score"))
+    tokens = vectors(spark, sf).select("id", F.array(F.slice("vector", 1, 32), F.slice("vector", 33, 32)).alias("tokens"))
+    return blocking.rerank_late(hybrid_rrf(spark, sf), tokens, tokens, 3).select("id", "neighbour", F.round("score", 5).alias("score"))
+
+
+_L2 = VEC + ", ds as (select a.id, b.id as neighbour, round(list_distance(a.e, b.e), 9) as l2 from v a join v b on a.id <> b.id)"
+
+
+@query(f"with {_L2}, c as (select id, neighbour, cosine as score from cs qualify row_number() over (partition by id order by cosine desc, neighbour) <= 10), l as (select id, neighbour, 1 / (1 + l2) as score from ds qualify row_number() over (partition by id order by l2, neighbour) <= 10), pl as (select id, neighbour, case when stddev_pop(score) over w > 0 then least(greatest((score - avg(score) over w) / (6 * stddev_pop(score) over w) + 0.5, 0), 1) else 0.5 end as s from c window w as (partition by id) union all select id, neighbour, case when stddev_pop(score) over w > 0 then least(greatest((score - avg(score) over w) / (6 * stddev_pop(score) over w) + 0.5, 0), 1) else 0.5 end from l window w as (partition by id)), f as (select id, neighbour, sum(s) as fused from pl group by 1, 2) select id, neighbour, round(fused, 5) as fused from f qualify row_number() over (partition by id order by round(fused, 9) desc, neighbour) <= 5")
+def hybrid_dbsf(spark, sf):
+    v = vectors(spark, sf)
+    dense = _ranked(spark, sf, 10).withColumnRenamed("cosine", "score")
+    far = blocking.nearest(v, v, 10, metric="l2").withColumn("score", 1 / (1 + F.col("l2")))
+    return blocking.fuse_dbsf([dense, far], 5).select("id", "neighbour", F.round("fused", 5).alias("fused"))
+
+
+_TERMS = "terms as (select distinct p_type as id, unnest(string_split(p_type, ' ')) as term from part), w as (select id, term, length(term)::double as weight from terms)"
+
+
+@query(f"with {_TERMS}, x as (select a.id, b.id as neighbour, sum(a.weight * b.weight) as score from w a join w b using (term) where a.id <> b.id group by 1, 2) select id, neighbour, score, row_number() over (partition by id order by round(score, 9) desc, neighbour) as rank from x qualify rank <= 4")
+def sparse_topk(spark, sf):
+    t = table(spark, sf, "part").select(F.col("p_type").alias("id")).distinct().select("id", F.explode(F.array_distinct(F.split("id", " "))).alias("term"))
+    t = t.withColumn("weight", F.length("term").cast("double"))
+    return blocking.nearest_sparse(t, t, 4).select("id", "neighbour", "score", "rank")
 
 
 @query("with v as (select label, sqrt(list_dot_product(embedding::double[], embedding::double[])) as v from embeddings) select label, count(*) as n, round(avg(v), 5) as mean, round(stddev_pop(v), 5) as deviation, round(min(v), 5) as least, round(max(v), 5) as greatest, 0::bigint as dropped from v group by label")
@@ -557,11 +598,16 @@ def embedding_norms(spark, sf):
     return n.withColumns({c: F.round(c, 5) for c in ("mean", "deviation", "least", "greatest")})
 
 
-@query("with v as (select vec_id as id, embedding::double[] as e from embeddings) select a.id as left_id, b.id as right_id, round(1 / (1 + list_distance(a.e, b.e)), 5) as similarity from v a join v b on b.id = a.id + 1")
+@query(f"with {_L2}, n as (select * from ds qualify row_number() over (partition by id order by l2, neighbour) <= 5) select id, neighbour, round(1 / (1 + l2), 5) as similarity from n")
 def l2_neighbours(spark, sf):
-    v = vectors(spark, sf).select("id", "vector")
-    p = v.withColumn("right_id", F.col("id") + 1).join(v.select(F.col("id").alias("right_id"), F.col("vector").alias("w")), "right_id")
-    return p.select(F.col("id").alias("left_id"), "right_id", F.round(vector.l2_similarity(F.col("vector"), F.col("w")), 5).alias("similarity"))
+    v = vectors(spark, sf)
+    return blocking.nearest(v, v, 5, metric="l2").select("id", "neighbour", F.round(1 / (1 + F.col("l2")), 5).alias("similarity"))
+
+
+@query("with v as (select label % 2 as model, sqrt(list_dot_product(embedding::double[], embedding::double[])) as v from embeddings), m as (select min(v) as lo, max(v) as hi from v) select model, least(floor((v - lo) * 5 / (hi - lo)), 4)::int as bin, count(*) as n from v, m group by 1, 2")
+def embedding_comparison(spark, sf):
+    v = vectors(spark, sf).withColumn("model", F.col("label") % 2)
+    return profile.norm_histogram(v, 5, "model")
 
 
 # Profiles
@@ -633,7 +679,10 @@ def hard_negative_strata(spark, sf):
     return curate.strata(log(spark, sf))
 
 
-@query()
+_STRATA = LOG + ", c as (select quantile_cont(score, 0.4) as lo, quantile_cont(score, 0.85) as hi from lg), st as (select left_id as pair_a, right_id as pair_b, score, case when score >= hi then 'hard' when score >= lo then 'medium' else 'easy' end as stratum from lg, c)"
+
+
+@query(f"with {_STRATA} select * from st qualify row_number() over (partition by stratum order by md5('0|' || pair_a || '|' || pair_b), pair_a, pair_b) <= case stratum when 'medium' then 20 else 10 end")
 def hard_negative_sample(spark, sf):
     return curate.mine_hard_negatives(log(spark, sf), 40)
 
@@ -660,6 +709,65 @@ def denoised_pairs(spark, sf):
     return curate.denoise(log(spark, sf).select("left_id", "right_id", "score", F.col("verdict").alias("label")))
 
 
+_DRAW = "('0x' || substr(md5('0|' || draw || '|{}'), 1, 8))::bigint % n"
+
+
+def _drawn_sql(rows: str, draws: int) -> str:
+    """Random pairs of ``rows`` (id, place) in SQL: hashed places, each pair at its first draw."""
+    return f"{rows}, nn as (select count(*) as n from rws), dr as (select draw, {_DRAW.format('a')} as x, {_DRAW.format('b')} as y from (select range as draw from range({draws})), nn), fd as (select least(x, y) as x, greatest(x, y) as y, min(draw) as draw from dr where x <> y group by 1, 2)"
+
+
+_ROWS = "rws as (select p_partkey::varchar as id, p_brand as cluster, row_number() over (order by p_partkey) - 1 as place from part)"
+
+
+@query(f"with {_drawn_sql(_ROWS, 116)}, q as (select * from fd order by draw limit 50) select a.id as left_id, b.id as right_id, draw from q join rws a on a.place = x join rws b on b.place = y")
+def random_record_pairs(spark, sf):
+    return curate.random_pairs(parts(spark, sf), 50)
+
+
+@query(f"with {_drawn_sql(_ROWS, 176)}, q as (select * from fd order by draw limit 80), p as (select a.id as left_id, b.id as right_id, draw from q join rws a on a.place = x join rws b on b.place = y where a.cluster <> b.cluster order by draw limit 40) select left_id, right_id, false as label from p")
+def cross_cluster_negatives(spark, sf):
+    return curate.cross_cluster_pairs(parts(spark, sf).select("id", "pos", F.col("brand").alias("cluster")), 40)
+
+
+@query("with h as (select p_partkey::varchar as id, lead(p_partkey::varchar) over (partition by p_brand order by md5('0|' || p_partkey), p_partkey::varchar) as nx from part), p as (select least(id, nx) as left_id, greatest(id, nx) as right_id from h where nx is not null) select left_id, right_id, true as label from p order by md5('0|' || left_id || '|' || right_id) limit 40")
+def within_cluster_positives(spark, sf):
+    return curate.within_cluster_pairs(parts(spark, sf).select("id", F.col("brand").alias("cluster")), 40)
+
+
+# Bootstrapping a gold set
+
+
+@query(f"with {BLOCKED} select kp.left_id, kp.right_id, a.p_size = b.p_size as label from kp join part a on a.p_partkey = lp join part b on b.p_partkey = rp")
+def cluster_labels(spark, sf):
+    c = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_size").alias("cluster"))
+    return bootstrap.label_by_clusters(blocked(spark, sf), c).select("left_id", "right_id", "label")
+
+
+@query(f"with {SCORED} select left_id, right_id, score >= 0.8 as label, round(0.5 + least(abs(score - 0.8) / 0.8, 1.0) / 2, 4) as confidence from scored")
+def score_labels(spark, sf):
+    return bootstrap.label_by_score(scored(spark, sf), 0.8).select("left_id", "right_id", "label", "confidence")
+
+
+@query(f"with {LOG}, n as (select count(*) as n, count(*) filter (where verdict and second) as tp, count(*) filter (where verdict and not second) as fp, count(*) filter (where not verdict and second) as fn, count(*) filter (where not verdict and not second) as tn from lg), k as (select *, ((tp + fp)::double * (tp + fn) + (fn + tn)::double * (fp + tn)) / (n::double * n) as e from n) select n, tp, fp, fn, round(case when 2 * tp + fp + fn = 0 then 0 else 2.0 * tp / (2 * tp + fp + fn) end, 6) as f1, round(case when e = 1 then 0 else ((tp + tn) / n - e) / (1 - e) end, 6) as kappa from k")
+def bootstrap_agreement(spark, sf):
+    l = log(spark, sf)  # noqa: E741
+    gold = l.where("second").select(F.col("left_id").alias("pair_a"), F.col("right_id").alias("pair_b"))
+    report = bootstrap.Report.build(l, l.withColumn("label", F.col("verdict")), gold)
+    return rounded(report.sections["agreement"], "f1", "kappa")
+
+
+@query(f"with {LOG}, x as (select left_id, right_id, (verdict and second)::int as tp, (verdict and not second)::int as fp, (not verdict and second)::int as fn from lg) select left_id as pair_a, right_id as pair_b, row_number() over w as n, sum(tp) over w::bigint as tp, sum(fp) over w::bigint as fp, sum(fn) over w::bigint as fn, round(case when sum(2 * tp + fp + fn) over w = 0 then 0 else 2.0 * sum(tp) over w / sum(2 * tp + fp + fn) over w end, 6) as f1 from x window w as (order by left_id, right_id)")
+def label_convergence(spark, sf):
+    rows = log(spark, sf).select(F.col("left_id").alias("pair_a"), F.col("right_id").alias("pair_b"), "verdict", F.col("second").alias("label"))
+    return rounded(metrics.running_f1(rows), "f1")
+
+
+@query(f"with {LAB} select round(quantile_cont(score, 0.9), 6) as threshold from lab")
+def percentile_threshold(spark, sf):
+    return rounded(metrics.percentile_threshold(labelled(spark, sf), 0.9), "threshold")
+
+
 # Text columns
 
 
@@ -690,6 +798,18 @@ def parsed_answers(spark, sf):
     return a.select("id", text.parse_score(F.col("answer")).alias("score"), text.parse_yes_no(F.col("answer")).alias("yes"), strict.alias("strict"))
 
 
+@query("select conv_id, turn, replace(text, chr(9), '') as text from conversations")
+def terminal_text(spark, sf):
+    c = table(spark, sf, "conversations")
+    told = F.concat(F.lit("\x1b[31m"), F.regexp_replace("text", "\t", ""), F.lit("\x1b[0m\x07"))
+    return c.select("conv_id", "turn", text.without_controls(told).alias("text"))
+
+
+@query("select s_name as raw, 'a' || (row_number() over (order by s_suppkey) - 1) as id from supplier")
+def raw_id_map(spark, sf):
+    return sources.id_map(table(spark, sf, "supplier"), "s_name", "a", "s_suppkey")
+
+
 @query("select event_id, case when substr(case when event_id % 3 = 0 then '=' else '' end || event_type, 1, 1) = '=' then '''=' || event_type else event_type end as cell from events")
 def spreadsheet_cells(spark, sf):
     c = F.concat(F.when(F.col("event_id") % 3 == 0, "=").otherwise(""), F.col("event_type"))
@@ -701,15 +821,23 @@ def spreadsheet_cells(spark, sf):
 
 @query("with k as (select text, min(doc_id) as f from documents where doc_id % 2 = 0 group by text), o as (select text, row_number() over (order by f) - 1 as ordinal from k), n as (select doc_id, ordinal, row_number() over (partition by ordinal is null order by doc_id) - 1 as nth from documents left join o using (text) where doc_id % 2 = 1) select doc_id as record_id, 'e' || coalesce(ordinal, (select max(ordinal) from o) + 1 + nth)::varchar as entity_id, case when ordinal is null then 'new' else 'link' end as kind from n")
 def anchor_assign(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), "text")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.sha2("text", 256).alias("digest"))
     known, new = d.where("id % 2 = 0"), d.where("id % 2 = 1")
-    first = known.groupBy("text").agg(F.min("id").alias("component"))
-    store = anchor.AnchorStore.build(known, known.join(first, "text").select("id", "component"))
+    first = known.groupBy("digest").agg(F.min("id").alias("component"))
+    store = anchor.AnchorStore.build(known, known.join(first, "digest").select("id", "component"))
     store.anchors = materialise(store.anchors, "anchors")
-    matches = new.join(first, "text").select(F.col("id").alias("record_id"), F.col("component").alias("anchor_id"))
+    matches = new.join(first, "digest").select(F.col("id").alias("record_id"), F.col("component").alias("anchor_id"))
     return store.assign(new, matches)
 
 
+@query(f"with {VEC}, n as (select * from cs where id % 2 = 1 and neighbour % 2 = 0 qualify row_number() over (partition by id order by cosine desc, neighbour) <= 3) select id as record_id, neighbour as anchor_id from n")
+def anchor_candidates(spark, sf):
+    v = vectors(spark, sf)
+    known = v.where("id % 2 = 0")
+    store = anchor.AnchorStore(known.select(F.col("id").alias("record_id"), F.col("label").cast("string").alias("entity_id"), F.col("pos").alias("ordinal")))
+    return store.candidates(v.where("id % 2 = 1"), known, 3)
+
+
 # Experiments
 
 
@@ -749,9 +877,9 @@ def duplicate_ids(spark, sf):
     return n.join(n.groupBy("id").count().where("count > 1").select("id"), "id", "left_semi").select("id", "name", "price")
 
 
-@query("with t as (select s_suppkey as l, s_suppkey + 1 as r from supplier where s_suppkey % 5 <> 0), i as (select l as id from t where l % 3 = 0 union select r from t where l % 3 = 0) select l as left_id, r as right_id, case (l in (select id from i))::int + (r in (select id from i))::int when 2 then 'seen' when 1 then 'half_seen' else 'unseen' end as slice from t where l % 3 <> 0")
+@query("with t as (select s_suppkey as l, s_suppkey + 1 + s_suppkey % 7 as r from supplier), i as (select l as id from t where l % 3 = 0 union select r from t where l % 3 = 0) select l as left_id, r as right_id, case (l in (select id from i))::int + (r in (select id from i))::int when 2 then 'seen' when 1 then 'half_seen' else 'unseen' end as slice from t where l % 3 <> 0")
 def seen_slices(spark, sf):
-    t = table(spark, sf, "supplier").where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("left_id"), (F.col("s_suppkey") + 1).alias("right_id"))
+    t = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("left_id"), (F.col("s_suppkey") + 1 + F.col("s_suppkey") % 7).alias("right_id"))
     return sources.seen_slices(t.where("left_id % 3 <> 0"), t.where("left_id % 3 = 0"))
 
 
@@ -783,6 +911,6 @@ def group_selection(spark, sf):
     return judge.select_in_groups(g, judge.first_member).select("left_id", "right_id", "score")
 
 
-@query()
+@query("select p_partkey::varchar as id, 1.0::double as norm from part")
 def hashed_embeddings(spark, sf):
     return judge.embed(parts(spark, sf), ["name", "type"], judge.hash_embedder).select("id", F.round(vector.norm(F.col("vector")), 4).alias("norm"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from kinmatch.functions.pairs import positioned
+from kinmatch.operators.cluster import complete_partition, connected_components
 
 
 def check_unique(records: DataFrame, column: str = "id") -> DataFrame:
@@ -63,6 +66,88 @@ def linkage(left: DataFrame, right: DataFrame, mapping: DataFrame, left_prefix:
     return of(left, left_prefix, "a").unionByName(of(right, right_prefix, "b")), gold.select(F.least("l", "r").alias("pair_a"), F.greatest("l", "r").alias("pair_b")).distinct()
 
 
+def id_map(rows: DataFrame, column: str, prefix: str, order: str) -> DataFrame:
+    """(raw, id) of a source table: prefix and raw id where every raw id is a number, else prefix and the row's place by ``order``.
+
+    Raises if a raw id repeats, as two records would become one.
+    """
+    raw = rows.select(F.trim(F.col(column).cast("string")).alias("raw"), F.col(order).alias("__o"))
+    n, distinct, numbers = raw.agg(F.count("*"), F.countDistinct("raw"), F.count_if(F.col("raw").rlike("^[0-9]+$"))).first()
+    if n != distinct:
+        raise ValueError(f"raw ids of {column} repeat or are missing")
+    if n == numbers:
+        return raw.select("raw", F.concat(F.lit(prefix), "raw").alias("id"))
+    return positioned(raw, "__o").select("raw", F.concat(F.lit(prefix), F.col("pos").cast("string")).alias("id"))
+
+
+def row_records(rows: DataFrame, fields: list[str], required: tuple[str, ...] = ()) -> DataFrame:
+    """Stripped fields of rows: blank ones are null, or empty where they are required; other columns stay."""
+    told = {f: F.when(F.trim(F.col(f).cast("string")) != "", F.trim(F.col(f).cast("string"))) for f in fields}
+    return rows.withColumns({f: F.coalesce(c, F.lit("")) if f in required else c for f, c in told.items()})
+
+
+def person_pairs(a: DataFrame, b: DataFrame, mapping: DataFrame, raw_id: str = "rec_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Person files of two sources and a mapping (id_a, id_b): records with ids a<raw> and b<raw>, closed-world clusters
+    (unmatched records alone) and gold pairs."""
+    of = lambda t, p: t.select(F.concat(F.lit(p), F.trim(F.col(raw_id).cast("string"))).alias("id"), F.lit(p).alias("source"), *[c for c in a.columns if c != raw_id])
+    records = check_unique(of(a, "a").unionByName(of(b, "b")))
+    gold = mapping.select(F.concat(F.lit("a"), F.trim(F.col("id_a").cast("string"))).alias("pair_a"), F.concat(F.lit("b"), F.trim(F.col("id_b").cast("string"))).alias("pair_b")).distinct()
+    matched = connected_components(gold, "pair_a", "pair_b")
+    return records, complete_partition(matched, records).withColumnRenamed("component", "cluster"), gold
+
+
+@dataclass(frozen=True)
+class Benchmark:
+    """A named dataset: what loads (records, gold pairs), and what it is called elsewhere."""
+
+    name: str
+    load: Callable[[SparkSession, str], tuple[DataFrame, DataFrame]] | None
+    description: str = ""
+
+
+BENCHMARKS: dict[str, Benchmark] = {}
+
+
+def register_benchmark(benchmark: Benchmark) -> Benchmark:
+    """Add a dataset; a name can be taken once."""
+    if BENCHMARKS.setdefault(benchmark.name, benchmark) is not benchmark:
+        raise ValueError(f"benchmark {benchmark.name} is taken")
+    return benchmark
+
+
+def load_benchmark(spark: SparkSession, name: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Records and gold pairs of a registered dataset from the files in a folder."""
+    if name not in BENCHMARKS:
+        raise ValueError(f"unknown benchmark {name}; there are {', '.join(sorted(BENCHMARKS))}")
+    if BENCHMARKS[name].load is None:
+        raise ValueError(f"{name} has to be downloaded by hand")
+    return BENCHMARKS[name].load(spark, folder)
+
+
+def _two_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    read = lambda f: read_csv(spark, f"{folder}/{f}.csv")
+    mapping = read("train").unionByName(read("valid")).unionByName(read("test"))
+    return linkage(read("tableA"), read("tableB"), mapping)
+
+
+def _persons(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    read = lambda f: read_csv(spark, f"{folder}/{f}.csv")
+    records, _, gold = person_pairs(read("person_a"), read("person_b"), read("perfectMapping"))
+    return records, gold
+
+
+def _restaurants(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    read = lambda f: read_csv(spark, f"{folder}/{f}.csv", quote="'")
+    mapping = read_csv(spark, f"{folder}/matches_fodors_zagats.csv").select(F.col("fodors_id").alias("ltable_id"), F.col("zagats_id").alias("rtable_id"))
+    return linkage(read("fodors"), read("zagats"), mapping, "f_", "z_")
+
+
+for _name in ("abt_buy", "amazon_google", "dblp_acm", "dblp_scholar", "walmart_amazon", "wdc_products"):
+    register_benchmark(Benchmark(_name, _two_tables, "tableA, tableB, and train, valid and test pairs"))
+register_benchmark(Benchmark("febrl_person", _persons, "two person files and a mapping"))
+register_benchmark(Benchmark("fodors_zagat", _restaurants, "two restaurant files and their matches"))
+
+
 def read_groups(spark: SparkSession, names_path: str, groups_path: str) -> tuple[DataFrame, DataFrame]:
     """Dedup dataset of two JSON files: names {id: name} and groups of entity ids; gives (id, name) and (id, cluster)."""
     names = spark.read.text(names_path, wholetext=True).select(F.explode(F.from_json(F.get_json_object("value", "$.names"), "map<string,string>")).alias("id", "name"))
@@ -93,6 +178,25 @@ def fingerprint(records: DataFrame) -> str:
     return hashlib.sha256("|".join(str(x) for x in got).encode()).hexdigest()
 
 
+def read_matrix(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """(id, vector) of a matrix in .npy format whose rows belong to ``ids`` (id, pos); rows are read where they are asked for.
+
+    The file is mapped into memory by each task, so it must stand where every executor can read it.
+    """
+    from kinmatch.storage import ensure_workers
+
+    ensure_workers(spark)
+
+    def read(parts):
+        import numpy as np
+
+        m = np.load(path, mmap_mode="r", allow_pickle=False)
+        for pdf in parts:
+            yield pdf[["id"]].assign(vector=[m[k].astype("float32").tolist() for k in pdf["pos"]])
+
+    return ids.select("id", "pos").mapInPandas(read, f"id {ids.schema['id'].dataType.simpleString()}, vector array<float>")
+
+
 def vectors_for(ids: DataFrame, vectors: DataFrame) -> DataFrame:
     """Vectors of the asked ids; ids without one have a null."""
     return ids.select("id").join(vectors.select("id", "vector"), "id", "left")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import os
 import uuid
+import warnings
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not sc.master.startswith("local"):
         raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    warnings.warn(f"spark.checkpoint.dir is not set; tables of this local session go to {LOCAL_FALLBACK}", stacklevel=2)
     return f"{LOCAL_FALLBACK}/{sc.applicationId}"
 
 
