@@ -7,11 +7,13 @@ capture is evaluated against the entries active when it was fetched: its host an
 domain (kind ``domain``) and its host with every leading path (kind ``prefix``).
 
 Intervals are dealt out by the months they touch, so a capture meets only the entries of its own
-month whatever the length of a pattern's history, and a hot host is an ordinary skewed join key.
+month whatever the length of a pattern's history. Equal captures are one row in the join, so a hot host is
+as many rows as it has distinct URLs and times.
 
 Defined cases: a null URL, one without host, or a null fetch time matches nothing; events with a null field
-are ignored; repeated captures are kept and decided alike; an empty list blocks nothing; columns of the
-captures that bear an added name are replaced.
+are ignored; repeated captures are kept and decided alike; an empty list blocks nothing, an empty table gives no rows; of
+a URL of any length as many path steps are looked up as some listed prefix has; columns of the
+captures that bear an added name are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -38,14 +40,14 @@ def intervals(events: DataFrame) -> DataFrame:
     return spans.select("kind", "pattern", "category", F.col("listed_on").alias("from"), "to").where("to is null or to > from")
 
 
-def _candidates(captures: DataFrame) -> DataFrame:
-    """A row for each pattern that could list a capture."""
+def _candidates(captures: DataFrame, deepest: int) -> DataFrame:
+    """A row for each pattern that could list a capture; ``deepest``: path steps of the longest listed prefix."""
     labels = F.split("host", F.lit(r"\."))
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")))
     path = F.regexp_extract("url", r"^[^:]*://[^/?#\\]*([^?#]*)", 1)
     steps = F.filter(F.split(path, "/"), lambda x: x != "")
     prefixes = F.transform(
-        F.when(F.size(steps) > 0, F.sequence(F.lit(1), F.size(steps))).otherwise(F.array().cast("array<int>")),
+        F.when((F.size(steps) > 0) & (F.lit(deepest) > 0), F.sequence(F.lit(1), F.least(F.size(steps), F.lit(max(1, deepest))))).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat_ws("/", F.col("host"), F.array_join(F.slice(steps, 1, i), "/")).alias("pattern")),
     )
     return captures.select("url", "at", F.explode(F.concat(domains, prefixes)).alias("p")).select("url", "at", "p.kind", F.lower("p.pattern").alias("pattern"))
@@ -60,11 +62,13 @@ def filter_urls(captures: DataFrame, events: DataFrame, url: str = "url", fetche
     first, last = F.lit(months["first"]).cast("date"), F.lit(months["last"]).cast("date")
     begin, end = F.greatest(F.trunc("from", "MM"), first), F.least(F.trunc(F.coalesce(F.date_sub("to", 1), last), "MM"), last)
     by_month = active.withColumn("month", F.explode(F.when(begin <= end, F.sequence(begin, end, F.expr("interval 1 month")))))
-    keyed = _candidates(asked).withColumn("month", F.trunc("at", "MM"))
+    deepest = active.where("kind = 'prefix'").agg(F.max(F.size(F.split("pattern", "/"))) - 1).first()[0] or 0
+    keyed = _candidates(asked, deepest).withColumn("month", F.trunc("at", "MM"))
     met = keyed.join(by_month, ["kind", "pattern", "month"]).where("at >= from and (to is null or at < to)")
     decided = met.groupBy("url", "at").agg(F.count("*").alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), F.min("from").alias("active_since"))
-    out = named.withColumn("host", host_of(F.col(url))).withColumn("__url", F.col(url)).withColumn("__at", F.col(fetched_at).cast("timestamp"))
-    out = out.join(decided.withColumnsRenamed({"url": "__url", "at": "__at"}), ["__url", "__at"], "left").drop("__url", "__at")
+    own = [x + "_" * max(map(len, captures.columns)) for x in ("url", "at")]  # longer than any name there is
+    out = named.withColumn("host", host_of(F.col(url))).withColumn(own[0], F.col(url)).withColumn(own[1], F.col(fetched_at).cast("timestamp"))
+    out = out.join(decided.withColumnsRenamed({"url": own[0], "at": own[1]}), own, "left").drop(*own)
     return out.withColumn("n_active", F.coalesce("n_active", F.lit(0))).withColumn("blocked", F.col("n_active") > 0).withColumn("categories", F.coalesce("categories", F.lit("")))
 
 

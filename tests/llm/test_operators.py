@@ -430,6 +430,35 @@ def test_held_out_accuracy(spark):
     assert r.a > 0.97 and r[1] >= 0 and r[2] <= 1
 
 
+def test_against_plain_kernel_ridge():
+    """With every text a landmark, scores are those of kernel ridge regression over plain Python sets."""
+    rng = random.Random(8)
+    words = {"a": ["ba", "lo", "mi", "ra", "to"], "b": ["sch", "ung", "ein", "ich", "keit"], "c": ["qu", "eux", "ait", "oi", "que"]}
+    made = lambda k: " ".join("".join(rng.choices(words[k], k=rng.randint(1, 3))) for _ in range(12))
+    langs = [k for k in words for _ in range(8)]
+    texts, asked = [made(k) for k in langs], [made(k) for k in words for _ in range(4)]
+    model = language_id.fit(texts, langs)
+    grams = lambda t, n: {t[i : i + n] for i in range(len(t) - n + 1)}
+    padded = lambda t: b" " + t.encode() + b" "
+    known = [set().union(*[grams(padded(t), n) for t in texts]) for n in (1, 2, 3)]
+    sets = lambda t: [grams(padded(t), n) & known[n - 1] for n in (1, 2, 3)]
+    kernel = lambda x, y: sum(w * len(p & q) / (len(p) * len(q)) ** 0.5 for w, p, q in zip(language_id.WEIGHTS, x, y, strict=True))
+    own = [sets(t) for t in texts]
+    gram = np.array([[kernel(x, y) for y in own] for x in own])
+    y = np.array([[1.0 if x == k else -1.0 for k in sorted(words)] for x in langs])
+    alpha = np.linalg.solve(gram + language_id.RIDGE * len(texts) * np.eye(len(texts)), y)
+    out = np.array([[kernel(sets(t), x) for x in own] for t in asked]) @ alpha
+    got_langs, got_scores = language_id.classify(asked, model)
+    assert got_langs == [sorted(words)[k] for k in out.argmax(axis=1)] == [k for k in words for _ in range(4)]
+    assert got_scores == pytest.approx(np.clip((out.max(axis=1) + 1) / 2, 0, 1), abs=2e-3)
+
+
+def test_bounds_of_the_fit(monkeypatch):
+    monkeypatch.setattr(language_id, "VOCABULARY", 40)
+    model = language_id.fit(["abcdefgh" * 3, "hgfedcba xyz"], ["p", "q"], landmarks=1)
+    assert all(len(v) <= 40 for v in model["vocabulary"]) and model["landmarks"].shape[1] == 2  # one for each language
+
+
 def test_kernel_is_presence():
     model = language_id.fit(["abab cd", "xyz xyz"], ["p", "q"])
     f = language_id.features(["abab cd", "abab cd abab cd"], model)
