@@ -3,6 +3,11 @@ copies, nothing of the benchmark, packed into sequences.
 
 Every stage works on all that the one before it kept and returns the columns of ``documents``, but
 the last, which returns the pieces of the packed sequences.
+
+Defined cases, for every stage: texts of any length are worked on as a whole; an empty table gives no rows and
+keeps its columns; columns of the documents pass through whatever their names. Null and empty texts go in the first stage,
+as they have no letter; later stages, called by themselves, keep them. Rows without a doc_id are documents. Repeated rows
+are decided alike but in the n-gram join, where one of them stays. Ties are those of the operators.
 """
 
 from __future__ import annotations
@@ -51,7 +56,8 @@ STAGES = [
     ("benchmark decontamination", drop_benchmark),
     ("packing", pack_sequences),
 ]
-#: SQL cannot express the learned language model; tests hold every stage against brute force.
+#: SQL cannot express the learned language model; tests hold the operators against brute force and the stages against what they
+#: keep of awkward rows.
 ORACLE_SQL = None
 
 
