@@ -103,7 +103,7 @@ def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner", widt
 #: Python workers: freed memory goes back to the system, as they live as long as the session.
 WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576"}
 #: Arrow batches: rows can be whole documents, so the default of 10,000 is too many.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def ensure_workers(spark: SparkSession) -> None:
