@@ -317,6 +317,8 @@ def sorted_repeats(segments: DataFrame) -> DataFrame:
     discard(nines)
     both = segments.join(ones, ["doc", "first"]).join(twos, ["doc", "first"])
     keys = materialise(both.mapInPandas(_suffixes, "head_tail long, name1 long, name2 long, doc long, window long"), "suffixes")
+    discard(ones)
+    discard(twos)
     order = ["name1", "name2", "head_tail"]
     return keys.repartitionByRange(*order).sortWithinPartitions(*order, "doc", "window").mapInPandas(_repeats, "doc long, at long")
 
@@ -380,7 +382,9 @@ def dedup_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     segments = _cut(open_runs, cut_from, "segments")
     blocks = _judge(segments.mapInPandas(_block_rows, SPANS), "blocks")
     small = materialise(_narrow(blocks.where("not again"), segments), "segments")
-    sorted_ = sorted_repeats(small)
+    discard(segments)
+    sorted_ = materialise(sorted_repeats(small), "repeats")
+    discard(small)
 
     again = runs.where("again").select("doc", "at").union(blocks.where("again").select("doc", "at")).union(sorted_)
     spans = materialise(again.groupBy("doc").agg(F.collect_list("at").alias("spans")), "spans")
