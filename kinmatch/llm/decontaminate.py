@@ -36,13 +36,13 @@ SHORTEST_VERBATIM = 3
 SHIPPED_WINDOWS = 1_000_000
 UNITS = "%|percent|km|kg|cm|mm|mg|ml|m|g|l|h|s|mph|kwh|kb|mb|gb|inch|inches|foot|feet|mile|miles|meter|meters|metre|metres|gram|grams|liter|liters|litre|litres|second|seconds|minute|minutes|hour|hours|day|days|week|weeks|month|months|year|years|dollar|dollars|cent|cents|euro|euros|pound|pounds|degree|degrees"
 NUMBER, NAME, UNIT = "0", "2", "1"
+GAP = r"[^\p{L}\p{N}]+"
 NUMBER_RE = r"[$€£]?\p{N}(?:[\p{N}.,:/]*\p{N})?"
 _SMALL = "one|two|three|four|five|six|seven|eight|nine"
-_TENS = "twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety"
-_WORDS = f"(?:{_TENS})(?:[- ](?:{_SMALL}))?|zero|{_SMALL}|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|hundred|thousand|million|billion|dozen"
+_COUNT = r"(?:[zZ]ero|[oO]ne|[tT](?:wo|hree|en|welve|hirteen|hirty|wenty|housand)|[fF](?:our(?:teen)?|orty|ive|ifteen|ifty)|[sS](?:ix(?:teen|ty)?|even(?:teen|ty)?)|[eE](?:ight(?:een|y)?|leven)|[nN]ine(?:teen|ty)?|[hH]undred|[mM]illion|[bB]illion|[dD]ozen)"
 #: Numbers in digits or words; a name is a capitalised word with a small letter, also O'Neil, McKay and Smith-Jones, or up to four such
 #: (repetitions of groups are bounded, as the matcher recurses in them).
-COUNT_RE = rf"{NUMBER_RE}|(?<![\p{{L}}\p{{N}}])(?i:{_WORDS})(?![\p{{L}}\p{{N}}])"
+COUNT_RE = rf"{NUMBER_RE}|\b{_COUNT}(?:(?<=ty)[- ](?:{_SMALL}))?\b"
 _NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{L}*\p{Ll}\p{L}*(?:-\p{Lu}\p{L}+){0,2}"
 NAME_RE = rf"(?<![\p{{L}}\p{{N}}]){_NAME}(?: {_NAME}){{0,3}}"
 UNIT_RE = rf"(?<= {NUMBER} ) ?(?:{UNITS})(?![\p{{L}}\p{{N}}])"
@@ -62,12 +62,12 @@ def _named(text: Column) -> Column:
 def template(text: Column) -> Column:
     """Array of canonical words."""
     marked = F.regexp_replace(F.lower(_named(text)), UNIT_RE, f" {UNIT} ")
-    return F.filter(F.split(marked, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(marked, GAP), "")
 
 
 def verbatim(text: Column) -> Column:
-    """Array of lower-case words and numbers, as they stand."""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"(\p{{L}}+|{NUMBER_RE}|%)"), 1)
+    """Array of lower-case words and numbers, as they stand but for punctuation."""
+    return F.array_remove(F.split(F.lower(text), GAP), "")
 
 
 def slots(text: Column, words: Column) -> Column:
@@ -85,12 +85,23 @@ def slots(text: Column, words: Column) -> Column:
 
 
 def windows(words: Column, length: int) -> Column:
-    """Hash of every window of ``length`` words."""
+    """Hash of every window of ``length`` words: hashes of 1, 2, 4 ... words are made of two of half the length, and the
+    window's of those that make up its length."""
     none = F.array().cast("array<bigint>")
-    return bound(
-        F.transform(words, lambda w: F.xxhash64(w)),
-        lambda h: F.when(F.size(h) >= length, F.transform(F.sequence(F.lit(1), F.size(h) - length + 1), lambda i: F.xxhash64(F.slice(h, i, length)))).otherwise(none),
-    )
+
+    def longer(spans: dict[int, Column]) -> Column:
+        top = max(spans)
+        if 2 * top <= length:
+            return bound(F.transform(spans[top], lambda h, i: F.xxhash64(h, F.get(spans[top], i + top))), lambda twice: longer({**spans, 2 * top: twice}))
+        parts, at = [], 0
+        for k in sorted(spans, reverse=True):
+            if at + k <= length:
+                parts.append((spans[k], at))
+                at += k
+        first = F.slice(spans[top], 1, F.size(spans[1]) - length + 1)
+        return first if len(parts) == 1 else F.transform(first, lambda h, i: F.xxhash64(h, *[F.get(a, i + o) for a, o in parts[1:]]))
+
+    return bound(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= length, longer({1: h})).otherwise(none))
 
 
 def _identified(docs: DataFrame, id_: str = "__id", text: str = "__text") -> DataFrame:
