@@ -49,7 +49,7 @@ ROUNDS = 2
 #: Column blocks of the exact product; columns counted in one block of the first step.
 PRODUCT_BLOCKS, BLOCK_COLUMNS = 8, 500_000
 #: Tags that a task adds up before it hands them on.
-HELD_TAGS = 2_000_000
+HELD_TAGS = 500_000
 #: Bits of a column that are counted; more rows than there are make a column look shared at most.
 COLUMN_BITS = 48
 #: A column is frequent if it is met this often in a batch, and by this many rows or this share of them in all.

@@ -38,7 +38,7 @@ def _power(n: int, inverse: bool) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
     have = _powers.get(inverse)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES * 2)
+        size = max(n, CHUNK_BYTES + (1 << 16))
         out = np.full(size, _UNBASE if inverse else _BASE, dtype=U64)
         out[0] = 1
         have = _powers[inverse] = np.multiply.accumulate(out)
