@@ -325,3 +325,25 @@ def fit_report(before: DataFrame, after: DataFrame) -> dict[str, float]:
     for name, df in (("before", before), ("after", after)):
         out[f"brier_{name}"], out[f"ece_{name}"] = metrics.brier(df).first()[0], metrics.calibration_error(df).first()[0]
     return out | {"brier_change": out["brier_after"] - out["brier_before"], "ece_change": out["ece_after"] - out["ece_before"]}
+
+
+@dataclass
+class RunStore:
+    """Runs as JSON rows in a folder: every append is a set of files of its own, so writers need no lock."""
+
+    spark: SparkSession
+    path: str
+
+    def append(self, rows: list[dict]) -> None:
+        run_table(self.spark, rows).withColumn("stored_at", F.current_timestamp().cast("string")).write.mode("append").json(self.path)
+
+    def read(self) -> DataFrame:
+        """All runs; of runs of one cell and evaluation the last one stored."""
+        schema = run_table(self.spark, []).schema.add("stored_at", "string")
+        df = self.spark.read.schema(schema).json(self.path)
+        last = df.groupBy("cell_id", "evaluation_id").agg(F.max_by(F.struct(*df.columns), "stored_at").alias("r"))
+        return last.select("r.*")
+
+    def rows(self) -> list[dict]:
+        """The stored runs as :meth:`Experiment.run` takes them."""
+        return [r.asDict(recursive=True) for r in self.read().collect()]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinmatch.functions import text, vector
 from kinmatch.functions.pairs import predicted_match
 from kinmatch.operators import anchor, blocking, bootstrap, cluster, curate, golden, judge, metrics, pivot, profile, score
-from kinmatch.plans import evaluate
+from kinmatch.plans import configured, evaluate, experiment
 from kinmatch.plans import pipeline as chains
 from kinmatch.sources import records as sources
 from kinmatch.storage import materialise
@@ -127,6 +127,12 @@ def composite_union(spark, sf):
     return blocking.composite(_children(spark, sf), "union").select("left_id", "right_id", "blocker_name")
 
 
+@query(f"with {CHILDREN} select c1.l as left_id, c1.r as right_id from c1 join rec a on a.id = c1.l join rec b on b.id = c1.r anti join c0 on c0.l = c1.l and c0.r = c1.r where a.source <> b.source")
+def configured_blocking(spark, sf):
+    keys = [{"kind": "key", "column": f"concat_ws('|', block, {c})", "name": c} for c in ("name", "size")]
+    return configured.build_blocker({"kind": "composite", "op": "difference", "children": keys, "cross_source": True})(parts(spark, sf)).select("left_id", "right_id")
+
+
 @query(f"with {CHILDREN} select c0.l as left_id, c0.r as right_id, 'composite_intersection(size,name)' as blocker_name from c0 join c1 on c0.l = c1.l and c0.r = c1.r")
 def composite_intersection(spark, sf):
     return blocking.composite(_children(spark, sf), "intersection").select("left_id", "right_id", "blocker_name")
@@ -841,6 +847,13 @@ def anchor_candidates(spark, sf):
 # Experiments
 
 
+@query("with r as (select c_mktsegment as architecture, n_regionkey::varchar as benchmark, c_acctbal as v from customer join nation on n_nationkey = c_nationkey), l as (select architecture, benchmark, 'gain' as metric, v from r union all select architecture, benchmark, 'cost', abs(v) from r) select architecture, benchmark, metric, count(*) as n, round(avg(v), 6) as mean, round(stddev_samp(v), 6) as deviation from l group by 1, 2, 3")
+def run_aggregates(spark, sf):
+    c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    runs = c.select(F.col("c_mktsegment").alias("architecture"), F.col("n_regionkey").cast("string").alias("benchmark"), F.lit("done").alias("status"), F.create_map(F.lit("gain"), "c_acctbal", F.lit("cost"), F.abs("c_acctbal")).alias("metrics"))
+    return rounded(experiment.aggregate(runs), "mean", "deviation")
+
+
 @query("with r as (select n_nationkey, count(*) as cost, sum(c_acctbal) as gain from customer join nation on n_nationkey = c_nationkey group by 1) select n_nationkey, cost, round(gain, 2) as gain from r x where not exists (select 1 from r y where (y.cost <= x.cost and round(y.gain, 2) > round(x.gain, 2)) or (y.cost < x.cost and round(y.gain, 2) >= round(x.gain, 2)))")
 def pareto_front(spark, sf):
     r = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("cost"), F.round(F.sum("c_acctbal"), 2).alias("gain"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kinmatch import cli
 from kinmatch.functions import text
 from kinmatch.operators import anchor, blocking, bootstrap, curate, golden, judge, metrics, profile, score
-from kinmatch.plans import experiment, persist, pipeline, registry
+from kinmatch.plans import configured, evaluate, experiment, persist, pipeline, registry
 from kinmatch.sources import logs, records
 
 
@@ -348,3 +348,60 @@ def test_fit_report(spark):
     before = spark.createDataFrame([(0.9, True), (0.6, False)], "score double, label boolean")
     after = spark.createDataFrame([(1.0, True), (0.0, False)], "score double, label boolean")
     assert experiment.fit_report(before, after)["brier_change"] < 0
+
+
+def test_configured_blockers(spark):
+    r = people(spark)
+    both = {"kind": "composite", "op": "union", "children": [{"kind": "key", "column": "name"}, {"kind": "vector", "k": 1}]}
+    assert {(x.left_id, x.right_id) for x in configured.build_blocker(both)(r).collect()} >= {("3", "4")}
+    assert configured.build_blocker({**both, "cross_source": True})(r).count() == 0
+    assert [c["k"] for c in configured.vector_parts(both)] == [1]
+    for wrong in ({"kind": "x"}, {"kind": "vector", "k": 0}, {"kind": "composite", "op": "x", "children": [both]}):
+        with pytest.raises(ValueError):
+            configured.build_blocker(wrong)
+    gold = spark.createDataFrame([("1", "2"), ("3", "4")], "pair_a string, pair_b string")
+    best, trials = configured.optimise_blocker({"k": [1, 3]}, {"kind": "vector"}, r, gold, constraints=(evaluate.Constraint("pair_completeness", ">=", 0.9),))
+    assert len(trials) == 2 and best["params"]["k"] in (1, 3) and best["metrics"]["pair_completeness"] == 1.0
+
+
+def test_splits_and_methods(spark):
+    r = spark.createDataFrame([(str(k), k, f"name {k // 2} of {k // 2}") for k in range(40)], "id string, pos int, name string")
+    clusters = r.select("id", F.floor(F.col("pos") / 2).alias("cluster"))
+    train, test = (configured.split_of(r, clusters, p) for p in ("train", "test"))
+    assert train.records.count() + test.records.count() == 40 and test.records.count() == 12
+    assert train.clusters.join(test.clusters, "cluster").count() == 0
+    with pytest.raises(ValueError):
+        configured.split_of(r, clusters, "valid")
+    pairs, gold = configured.candidates_for(r, clusters, {"kind": "all_pairs"}, [score.Feature("name")])
+    assert pairs.count() == 66 and gold.count() == 6
+    told = configured.run_method(lambda t: pipeline.Model.from_records(r, t), train, test, [0.2, 1.0])
+    assert told["threshold"] == 1.0 and told["bcubed_f1"] == 1.0 and told["delta_above_floor"] > 0
+
+
+def test_model_references():
+    kinds = {"./m": "local", "org/name": "hub", "org/name@abc": "hub", "openai/gpt": "api", "http://h:1/v1/m": "endpoint"}
+    assert {t: configured.ModelRef.parse(t).kind for t in kinds} == kinds
+    assert configured.ModelRef.parse("org/name@abc").to_config() == {"base": "org/name", "kind": "hub", "revision": "abc"}
+    for wrong in ({"base": "x", "kind": "api", "adapter": "a"}, {"base": "x", "kind": "endpoint"}, {"base": "", "kind": "hub"}, {"base": "x", "kind": "local", "revision": "r"}):
+        with pytest.raises(ValueError):
+            configured.ModelRef(**wrong)
+    with pytest.raises(ValueError):
+        configured.ModelRef.parse("plain")
+
+
+def test_profiles(spark):
+    r = people(spark)
+    p = configured.Profile.of("demo", r, r.select("id", F.col("name").alias("cluster")), r.select("vector"))
+    assert p.headline()["labels.n_records"] == 4 and "<h2>fields</h2>" in p.to_html()
+
+
+def test_run_store(spark, tmp_path):
+    p = experiment.Protocol(("b",), ("x",), seeds=(0, 1))
+    e = experiment.Experiment(p, lambda c: {"f1": 0.5})
+    store = experiment.RunStore(spark, f"{tmp_path}/runs")
+    store.append(e.run())
+    store.append(e.run())
+    assert store.read().count() == 2
+    asked = []
+    again = experiment.Experiment(p, lambda c: asked.append(c) or {"f1": 0.9}).run(done=store.rows())
+    assert not asked and [r["metrics"] for r in again] == [{"f1": 0.5}] * 2
