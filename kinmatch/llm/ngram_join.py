@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from kinmatch.llm.textkit import U64, as_bytes, batches, mix, shingle_sets, with_columns
 from kinmatch.operators.cluster import connected_components
-from kinmatch.storage import discard, ensure_workers, lookup, materialise, restrict, spread
+from kinmatch.storage import BROADCAST_IDS, discard, ensure_workers, lookup, materialise, restrict, spread
 
 #: Words of an n-gram and percent of similarity, unless a contract names others.
 WORDS, PERCENT = 5, 80
@@ -402,6 +402,13 @@ def opened_keys(told: DataFrame) -> DataFrame:
     return told.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
 
 
+def _settled(texts: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Texts of ``ids`` (or without them), in an order that a repeated task sees again, as what a batch tells of its rows and
+    columns belongs together: a scan with a broadcast has one, what was shuffled is stored first."""
+    out = spread(restrict(texts, ids, "id", how))
+    return out if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else materialise(out, "texts")
+
+
 def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
     """Rows (id, n, row) of ``docs``, the component (row, component_id) of each matrix row, and the salt of the digests."""
     ensure_workers(docs.sparkSession)
@@ -419,14 +426,14 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     # One text of each row is worked on: ids all of whose texts are copies of a smaller id's are left out.
     by_id = lookup(sized.select("id", "row"), groups.select("row", "least"), "row").groupBy("id").agg((F.min("row") != F.max("row")).alias("several"), F.min("least").alias("least"))
     copies = by_id.where("not several and id <> least").select("id")
-    rows_of = lambda alive: restrict(texts, alive.join(groups, "row").select(F.col("least").alias("id")).distinct(), "id")
+    rows_of = lambda alive: _settled(texts, alive.join(groups, "row").select(F.col("least").alias("id")).distinct())
     part = min(1.0, 2.5 * (100 - percent) / 100)
-    alive = materialise(peel(spread(restrict(texts, materialise(copies, "copies"), "id", "left_anti")), words, percent, salt, part, columns, n_rows), "rows-left")
+    alive = materialise(peel(_settled(texts, materialise(copies, "copies"), "left_anti"), words, percent, salt, part, columns, n_rows), "rows-left")
     if part < 1 or alive.count() < n_rows:
         held = alive.join(groups, "row").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-        before, alive = alive, materialise(peel(spread(rows_of(alive)), words, percent, salt, 1.0, held[1], held[0]), "rows-left")
+        before, alive = alive, materialise(peel(rows_of(alive), words, percent, salt, 1.0, held[1], held[0]), "rows-left")
         discard(before)
-    encoded = spread(rows_of(alive)).mapInPandas(partial(_encoded, words=words, salt=salt), "row long, n long, columns binary, " + ", ".join(f"s{k} long" for k in range(WORDS64)))
+    encoded = rows_of(alive).mapInPandas(partial(_encoded, words=words, salt=salt), "row long, n long, columns binary, " + ", ".join(f"s{k} long" for k in range(WORDS64)))
     if sized.count() > n_rows:  # a row may come with several texts
         encoded = encoded.dropDuplicates(["row"])
     encoded = materialise(encoded, "encoded-rows")
