@@ -151,6 +151,10 @@ def _columns(texts: list, shipped) -> dict:
     return {"lang_pred": langs, "score": scores, "__covered": shares}
 
 
+def _forget() -> None:
+    _tables.clear()
+
+
 def held_out():
     """Documents that are never learned from: crc32 of the id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -179,7 +183,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
 def identify(docs: DataFrame, model: dict, covered: bool = False) -> DataFrame:
     """``docs`` with lang_pred and score; on demand also __covered, the share of known three-byte n-grams."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    return with_columns(docs, partial(_columns, shipped=shipped), "lang_pred string, score double" + (", __covered double" if covered else ""))
+    return with_columns(docs, partial(_columns, shipped=shipped), "lang_pred string, score double" + (", __covered double" if covered else ""), done=_forget)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

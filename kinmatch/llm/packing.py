@@ -135,6 +135,7 @@ def pack(docs: DataFrame, tokenizer: str = tokens.TOKENIZER_FILE, window: int =
                 done += packer.add(None if pd.isna(doc_id) else int(doc_id), 0, len(ids) // 4, ids)
             yield _table(list(_rows(iter(done), (part << 32) + n, part, False)))
             n += len(done)
+        enc.forget()
         yield _table(list(_rows(packer.rest(), 0, part, True)))
 
     def merge_round(level: int, last: bool):

@@ -120,10 +120,10 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
         return int(mix(s).sum(dtype=U64).astype(np.int64)), int(mix(s ^ U64(0xA0761D6478BD642F)).sum(dtype=U64).astype(np.int64))
 
 
-def with_columns(df, derive, added: str, text: str = "text"):
+def with_columns(df, derive, added: str, text: str = "text", done=None):
     """Append (or replace) columns that ``derive(texts) -> {name: values}`` computes from whole texts.
 
-    All other columns pass through Arrow unchanged; columns of ``df`` that bear an added
+    ``done()`` is called at the end of a task, as workers outlive it with all they keep. All other columns pass through Arrow unchanged; columns of ``df`` that bear an added
     name are replaced.
     """
     import pyarrow as pa
@@ -142,5 +142,7 @@ def with_columns(df, derive, added: str, text: str = "text"):
         for batch in parts:
             values = derive(batch.column(batch.schema.get_field_index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(values[n], type=types[n]) if n in types else batch.column(batch.schema.get_field_index(n)) for n in names], names=names)
+        if done is not None:
+            done()
 
     return df.mapInArrow(run, StructType(fields))

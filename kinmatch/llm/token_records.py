@@ -37,6 +37,12 @@ READ_BYTES = 1 << 22
 SHARD_BYTES = 256 << 20
 
 
+def _located(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a URI; Hadoop's names of S3 are Arrow's s3."""
+    scheme, mark, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else uri)
+
+
 def masked_crc(data: bytes) -> int:
     """CRC-32 of ``data``, rotated and shifted."""
     c = zlib.crc32(data)
@@ -94,14 +100,14 @@ def write_records(docs: DataFrame, tokenizer: str = tokens.TOKENIZER_FILE, shard
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, enc = TaskContext.get().partitionId(), tokens.encoder(tokenizer)
-        store, root = pafs.FileSystem.from_uri(folder)
+        store, root = _located(folder)
         store.create_dir(root)
         own = uuid.uuid4().hex[:8]
         names = [f"{folder}/shard-{shard:06d}-{own}.{x}" for x in ("records", "index")]
         n, total, at, files = 0, 0, 0, []
         for pdf in parts:
             if not files:
-                files = [store.open_output_stream(pafs.FileSystem.from_uri(x)[1]) for x in names]
+                files = [store.open_output_stream(_located(x)[1]) for x in names]
             out, index = [], []
             for doc_id, text in zip(pdf["doc_id"].astype(object), pdf["text"], strict=True):
                 ids = enc.encode(text)
@@ -112,6 +118,7 @@ def write_records(docs: DataFrame, tokenizer: str = tokens.TOKENIZER_FILE, shard
                 total += len(ids) // 4
             files[0].write(b"".join(out))
             files[1].write(b"".join(index))
+        enc.forget()
         for f in files:
             f.close()
         if n:
@@ -123,7 +130,7 @@ def write_records(docs: DataFrame, tokenizer: str = tokens.TOKENIZER_FILE, shard
 
 def scan_shard(records_file: str) -> Iterator[tuple[int | None, bytes]]:
     """Every (doc_id, ids) of a shard in order, verified, a few megabytes at a time."""
-    store, path = pafs.FileSystem.from_uri(records_file)
+    store, path = _located(records_file)
     with store.open_input_stream(path) as f:
         held = b""
         while more := f.read(READ_BYTES):
@@ -139,11 +146,11 @@ def scan_shard(records_file: str) -> Iterator[tuple[int | None, bytes]]:
 
 def read_shuffled(records_file: str, index_file: str, seed: int) -> Iterator[tuple[int | None, bytes]]:
     """The shard's records in a seeded random order, each fetched through the offset index."""
-    store, path = pafs.FileSystem.from_uri(index_file)
+    store, path = _located(index_file)
     with store.open_input_stream(path) as f:
         entries = list(ENTRY.iter_unpack(f.read()))
     random.Random(seed).shuffle(entries)
-    store, path = pafs.FileSystem.from_uri(records_file)
+    store, path = _located(records_file)
     with store.open_input_file(path) as f:
         for offset, size in entries:
             yield unpack_ids(unframe(f.read_at(size, offset))[0])

@@ -80,6 +80,11 @@ class WordEncoder(dict):
         self[word] = got
         return got
 
+    def forget(self) -> None:
+        """Give up the words met; a worker outlives its tasks."""
+        self.clear()
+        self.older.clear()
+
     def encode(self, text: str | None) -> bytes:
         """All ids of a text, then END_ID."""
         if not text:
