@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType, StructField, StructType, _parse_datatype_string
 
 from kinmatch.functions import text
 from kinmatch.storage import ensure_workers
@@ -48,6 +48,35 @@ def generate(rows: DataFrame, client: Callable[[list[str]], list[str | None]], c
     return rows.mapInPandas(partial(_ask, client=client, column=column, to="response"), StructType([*rows.schema.fields, StructField("response", StringType())]))
 
 
+USAGE = "response string, input_tokens long, output_tokens long, cost_usd double, error string"
+
+
+def _ask_with_usage(parts: Iterator[pd.DataFrame], client: Callable[[list], list], column: str) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in USAGE.split(", ")]
+    for pdf in parts:
+        told = client(pdf[column].tolist()) if len(pdf) else []
+        if len(told) != len(pdf):
+            raise ValueError(f"{len(told)} answers to {len(pdf)} questions")
+        out = pd.DataFrame([[(t or {}).get(n) for n in names] for t in told], columns=names, dtype=object)
+        yield pd.concat([pdf.reset_index(drop=True), out.astype({"input_tokens": "Int64", "output_tokens": "Int64", "cost_usd": "Float64"})], axis=1)
+
+
+def generate_with_usage(rows: DataFrame, client: Callable[[list[str]], list[dict | None]], column: str = "prompt") -> DataFrame:
+    """Add response, tokens, cost and error of each row, as far as the client tells them; what it does not stays null.
+
+    The client gives one mapping for each question, in order; None is an answer of which nothing is known.
+    """
+    ensure_workers(rows.sparkSession)
+    rows = rows.drop(*[c.split()[0] for c in USAGE.split(", ")])
+    return rows.mapInPandas(partial(_ask_with_usage, client=client, column=column), StructType([*rows.schema.fields, *_parse_datatype_string(USAGE).fields]))
+
+
+def usage(rows: DataFrame, *by: str) -> DataFrame:
+    """Calls, errors, tokens and cost; the cost is null if that of any call is unknown."""
+    known = F.count("cost_usd") == F.count("*")
+    return rows.groupBy(*by).agg(F.count("*").alias("calls"), F.count("error").alias("errors"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.when(known, F.sum("cost_usd")).alias("cost_usd"))
+
+
 def parse(rows: DataFrame, score: bool = False) -> DataFrame:
     """Verdicts of responses: a decision, or a score if ``score``; what cannot be read abstains."""
     r = F.col("response")
@@ -124,6 +153,12 @@ def scripted_model(texts: list[str], answers: dict[str, str], default: str | Non
     return [next((a for k, a in answers.items() if k in t), default) for t in texts]
 
 
+def counted_model(texts: list[str], answer: str = "MATCH", price: float = 0.001) -> list[dict]:
+    """One answer to everything; tokens are words, and each costs the same."""
+    n = [len(t.split()) for t in texts]
+    return [{"response": answer, "input_tokens": k, "output_tokens": len(answer.split()), "cost_usd": price * (k + len(answer.split()))} for k in n]
+
+
 def first_member(groups: list) -> list:
     """Picks the first member of every group."""
     return [m[0] if m else None for _, m in groups]

@@ -159,13 +159,20 @@ def token_sort_ratio_pairs(spark, sf):
     return rounded(compared(spark, sf), "sim_name", "sim_type").select("left_id", "right_id", "sim_name", "sim_type")
 
 
-@query(f"with n as (select distinct p_name as a from part), p as (select x.a, y.a as b from n x join n y on x.a < y.a) select a, b, round({ratio_sql('a', 'b')}, 6) as ratio from p")
+@query(f"with {BLOCKED}, p as (select distinct ln as a, rn as b from kp where ln is not null and rn is not null) select a, b, round({ratio_sql('a', 'b')}, 6) as ratio from p")
 def indel_ratio_names(spark, sf):
-    n = table(spark, sf, "part").select(F.col("p_name").alias("a")).distinct()
-    p = n.join(n.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
+    p = _named_pairs(spark, sf, F.col("name"), F.col("name"))
     return p.select("a", "b", r6(text.indel_expr(F.col("a"), F.col("b"))).alias("ratio"))
 
 
+def _named_pairs(spark, sf, left, right) -> DataFrame:
+    """Distinct pairs (a, b) of two texts of the records of blocked pairs."""
+    r = parts(spark, sf)
+    of = lambda side, c: r.select(F.col("id").alias(f"{side}_id"), c)
+    told = blocked(spark, sf).join(of("left", left.alias("a")), "left_id").join(of("right", right.alias("b")), "right_id")
+    return told.select("a", "b").where("a is not null and b is not null").distinct()
+
+
 _SET = f"""with {BLOCKED}, p as (select distinct ln || ' ' || lt as a, rn as b from kp where ln is not null and rn is not null),
 t as (select a, b, list_distinct(string_split(trim(a), ' ')) as ta, list_distinct(string_split(b, ' ')) as tb from p),
 q as (select a, b, list_sort(list_filter(ta, lambda x: list_contains(tb, x))) as c, list_sort(list_filter(ta, lambda x: not list_contains(tb, x))) as da, list_sort(list_filter(tb, lambda x: not list_contains(ta, x))) as db from t),
@@ -175,10 +182,8 @@ select a, b, round(case when len(c) > 0 and (len(da) = 0 or len(db) = 0) then 1.
 
 @query(_SET)
 def token_set_ratio_names(spark, sf):
-    r = parts(spark, sf)
-    of = lambda side, c: r.select(F.col("id").alias(f"{side}_id"), c)
-    told = blocked(spark, sf).join(of("left", F.concat("name", F.lit(" "), "type").alias("a")), "left_id").join(of("right", F.col("name").alias("b")), "right_id")
-    return told.select("a", "b").where("a is not null and b is not null").distinct().select("a", "b", r6(text.similarity(F.col("a"), F.col("b"), "token_set_ratio")).alias("token_set_ratio"))
+    p = _named_pairs(spark, sf, F.concat("name", F.lit(" "), "type"), F.col("name"))
+    return p.select("a", "b", r6(text.similarity(F.col("a"), F.col("b"), "token_set_ratio")).alias("token_set_ratio"))
 
 
 @query(f"with {SCORED} select left_id, right_id, round(score, 6) as score, decision_step from scored")
@@ -918,6 +923,12 @@ def scripted_model_verdicts(spark, sf):
     return judge.parse(p).select("left_id", "right_id", "decision", "decision_step")
 
 
+@query("select c_mktsegment as segment, count(*) as calls, 0::bigint as errors, sum(len(string_split(c_name || ' is in ' || c_mktsegment, ' ')))::bigint as input_tokens, count(*) as output_tokens, round(sum(len(string_split(c_name || ' is in ' || c_mktsegment, ' ')) + 1) * 0.001, 6)::double as cost_usd from customer group by 1")
+def generated_usage(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("segment"), F.concat_ws(" ", "c_name", F.lit("is in"), "c_mktsegment").alias("prompt"))
+    return rounded(judge.usage(judge.generate_with_usage(c, judge.counted_model), "segment"), "cost_usd")
+
+
 @query(f"with {BLOCKED} select left_id, right_id, (row_number() over (partition by left_id order by rp) = 1)::int::double as score from kp")
 def group_selection(spark, sf):
     g = blocking.groups(blocked(spark, sf).withColumn("o", F.col("right_id").cast("long")), "o")

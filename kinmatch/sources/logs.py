@@ -21,6 +21,15 @@ def append(rows: DataFrame, path: str, schema: str) -> None:
     rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in names]).write.mode("append").json(path)
 
 
+def logged(judged: DataFrame, path: str, run_id: str, model: str | None = None) -> DataFrame:
+    """Judged pairs, written to a judgement log first; what is returned is read from the rows written, so a pair is judged once."""
+    from kinmatch.storage import materialise
+
+    rows = materialise(judged, "judged")
+    append(rows.withColumn("v", F.lit(4)).withColumn("run_id", F.lit(run_id)).withColumn("model", F.lit(model).cast("string")).withColumn("timestamp", F.current_timestamp().cast("string")), path, JUDGEMENTS)
+    return rows
+
+
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A log with the schema's columns; raises on a line that is no JSON of it."""
     df = spark.read.schema(schema + ", _corrupt_record string").json(path, columnNameOfCorruptRecord="_corrupt_record")

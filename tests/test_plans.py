@@ -405,3 +405,15 @@ def test_run_store(spark, tmp_path):
     asked = []
     again = experiment.Experiment(p, lambda c: asked.append(c) or {"f1": 0.9}).run(done=store.rows())
     assert not asked and [r["metrics"] for r in again] == [{"f1": 0.5}] * 2
+
+
+def test_usage_and_logs(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "b", "one two"), ("a", "c", "three")], "left_id string, right_id string, prompt string")
+    told = judge.generate_with_usage(rows, judge.counted_model)
+    assert judge.usage(told).first().asDict() == {"calls": 2, "errors": 0, "input_tokens": 3, "output_tokens": 2, "cost_usd": pytest.approx(0.005)}
+    silent = judge.generate_with_usage(rows, lambda texts: [None] * len(texts))
+    assert judge.usage(silent).first().cost_usd is None and silent.where("response is null").count() == 2
+    judged = judge.parse(told).withColumn("confidence", F.lit(None).cast("double"))
+    assert logs.logged(judged, f"{tmp_path}/log", "r1", "m").count() == 2
+    got = logs.read_judgements(spark, f"{tmp_path}/log")
+    assert {(r.run_id, r.decision, r.model) for r in got.collect()} == {("r1", True, "m")}
