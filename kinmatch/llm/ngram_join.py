@@ -306,7 +306,58 @@ def _heads(parts: Iterator[pd.DataFrame], percent: int, shipped) -> Iterator[pd.
         first = lacking(pdf["n"].to_numpy(np.int64), percent)
         n = pdf["n"].to_numpy(np.int64)
         near = n - need(n, n, percent) + 1
-        yield pd.DataFrame({"row": pdf["row"], "first": first, "near": near, "rare": [len(r) for r, _ in sets], "often": [o[:k].astype(np.int64) for (_, o), k in zip(sets, first, strict=True)]})
+        yield pd.DataFrame({"row": pdf["row"], "met": 0, "column": 0, "first": first, "near": near, "rare": [len(r) for r, _ in sets], "often": [o[:k].astype("<i8").tobytes() for (_, o), k in zip(sets, first, strict=True)]})
+
+
+HEADS = "row long, met int, column long, first int, near int, rare int, often binary"
+
+
+def _runs(parts: Iterator[pd.DataFrame], by: str) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted rows in pieces that never part rows with an equal ``by``, and where each run of those begins (and the end)."""
+    held = []
+    for pdf in parts:
+        if not len(pdf):
+            continue
+        value = pdf[by].to_numpy()
+        whole = int(np.searchsorted(value, value[-1])) if value[0] != value[-1] else 0
+        if held and value[0] != held[-1][by].to_numpy()[-1] or whole:
+            cut = whole if value[0] != value[-1] else 0
+            done = pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
+            held = []
+            if len(done):
+                yield done, _begins(done[by].to_numpy())
+            pdf = pdf.iloc[cut:]
+        held.append(pdf)
+    if held:
+        done = pd.concat(held, ignore_index=True)
+        yield done, _begins(done[by].to_numpy())
+
+
+def _begins(value: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.flatnonzero(value[1:] != value[:-1]) + 1, [len(value)]))
+
+
+def _met(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of columns that several rows hold, every row with their number."""
+    for pdf, begins in _runs(parts, "column"):
+        times = np.diff(begins)
+        met = np.repeat(times, times)
+        out = pdf[met > 1].reset_index(drop=True)
+        yield out.assign(met=met[met > 1].astype(np.int32), first=None, near=None, rare=None, often=None)
+
+
+def _firsts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first columns of each row that others hold: its head comes first, then its shared columns, rarest first."""
+    for pdf, begins in _runs(parts, "row"):
+        column, rows, keys, own, near_by = pdf["column"].to_numpy(np.int64), pdf["row"].to_numpy(np.int64), [], [], []
+        for i, j in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+            first, near, rare, often = (pdf[c].iat[i] for c in ("first", "near", "rare", "often"))
+            alone = int(rare) - (j - i - 1)
+            key = np.concatenate((column[i + 1 : j], np.frombuffer(bytes(often), "<i8")))[: max(0, int(first) - alone)]
+            keys.append(key)
+            own.append(np.full(len(key), rows[i]))
+            near_by.append(np.arange(len(key)) < int(near) - alone)
+        yield pd.DataFrame({"key": np.concatenate(keys), "row": np.concatenate(own), "near": np.concatenate(near_by)})
 
 
 def _multiplied(parts: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
@@ -343,14 +394,13 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
     order = np.argsort(frequent)
     shipped = spark.sparkContext.broadcast((frequent[order], place[order]))
     # Rarest columns first. What no other row holds comes before and is no key; what a 500th of the rows holds comes last.
-    met = rows.select("row", "columns").mapInPandas(partial(_rare, shipped=shipped), "column long, row long").groupBy("column").agg(F.collect_list("row").alias("rows")).where(F.size("rows") > 1)
-    shared = met.select(F.struct(F.size("rows").alias("met"), "column").alias("c"), F.explode("rows").alias("row")).groupBy("row").agg(F.array_sort(F.collect_list("c")).alias("shared"))
-    heads = rows.select("row", "n", "columns").mapInPandas(partial(_heads, percent=percent, shipped=shipped), "row long, first int, near int, rare int, often array<bigint>")
-    none = F.array().cast("array<bigint>")
-    by_row = heads.join(shared, "row", "left").select("row", "first", "near", "rare", "often", F.coalesce(F.col("shared.column"), none).alias("shared"))
-    alone = F.col("rare") - F.size("shared")
-    keys = by_row.where(alone < F.col("first")).select("row", (F.col("near") - alone).alias("near"), F.posexplode(F.slice(F.concat("shared", "often"), F.lit(1), F.col("first") - alone)).alias("at", "key"))
-    keys = materialise(keys.select("key", "row", (F.col("at") < F.col("near")).alias("near")), "first-columns")
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_by = lambda df, by, *then: df.repartition(parallel, by).sortWithinPartitions(by, *then)
+    held = rows.select("row", "columns").mapInPandas(partial(_rare, shipped=shipped), "column long, row long")
+    shared = sorted_by(held, "column").mapInPandas(_met, HEADS.replace("row long, met int, column long", "column long, row long, met int"))
+    heads = rows.select("row", "n", "columns").mapInPandas(partial(_heads, percent=percent, shipped=shipped), HEADS)
+    both = sorted_by(heads.unionByName(shared), "row", "met", "column")
+    keys = materialise(both.mapInPandas(_firsts, "key long, row long, near boolean"), "first-columns")
     met = keys.groupBy("key").agg(F.count("*").alias("met"), F.max("near").alias("any")).where("met > 1 and any").select("key")
     told = materialise(lookup(keys, met, "key").withColumn("component", F.col("row")), "first-columns")
     discard(keys)
