@@ -15,8 +15,9 @@ of anchors that occur in several contexts. Their text is suffix-sorted:
    positions have a common shift into the cover;
 4. neighbours with equal prefixes form a group, whose first start stays while the others are repeats.
 
-Names are made of distinct triples only, and are looked up without shuffling hot ones, so a passage that a third of
-the corpus holds is no hot key there.
+Segments are worked on in packs. Every order is made by one shuffle of its keys, to ranges whose bounds come of a
+sample, and names go back to their packs in arrays. A key that fills whole ranges is dealt over them, so a passage
+that a third of the corpus holds is no hot key there.
 
 Defined cases: a null text has no bytes and an empty one is like it; rows that repeat an id and text are
 one document; texts under one id are ordered by hash; a null doc_id comes last; texts under LENGTH bytes
@@ -26,7 +27,8 @@ lose nothing; long texts are worked on in overlapping pieces; an empty table giv
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinmatch.llm.textkit import BYTE_CODE, U64, _power, as_bytes, mix
-from kinmatch.storage import discard, ensure_workers, lookup, materialise, restrict, spread
+from kinmatch.storage import discard, ensure_workers, materialise, restrict, spread
 
 LENGTH, ANCHOR = 100, 32
 #: Windows that a long text is looked at at once, and bytes of short ones; positions take 21 bits.
@@ -45,6 +47,13 @@ LAST = 2**63 - 1
 BLOCK, SYMBOL, TAIL = 8, 8, 4
 #: Bytes that names of the first and of the second kind stand for.
 TRIPLE, NINE = 3 * SYMBOL, 9 * SYMBOL
+#: Bytes of segments that are worked on at once, and windows of one piece of a long segment.
+PACK_BYTES, PIECE = 1 << 19, 1 << 18
+#: Bits of a key's place in its pack, and of its rank in its range; names that are held before they go back to their packs.
+PLACE_BITS, RANK_BITS, NAMES_HELD = 24, 40, 1 << 20
+#: Most ranges of an order; keys sampled for each; packs that the sample is taken of, if there are as many.
+RANGES, SAMPLE, SAMPLED_PACKS = 1 << 14, 16, 24
+KEY = "x long, y long, z long"
 
 
 def _groups(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -210,117 +219,264 @@ def _sampled(first: np.ndarray, n: np.ndarray, reach: int = 0) -> tuple[np.ndarr
     return segment[kept], place[kept]
 
 
-def _buffer(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all segments and where each begins."""
-    raw = [bytes(x) for x in column]
-    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
+def _packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Segments in rows of about PACK_BYTES: (doc, first, n) of each one after the other, and all bytes. Long ones come in overlapping pieces."""
+    rows, size = [], 0
+    for pdf in parts:
+        for doc, first, n, raw in zip(pdf["doc"], pdf["first"], pdf["n"], pdf["bytes"], strict=True):
+            for at in range(0, n, PIECE):
+                m = min(PIECE, n - at)
+                rows.append((doc, first + at, m, bytes(raw[at : at + m + LENGTH - 1])))
+                size += m + LENGTH - 1
+                if size >= PACK_BYTES:
+                    yield _pack(rows)
+                    rows, size = [], 0
+    if rows:
+        yield _pack(rows)
+
+
+def _pack(rows: list[tuple[int, int, int, bytes]]) -> pd.DataFrame:
+    return pd.DataFrame({"segments": [np.array([r[:3] for r in rows], np.int64).tobytes()], "bytes": [b"".join([r[3] for r in rows])]})
+
+
+#: A key is three numbers whose order is that of the bytes they stand for; then come its row's other columns.
+Columns = tuple[np.ndarray, ...]
 
 
-def _triples(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _segments_of(pack: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc, first, n of a pack's segments, and where each begins in the bytes."""
+    doc, first, n = np.frombuffer(pack["segments"], np.int64).reshape(-1, 3).T
+    return doc, first, n, np.concatenate(([0], np.cumsum(n + LENGTH - 1)))
+
+
+def _where(pack: dict, n: int) -> np.ndarray:
+    return pack["pack"] << PLACE_BITS | np.arange(n)
+
+
+def _triples(pack: dict) -> Columns:
     """Three symbols at every sampled place."""
-    for pdf in parts:
-        if not len(pdf):
-            continue
-        a, begins = _buffer(pdf["bytes"])
-        docs, first = pdf["doc"].to_numpy(), pdf["first"].to_numpy()
-        segment, place = _sampled(first, pdf["n"].to_numpy(), 3)
-        for k in range(0, len(place), 50_000):
-            s, p = segment[k : k + 50_000], place[k : k + 50_000]
-            whole = np.ascontiguousarray(a[(begins[s] + p)[:, None] + np.arange(TRIPLE)]).tobytes()
-            yield pd.DataFrame({"doc": docs[s], "first": first[s], "place": p, "key": [whole[x : x + TRIPLE] for x in range(0, len(whole), TRIPLE)]})
-
-
-def _named(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    _, first, n, begins = _segments_of(pack)
+    raw = pack["bytes"]
+    symbol = np.empty(len(raw) - SYMBOL + 1, U64)
+    for k in range(SYMBOL):
+        symbol[k::SYMBOL] = np.frombuffer(raw, ">u8", (len(raw) - k) // SYMBOL, k)
+    symbol = (symbol ^ U64(1 << 63)).view(np.int64)
+    segment, place = _sampled(first, n, 3)
+    at = begins[segment] + place
+    return *(symbol[at + k * SYMBOL] for k in range(3)), _where(pack, len(at))
+
+
+def _named(pack: dict) -> tuple[np.ndarray, np.ndarray]:
     """Names of the first kind at the places of all segments laid end to end, and where each segment begins."""
-    first, n = pdf["first"].to_numpy(), pdf["n"].to_numpy()
+    _, first, n, _ = _segments_of(pack)
     segment, place = _sampled(first, n, 3)
     row = np.concatenate(([0], np.cumsum(n + 2 + NINE)))
     name = np.zeros(row[-1], np.int64)
-    name[row[segment] + place] = np.concatenate(list(pdf["names"]))  # in the order of places
+    name[row[segment] + place] = np.frombuffer(pack["names"], np.int64)
     return name, row
 
 
-def _nines(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _nines(pack: dict) -> Columns:
     """Three names at every sampled place that begins a window's part in the cover."""
-    for pdf in parts:
-        if not len(pdf):
-            continue
-        name, row = _named(pdf)
-        docs, first = pdf["doc"].to_numpy(), pdf["first"].to_numpy()
-        segment, place = _sampled(first, pdf["n"].to_numpy())
-        for k in range(0, len(place), 50_000):
-            s, p = segment[k : k + 50_000], place[k : k + 50_000]
-            x, y, z = (name[row[s] + p + j * TRIPLE] for j in range(3))
-            yield pd.DataFrame({"doc": docs[s], "first": first[s], "place": p, "x": x, "y": y, "z": z})
+    name, row = _named(pack)
+    _, first, n, _ = _segments_of(pack)
+    segment, place = _sampled(first, n)
+    at = row[segment] + place
+    return *(name[at + k * TRIPLE] for k in range(3)), _where(pack, len(at))
 
 
 FORMS = ((0, 1), (0, 2), (1, 2))  # residues that a form of key compares
 SHIFT = {(0, 1): 1, (0, 2): 2, (1, 2): 0}  # from a window into the cover, in each form
 
 
-def _suffixes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keys of all windows in the forms of their residue: bytes before the cover, two names, last bytes."""
-    for pdf in parts:
-        if not len(pdf):
-            continue
-        a, begins = _buffer(pdf["bytes"])
-        a = a.astype(np.int64)
-        docs, first, n = (pdf[c].to_numpy() for c in ("doc", "first", "n"))
-        name, row = _named(pdf)
-        nine = np.zeros(row[-1], np.int64)
-        segment, place = _sampled(first, n)
-        nine[row[segment] + place] = np.concatenate(list(pdf["nines"]))
-        segment, i, _ = _numbered_from(n)
-        byte, window = begins[segment] + i, first[segment] + i
-        tail = sum(a[byte + LENGTH - TAIL + k] << (8 * (TAIL - 1 - k)) for k in range(TAIL))
-        for form, residues in enumerate(FORMS):
-            at = np.flatnonzero(np.isin(window % 3, residues))
-            o = SHIFT[residues]
-            head = sum((a[byte[at] + k] << (8 * (o - 1 - k)) for k in range(o)), np.zeros(len(at), np.int64))
-            to = row[segment[at]] + i[at] + o
-            # Form, head and tail are one number; names compare NINE + TRIPLE bytes behind the head.
-            yield pd.DataFrame({"head_tail": form << 48 | head << 32 | tail[at], "name1": nine[to], "name2": name[to + NINE], "doc": docs[segment[at]], "window": window[at]})
-
-
-def _repeats(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Windows whose neighbour before them in the order has the same prefix."""
-    last = None
-    for pdf in parts:
-        if len(pdf):
-            keys = pdf[["head_tail", "name1", "name2"]].to_numpy()
-            before = np.vstack((keys[:1] if last is None else last, keys[:-1]))
-            same = (keys == before).all(axis=1)
-            if last is None:
-                same[0] = False
-            last = keys[-1:]
-            yield pd.DataFrame({"doc": pdf["doc"][same], "at": pdf["window"][same].to_numpy() << 24 | 1})
-
-
-def _names(rows: DataFrame, names: str) -> DataFrame:
-    """Sort the distinct keys of ``rows`` (doc, first, place, key); names are their places in the order, listed for each segment."""
-    distinct = rows.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
-    named = materialise(distinct.select("key", F.monotonically_increasing_id().alias("name")), "names")
-    of = lookup(rows, named, "key").groupBy("doc", "first").agg(F.array_sort(F.collect_list(F.struct("place", "name")))["name"].alias(names))
-    of = materialise(of, "names-of-segments")
-    discard(named)
-    return of
+def _suffixes(pack: dict) -> Columns:
+    """Keys of all windows in the forms of their residue: two names, bytes before the cover and last bytes; doc, window."""
+    doc, first, n, begins = _segments_of(pack)
+    a = np.frombuffer(pack["bytes"], np.uint8).astype(np.int64)
+    name, row = _named(pack)
+    nine = np.zeros(row[-1], np.int64)
+    segment, place = _sampled(first, n)
+    nine[row[segment] + place] = np.frombuffer(pack["nines"], np.int64)
+    segment, i, _ = _numbered_from(n)
+    byte, window = begins[segment] + i, first[segment] + i
+    tail = sum(a[byte + LENGTH - TAIL + k] << (8 * (TAIL - 1 - k)) for k in range(TAIL))
+    out = []
+    for form, residues in enumerate(FORMS):
+        at = np.flatnonzero(np.isin(window % 3, residues))
+        o = SHIFT[residues]
+        head = sum((a[byte[at] + k] << (8 * (o - 1 - k)) for k in range(o)), np.zeros(len(at), np.int64))
+        to = row[segment[at]] + i[at] + o
+        # Form, head and tail are one number; names compare NINE + TRIPLE bytes behind the head.
+        out.append((nine[to], name[to + NINE], form << 48 | head << 32 | tail[at], doc[segment[at]], window[at]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+class Ranges:
+    """Ranges of the order of keys, about equal in rows, by a sample of the keys.
+
+    A key that fills whole ranges has them for itself: its rows are dealt over them, and ``home`` is the first of them.
+    """
+
+    def __init__(self, sample: np.ndarray, n: int):
+        order = np.lexsort((sample[:, 2], sample[:, 1], sample[:, 0]))
+        self.bounds = sample[order[np.arange(1, n) * len(sample) // n]] if len(sample) else sample
+        self.text = self._text(*self.bounds.T)
+        own = np.concatenate(([False], self.text[1:] == self.text[:-1], [False]))
+        self.own = own[: len(self.bounds) + 1]  # range k ends with bound k
+        self.home = np.arange(len(self.own))
+        for k in range(1, len(self.own)):
+            if self.own[k] and self.own[k - 1] and self.text[k] == self.text[k - 1]:
+                self.home[k] = self.home[k - 1]
+
+    @staticmethod
+    def _text(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Keys as bytes in the same order."""
+        return (np.stack((x, y, z), axis=1).view(U64) ^ U64(1 << 63)).astype(">u8").view("S24").ravel()
+
+    def of(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+        first = np.ascontiguousarray(self.bounds[:, 0])
+        out, end = np.searchsorted(first, x, "left"), np.searchsorted(first, x, "right")
+        close = np.flatnonzero(out < end)
+        text = self._text(x[close], y[close], z[close])
+        low, high = np.searchsorted(self.text, text, "left"), np.searchsorted(self.text, text, "right")
+        out[close] = low + np.where(high - low > 1, 1 + close % np.maximum(high - low - 1, 1), 0)
+        return out.astype(np.int32)
+
+
+def _arrays(batch) -> list[np.ndarray]:
+    return [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+
+
+def _dealt(packs: DataFrame, make: Callable[[dict], Columns], rest: str) -> tuple[DataFrame, Ranges]:
+    """Rows (range, x, y, z, ``rest``) that ``make`` has for the packs, all of a range in one task, one range after the other."""
+    import pyarrow as pa
+
+    tasks = int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(RANGES, 4 * tasks)
+    count, size = packs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("bytes")), F.lit(1))).first()
+    every = max(1, count // SAMPLED_PACKS)
+    share = SAMPLE * n * every / size
+
+    def sample(parts):
+        for batch in parts:
+            for pack in batch.to_pylist():
+                key = np.stack(make(pack)[:3], axis=1)
+                k = np.random.default_rng(pack["pack"]).integers(0, len(key), math.ceil(share * len(pack["bytes"])))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.ascontiguousarray(key[k].T)], names=["x", "y", "z"])
+
+    some = packs.where(F.pmod(F.xxhash64("pack"), F.lit(every)) == 0).mapInArrow(sample, KEY).toArrow()
+    ranges = Ranges(np.stack([some.column(c).to_numpy().astype(np.int64) for c in "xyz"], axis=1), n)
+    schema = f"range int, {KEY}, {rest}"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def rows(parts):
+        for batch in parts:
+            for pack in batch.to_pylist():
+                made = make(pack)
+                made = [ranges.of(*made[:3]), *made]
+                for k in range(0, len(made[0]), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[k : k + 50_000])) for x in made], names=names)
+
+    return packs.mapInArrow(rows, schema).repartition(tasks, "range").sortWithinPartitions("range"), ranges
+
+
+def _by_range(parts) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The rows of every range, without its number."""
+    held, now = [], -1
+    for batch in parts:
+        number, *columns = _arrays(batch)
+        cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if held and number[a] != now:
+                yield now, [np.concatenate(x) for x in zip(*held, strict=True)]
+                held = []
+            now = int(number[a])
+            held.append([x[a:b] for x in columns])
+    if held:
+        yield now, [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Rows of sorted columns that differ from the row before."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for x in columns:
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
+
+def _with_names(packs: DataFrame, make: Callable[[dict], Columns], column: str) -> DataFrame:
+    """Sort the keys of the packs and name them by their places in the order; ``column`` has the names of a pack's keys."""
+    import pyarrow as pa
+
+    dealt, ranges = _dealt(packs, make, "place long")
+
+    def pieces(held: list[Columns]):
+        place, name = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(place)
+        place, name = place[order], name[order]
+        pack, k = place >> PLACE_BITS, (place & ((1 << PLACE_BITS) - 1)).astype(np.int32)
+        cuts = [*np.flatnonzero(_starts(pack)).tolist(), len(pack)]
+        cuts = list(zip(cuts, cuts[1:], strict=False))
+        yield pa.RecordBatch.from_arrays([pa.array(pack[[a for a, _ in cuts]]), pa.array([k[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([name[a:b].tobytes() for a, b in cuts], pa.binary())], names=["pack", "k", "name"])
+
+    def named(parts):
+        held, size = [], 0
+        for number, (x, y, z, place) in _by_range(parts):
+            order = np.lexsort((z, y, x))
+            name = np.cumsum(_starts(x[order], y[order], z[order])) - 1
+            held.append((place[order], int(ranges.home[number]) << RANK_BITS | name))
+            size += len(order)
+            if size > NAMES_HELD:
+                yield from pieces(held)
+                held, size = [], 0
+        if held:
+            yield from pieces(held)
+
+    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            whole = []
+            for some in pdf["pieces"]:
+                k, name = (np.frombuffer(b"".join([bytes(p[c]) for p in some]), kind) for c, kind in (("k", np.int32), ("name", np.int64)))
+                out = np.empty(len(k), np.int64)
+                out[k] = name
+                whole.append(out.tobytes())
+            yield pdf.drop(columns="pieces").assign(**{column: whole})
+
+    of = dealt.mapInArrow(named, "pack long, k binary, name binary").groupBy("pack").agg(F.collect_list(F.struct("k", "name")).alias("pieces"))
+    kept = ", ".join(f"{c} {t}" for c, t in packs.dtypes)
+    return materialise(packs.join(of, "pack").mapInPandas(put, f"{kept}, {column} binary".replace("bigint", "long")), column)
 
 
 def sorted_repeats(segments: DataFrame) -> DataFrame:
     """(doc, at) of windows of ``segments`` (doc, first, n, bytes) that start again later, by suffix sorting."""
-    triples = materialise(segments.mapInPandas(_triples, "doc long, first long, place long, key binary"), "triples")
-    ones = _names(triples, "names")
-    discard(triples)
-    nines = segments.select("doc", "first", "n").join(ones, ["doc", "first"]).mapInPandas(_nines, "doc long, first long, place long, x long, y long, z long")
-    nines = materialise(nines.select("doc", "first", "place", F.struct("x", "y", "z").alias("key")), "triples-of-names")
-    twos = _names(nines, "nines")
-    discard(nines)
-    both = segments.join(ones, ["doc", "first"]).join(twos, ["doc", "first"])
-    keys = materialise(both.mapInPandas(_suffixes, "head_tail long, name1 long, name2 long, doc long, window long"), "suffixes")
+    number = F.shiftleft(F.spark_partition_id().cast("long"), 18) + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    packs = materialise(segments.mapInPandas(_packed, "segments binary, bytes binary").select(number.alias("pack"), "segments", "bytes"), "packs")
+    ones = _with_names(packs, _triples, "names")
+    discard(packs)
+    twos = _with_names(ones, _nines, "nines")
     discard(ones)
+    dealt, ranges = _dealt(twos, _suffixes, "doc long, window long")
+
+    def repeats(parts):
+        """Windows whose neighbour before them in the order has the same prefix; of ranges that one key has for itself also the first."""
+        import pyarrow as pa
+
+        for number, (x, y, z, doc, window) in _by_range(parts):
+            order = np.lexsort((window, doc, z, y, x))
+            same = ~_starts(x[order], y[order], z[order])
+            home = np.full(len(order), -1)
+            if ranges.own[number]:
+                home[~same], same[:] = ranges.home[number], True
+            at = order[same]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(window[at] << 24 | 1), pa.array(home[same])], names=["doc", "at", "home"])
+
+    found = materialise(dealt.mapInArrow(repeats, "doc long, at long, home long"), "repeats")
     discard(twos)
-    order = ["name1", "name2", "head_tail"]
-    return keys.repartitionByRange(*order).sortWithinPartitions(*order, "doc", "window").mapInPandas(_repeats, "doc long, at long")
+    firsts = found.where("home >= 0").withColumn("nth", F.row_number().over(Window.partitionBy("home").orderBy("doc", "at")))
+    return found.where("home < 0").select("doc", "at").union(firsts.where("nth > 1").select("doc", "at"))
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -381,10 +537,8 @@ def dedup_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     cut_from = restrict(own, open_runs.select("doc").distinct(), "doc").dropDuplicates(["doc"]).select("doc", F.col("text").cast("binary").alias("bytes"))
     segments = _cut(open_runs, cut_from, "segments")
     blocks = _judge(segments.mapInPandas(_block_rows, SPANS), "blocks")
-    small = materialise(_narrow(blocks.where("not again"), segments), "segments")
+    sorted_ = sorted_repeats(_narrow(blocks.where("not again"), segments))
     discard(segments)
-    sorted_ = materialise(sorted_repeats(small), "repeats")
-    discard(small)
 
     again = runs.where("again").select("doc", "at").union(blocks.where("again").select("doc", "at")).union(sorted_)
     spans = materialise(again.groupBy("doc").agg(F.collect_list("at").alias("spans")), "spans")

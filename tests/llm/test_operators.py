@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -291,6 +292,76 @@ def test_difference_cover_order(spark):
     assert {(r.doc, r.w) for r in got} == want
 
 
+def windows_by_brute_force(rows):
+    seen, want = set(), set()
+    for d, first, n, t in sorted(rows):
+        for i in range(n):
+            s = t[i : i + 100]
+            want |= {(d, first + i)} if s in seen else set()
+            seen.add(s)
+    return want
+
+
+def shuffled_rows(spark):
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_suffix_sort_shuffles_each_key_once(spark):
+    """Triples, triples of names and suffixes are dealt out once each; what goes back to the packs is a few rows."""
+    rng = random.Random(3)
+    rows = [(d, 0, 150, bytes(rng.choices(b"abcd ", k=249))) for d in range(40)]
+    n = np.array([r[2] for r in rows])
+    keys = len(suffix_dedup._sampled(n * 0, n, 3)[0]) + len(suffix_dedup._sampled(n * 0, n)[0]) + 2 * n.sum()
+    df = spark.createDataFrame(rows, "doc long, first long, n long, bytes binary").localCheckpoint()
+    before = shuffled_rows(spark)
+    assert suffix_dedup.sorted_repeats(df).count() == 0
+    assert shuffled_rows(spark) - before < 1.2 * keys
+
+
+def test_suffix_sort_deals_out_a_key_that_fills_ranges(spark):
+    """One string in all places and one of many contexts."""
+    rng = random.Random(4)
+    some = lambda k: bytes(rng.choices(b"ab\0\xff", k=k))
+    passage = some(140)
+    texts = [b"x" * 300 for _ in range(40)] + [some(20) + passage + some(20) for _ in range(40)] + [b"\0" * 130, b"\xff" * 130] * 2
+    rows = [(d, d % 5, len(t) - 99, t) for d, t in enumerate(texts)]
+    got = suffix_dedup.sorted_repeats(spark.createDataFrame(rows, "doc long, first long, n long, bytes binary"))
+    assert {(r.doc, r.w) for r in got.select("doc", F.expr("at >> 24").alias("w")).collect()} == windows_by_brute_force(rows)
+
+
+def test_packs_hold_every_window_once(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 64)
+    monkeypatch.setattr(suffix_dedup, "PACK_BYTES", 2000)
+    rng = random.Random(6)
+    rows = [(d, 3 * d, n, bytes(rng.choices(b"ab", k=n + 99))) for d, n in enumerate([1, 64, 65, 500, 2, 3000, 7])]
+    want = [(d, first + i, t[i : i + 100]) for d, first, n, t in rows for i in range(n)]
+    got, packs = [], list(suffix_dedup._packed(iter([pd.DataFrame(rows, columns=["doc", "first", "n", "bytes"])])))
+    for pack in packs:
+        pack = pack.iloc[0]
+        for doc, first, n, begin in zip(*(x.tolist() for x in suffix_dedup._segments_of(pack)), strict=False):
+            got += [(doc, first + i, pack["bytes"][begin + i : begin + i + 100]) for i in range(n)]
+    assert got == want and len(packs) > 2
+
+
+def test_ranges_keep_the_order_and_deal_out_hot_keys():
+    rng = np.random.default_rng(5)
+    keys = rng.integers(-3, 3, (5000, 3)) << 60
+    keys[:2000] = keys[0]
+    ranges = suffix_dedup.Ranges(keys[rng.integers(0, 5000, 600)], 20)
+    number = ranges.of(*keys.T)
+    hot = (keys == keys[0]).all(axis=1)
+    assert len(set(number[hot].tolist())) > 4 and np.bincount(number, minlength=20).max() < 1000
+    assert len(set(ranges.home[number[hot]].tolist())) == 1 and not set(number[hot].tolist()) & set(number[~hot].tolist())
+    order = np.lexsort(keys.T[::-1])
+    home = ranges.home[number[order]]
+    assert (np.diff(home) >= 0).all()
+    same = (np.diff(keys[order], axis=0) == 0).all(axis=1)
+    assert (np.diff(home)[same] == 0).all()
+
+
 # Tokens, packing and records
 
 
