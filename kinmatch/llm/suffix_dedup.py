@@ -531,10 +531,12 @@ def dedup_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = materialise(rows, "rows")
     copies = rows.where("copy").select("doc").distinct()
     own = restrict(texts, copies, "doc", "left_anti")
+    if rows.where("not copy").groupBy("doc").count().where("count > 1").limit(1).count():
+        own = materialise(own.dropDuplicates(["doc"]), "own")  # else a document would be its own copy
 
     runs = _judge(spread(own).mapInPandas(_run_rows, SPANS), "runs")
     open_runs = runs.where("not again")
-    cut_from = restrict(own, open_runs.select("doc").distinct(), "doc").dropDuplicates(["doc"]).select("doc", F.col("text").cast("binary").alias("bytes"))
+    cut_from = restrict(own, open_runs.select("doc").distinct(), "doc").select("doc", F.col("text").cast("binary").alias("bytes"))
     segments = _cut(open_runs, cut_from, "segments")
     blocks = _judge(segments.mapInPandas(_block_rows, SPANS), "blocks")
     sorted_ = sorted_repeats(_narrow(blocks.where("not again"), segments))
@@ -543,9 +545,9 @@ def dedup_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = runs.where("again").select("doc", "at").union(blocks.where("again").select("doc", "at")).union(sorted_)
     spans = materialise(again.groupBy("doc").agg(F.collect_list("at").alias("spans")), "spans")
     ids = spans.select("doc")
-    cut = restrict(own, ids, "doc").dropDuplicates(["doc"]).join(spans, "doc").mapInPandas(_kept, RESULT)
+    cut = restrict(own, ids, "doc").join(spans, "doc").mapInPandas(_kept, RESULT)
     none = F.array().cast("array<struct<start:bigint,length:bigint>>")
-    whole = restrict(own, ids, "doc", "left_anti").dropDuplicates(["doc"]).select("doc", F.col("text").cast("binary").alias("kept"), none.alias("removed"))
+    whole = restrict(own, ids, "doc", "left_anti").select("doc", F.col("text").cast("binary").alias("kept"), none.alias("removed"))
     return rows.drop("other"), cut.union(whole)
 
 

@@ -276,6 +276,18 @@ def test_repeated_bytes(spark, tmp_path):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == cut_by_brute_force(docs)
 
 
+def test_a_repeated_row_is_no_copy_of_itself(spark, tmp_path):
+    """Rows of one id and text are one document; others are cut by it, and its own rows by nothing but smaller ids."""
+    rng = random.Random(7)
+    a, b = ("".join(rng.choices("abcd", k=300)) for _ in range(2))
+    docs = [(1, a), (2, a[50:200] + b), (3, b[10:]), (4, a), (5, b)]
+    twice = spark.createDataFrame(docs * 2, "doc_id long, text string").repartition(3)
+    twice.write.parquet(f"{tmp_path}/documents.parquet")
+    got = suffix_dedup.op3_suffix_dedup(spark, str(tmp_path)).collect()
+    want = cut_by_brute_force(docs)
+    assert len(got) == 10 and {(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got} == set(want.items())
+
+
 def test_difference_cover_order(spark):
     """The suffix sorting alone finds every window that starts again."""
     rng = random.Random(2)
