@@ -129,27 +129,28 @@ def _digests(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[["doc_id", "mark"]].assign(d1=d[:, 0], d2=d[:, 1], n_bytes=[len(x) for x in raw])
 
 
-SPANS = "key long, whole long, doc long, at long, others array<bigint>"
+SPANS = "key long, whole long, doc long, at long, known boolean"
 
 
-def _leaders(key: np.ndarray, whole: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pd.DataFrame:
-    """Equal spans of one pass as one row: the earliest, and doc and place of the others, one after the other."""
-    order = np.lexsort((at, doc, whole, key))
-    key, whole, doc, at = key[order], whole[order], doc[order], at[order]
-    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (whole[1:] != whole[:-1]))))
-    count = np.diff(np.concatenate((first, [len(key)])))
-    others = np.full(len(first), None, object)
-    pairs = np.stack((doc, at), axis=1)
-    for k in np.flatnonzero(count > 1):
-        others[k] = pairs[first[k] + 1 : first[k] + count[k]].ravel()
-    return pd.DataFrame({"key": key[first], "whole": whole[first], "doc": doc[first], "at": at[first], "others": others})
+def _span_rows(key: np.ndarray, whole: np.ndarray, doc: np.ndarray, at: np.ndarray):
+    """Spans of one pass; all but the first of equal ones are known to be repeats, and get keys of their own."""
+    import pyarrow as pa
 
+    known = np.zeros(len(key), bool)
+    order = np.argsort(whole)
+    same = ~_starts(whole[order])
+    some = order[same | np.append(same[1:], False)]
+    some = some[np.lexsort((at[some], doc[some], whole[some], key[some]))]
+    known[some] = ~_starts(key[some], whole[some])
+    key = np.where(known, mix(mix(doc.astype(U64)) ^ at.astype(U64)).view(np.int64), key)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, whole, doc, at, known)], names=["key", "whole", "doc", "at", "known"])
 
-def _run_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in parts:
-        docs = pdf["doc"].to_numpy()
-        for text, key, whole, first, n in spans_of(as_bytes(pdf["text"])):
-            yield _leaders(key, whole, docs[text], first << 24 | n)
+
+def _run_rows(parts):
+    for batch in parts:
+        docs = batch.column("doc").to_numpy()
+        for text, key, whole, first, n in spans_of(as_bytes(batch.column("text").to_pylist())):
+            yield _span_rows(key, whole, docs[text], first << 24 | n)
 
 
 def _segments(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,26 +175,21 @@ def _joined(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _block_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in parts:
-        docs, base = pdf["doc"].to_numpy(), pdf["first"].to_numpy()
-        for text, key, whole, first, n in spans_of([bytes(x) for x in pdf["bytes"]], BLOCK):
-            yield _leaders(key, whole, docs[text], (base[text] + first) << 24 | n)
+def _block_rows(parts):
+    for batch in parts:
+        docs, base = batch.column("doc").to_numpy(), batch.column("first").to_numpy()
+        for text, key, whole, first, n in spans_of(batch.column("bytes").to_pylist(), BLOCK):
+            yield _span_rows(key, whole, docs[text], (base[text] + first) << 24 | n)
 
 
 def _judge(rows: DataFrame, name: str) -> DataFrame:
     """Of spans of windows with a key and a hash of the whole: ``again`` if an equal one comes earlier; first
-    ones of keys that have several wholes are open, and all others are left out. What a pass found equal comes as
-    one row, so a passage of many documents is shuffled once for each pass and not for each document."""
-    of_key, of_whole = Window.partitionBy("key"), Window.partitionBy("key", "whole").orderBy("doc", "at")
+    ones of keys that have several wholes are open, and all others are left out. Of what a pass found equal only the
+    first comes under its key, so a passage of many documents is met there once for each pass and not for each document."""
+    of_key, of_whole = Window.partitionBy("key", "known"), Window.partitionBy("key", "known", "whole").orderBy("doc", "at")
     marked = rows.repartition("key").withColumn("nth", F.row_number().over(of_whole))
     marked = marked.withColumn("x", F.min("whole").over(of_key)).withColumn("y", F.max("whole").over(of_key))
-    marked = marked.where("nth > 1 or x <> y or others is not null")
-    own = F.when(F.expr("nth > 1 or x <> y"), F.array(F.struct("doc", "at", (F.col("nth") > 1).alias("again"))))
-    places = F.sequence(F.lit(0), (F.size("others") / 2 - 1).cast("int"))
-    rest = F.when(F.col("others").isNotNull(), F.transform(places, lambda k: F.struct(F.get("others", 2 * k).alias("doc"), F.get("others", 2 * k + 1).alias("at"), F.lit(True).alias("again"))))
-    none = F.array().cast("array<struct<doc:bigint,at:bigint,again:boolean>>")
-    return materialise(marked.select(F.explode(F.concat(F.coalesce(own, none), F.coalesce(rest, none))).alias("s")).select("s.*"), name)
+    return materialise(marked.where("known or nth > 1 or x <> y").select("doc", "at", F.expr("known or nth > 1").alias("again")), name)
 
 
 def _cut(open_spans: DataFrame, texts: DataFrame, name: str) -> DataFrame:
@@ -534,11 +530,11 @@ def dedup_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if rows.where("not copy").groupBy("doc").count().where("count > 1").limit(1).count():
         own = materialise(own.dropDuplicates(["doc"]), "own")  # else a document would be its own copy
 
-    runs = _judge(spread(own).mapInPandas(_run_rows, SPANS), "runs")
+    runs = _judge(spread(own).mapInArrow(_run_rows, SPANS), "runs")
     open_runs = runs.where("not again")
     cut_from = restrict(own, open_runs.select("doc").distinct(), "doc").select("doc", F.col("text").cast("binary").alias("bytes"))
     segments = _cut(open_runs, cut_from, "segments")
-    blocks = _judge(segments.mapInPandas(_block_rows, SPANS), "blocks")
+    blocks = _judge(segments.mapInArrow(_block_rows, SPANS), "blocks")
     sorted_ = sorted_repeats(_narrow(blocks.where("not again"), segments))
     discard(segments)
 

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -288,6 +289,21 @@ def test_a_repeated_row_is_no_copy_of_itself(spark, tmp_path):
     assert len(got) == 10 and {(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got} == set(want.items())
 
 
+def test_equal_spans_of_a_pass_do_not_meet_under_their_key():
+    """A passage of all texts of a pass comes under its keys once; the rest is known, each under a key of its own."""
+    rng = random.Random(8)
+    passage = bytes(rng.choices(b"abcdef ", k=400))
+    texts = [bytes(rng.choices(b"abcdef ", k=20)) + passage for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"doc": np.arange(300), "text": [t.decode() for t in texts]})
+    rows = pd.concat([b.to_pandas() for b in suffix_dedup._run_rows([batch])])
+    assert not rows[~rows["known"]].duplicated(["key", "whole"]).any() and not rows[rows["known"]].duplicated("key").any()
+    assert not set(rows["key"][rows["known"]]) & set(rows["key"][~rows["known"]])
+    at = rows["at"].to_numpy()
+    inside = (at >> 24 > 100) & ((at >> 24) + (at & 0xFFFFFF) < 320)  # runs that no text's own bytes cut off
+    assert rows["known"].sum() > 300 and set(rows["doc"][~rows["known"] & inside]) == {0}
+    assert (at & 0xFFFFFF).sum() == 300 * 321 and not rows.duplicated(["doc", "at"]).any()
+
+
 def test_difference_cover_order(spark):
     """The suffix sorting alone finds every window that starts again."""
     rng = random.Random(2)
