@@ -231,6 +231,9 @@ def _packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _pack(rows)
 
 
+PACKED = "segments binary, bytes binary"
+
+
 def _pack(rows: list[tuple[int, int, int, bytes]]) -> pd.DataFrame:
     return pd.DataFrame({"segments": [np.array([r[:3] for r in rows], np.int64).tobytes()], "bytes": [b"".join([r[3] for r in rows])]})
 
@@ -448,8 +451,12 @@ def _with_names(packs: DataFrame, make: Callable[[dict], Columns], column: str)
 
 def sorted_repeats(segments: DataFrame) -> DataFrame:
     """(doc, at) of windows of ``segments`` (doc, first, n, bytes) that start again later, by suffix sorting."""
+    return _sorted(segments.mapInPandas(_packed, PACKED))
+
+
+def _sorted(packs: DataFrame) -> DataFrame:
     number = F.shiftleft(F.spark_partition_id().cast("long"), 18) + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    packs = materialise(segments.mapInPandas(_packed, "segments binary, bytes binary").select(number.alias("pack"), "segments", "bytes"), "packs")
+    packs = materialise(packs.select(number.alias("pack"), "segments", "bytes"), "packs")
     ones = _with_names(packs, _triples, "names")
     discard(packs)
     twos = _with_names(ones, _nines, "nines")
@@ -535,7 +542,7 @@ def dedup_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     cut_from = restrict(own, open_runs.select("doc").distinct(), "doc").select("doc", F.col("text").cast("binary").alias("bytes"))
     segments = _cut(open_runs, cut_from, "segments")
     blocks = _judge(segments.mapInArrow(_block_rows, SPANS), "blocks")
-    sorted_ = sorted_repeats(_narrow(blocks.where("not again"), segments))
+    sorted_ = _sorted(_narrow(blocks.where("not again"), segments))
     discard(segments)
 
     again = runs.where("again").select("doc", "at").union(blocks.where("again").select("doc", "at")).union(sorted_)
@@ -548,7 +555,7 @@ def dedup_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _narrow(spans: DataFrame, segments: DataFrame) -> DataFrame:
-    """Segments of open blocks, cut from the segments they came of."""
+    """Packs of the segments of open blocks, cut from the segments they came of; one Python worker does both."""
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -565,7 +572,7 @@ def _narrow(spans: DataFrame, segments: DataFrame) -> DataFrame:
 
     of = spans.groupBy("doc").agg(F.collect_list("at").alias("spans"))
     pieces = segments.groupBy("doc").agg(F.collect_list(F.struct("first", "n", "bytes")).alias("pieces"))
-    return of.join(pieces, "doc").mapInPandas(cut, "doc long, first long, n long, bytes binary")
+    return of.join(pieces, "doc").mapInPandas(lambda parts: _packed(cut(parts)), PACKED)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
