@@ -89,5 +89,6 @@ def separability(scored: DataFrame, bins: int = 10) -> DataFrame:
 
 def mining_readiness(labelled: DataFrame, threshold: float, bins: int = 5) -> DataFrame:
     """Positives and negatives by distance of the score to the threshold."""
-    b = F.least(F.floor(F.abs(F.col("score") - threshold) * bins * 2), F.lit(bins - 1)).cast("int")
+    far = F.round(F.abs(F.col("score") - threshold), 12)  # 0.6 is a tenth from 0.5, though floating point says less
+    b = F.least(F.floor(far * bins * 2), F.lit(bins - 1)).cast("int")
     return labelled.where("score is not null").groupBy(b.alias("margin")).agg(F.count_if("label").alias("positive"), F.count_if(~F.col("label")).alias("negative"))
