@@ -87,10 +87,10 @@ def cost_track(judged: DataFrame) -> DataFrame:
 
 
 def funnel(stages: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Rows after each stage."""
+    """Rows after each stage; pairs of classes count their pairs of records."""
     out = None
     for k, (name, df) in enumerate(stages):
-        one = df.agg(F.lit(k).alias("place"), F.lit(name).alias("stage"), F.count("*").alias("n"))
+        one = df.agg(F.lit(k).alias("place"), F.lit(name).alias("stage"), (F.coalesce(F.sum("n_pairs"), F.lit(0)) if "n_pairs" in df.columns else F.count("*")).alias("n"))
         out = one if out is None else out.union(one)
     return out
 
