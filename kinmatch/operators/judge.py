@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType, StructField, StructType, _parse_datatype_string
 
 from kinmatch.functions import text
-from kinmatch.storage import ensure_workers
+from kinmatch.storage import dealt, ensure_workers
 
 PROMPT = "Do these two records describe the same entity? Answer MATCH or NO_MATCH.\n\nA: {left}\n\nB: {right}\n"
 
@@ -122,7 +122,7 @@ def _pick(parts: Iterator[tuple[pd.Series, pd.Series]], client: Callable[[list],
 def embed(records: DataFrame, fields: list[str], client: Callable[[list[str]], list[list[float]]]) -> DataFrame:
     """Add ``vector`` of the present fields joined by spaces."""
     ensure_workers(records.sparkSession)
-    rows = records.drop("vector").withColumn("embed_text", F.concat_ws(" ", *[F.when(F.col(f) != "", F.col(f)) for f in fields]))
+    rows = dealt(records).drop("vector").withColumn("embed_text", F.concat_ws(" ", *[F.when(F.col(f) != "", F.col(f)) for f in fields]))
     return rows.mapInPandas(partial(_ask, client=client, column="embed_text", to="vector"), StructType([*rows.schema.fields, StructField("vector", ArrayType(FloatType()))]))
 
 
