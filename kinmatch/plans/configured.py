@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.operators import blocking, curate, metrics, profile, score
+from kinmatch.operators import blocking, classes, curate, metrics, profile, score
 from kinmatch.plans import evaluate, pipeline
 from kinmatch.plans.report import page
 
@@ -35,6 +35,9 @@ def build_blocker(config: Mapping) -> Blocker:
         children, op = [build_blocker(c) for c in config["children"]], config["op"]
         if op not in ("union", "intersection", "difference") or not children:
             raise ValueError(f"unknown set operation {op}, or no children")
+        if all(c["kind"] == "key" and not c.get("cross_source") for c in config["children"]):
+            keys = [(c["column"], c.get("name", "key")) for c in config["children"]]
+            return lambda r: classes.composite_keys(r, [(F.expr(k), n) for k, n in keys], op, "source" if config.get("cross_source") else None)
         run = lambda r: blocking.composite([c(r) for c in children], op)
     else:
         raise ValueError(f"unknown blocker {kind}; there are all_pairs, composite, key, vector")

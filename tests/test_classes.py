@@ -31,7 +31,7 @@ def one_block(spark, tmp_path_factory):
 
 
 BY_CLASSES = [
-    "anchor_groups", "assignment_one_to_one", "cascade_band", "cluster_labels", "complete_partition", "cross_source_pairs", "dedupe_parts", "fellegi_sunter_fit",
+    "anchor_groups", "assignment_one_to_one", "cascade_band", "cluster_labels", "complete_partition", "composite_union", "configured_blocking", "cross_source_pairs", "dedupe_parts", "fellegi_sunter_fit",
     "fellegi_sunter_patterns", "fellegi_sunter_scores", "funnel_counts", "fuzzy_string_chain", "group_selection", "indel_ratio_names", "link_best", "pivot_clusters",
     "rapid_scores", "score_labels", "scripted_model_verdicts", "threshold_select", "token_set_ratio_names", "token_sort_ratio_pairs", "topk_per_left",
     "tri_state_verdicts", "weighted_average_scores",
@@ -83,3 +83,30 @@ def test_same_as_pairs(spark, monkeypatch, seed):
     monkeypatch.setattr(blocking, "GROUPED", 4)
     listed = lambda df: rows(df.withColumn("members", F.array_join("members", ",")), "left_id", "members", "n_members")
     assert listed(blocking.key_groups(r, F.col("k"))) == listed(groups)
+
+
+@pytest.mark.parametrize("op", ["union", "intersection", "difference"])
+def test_composite_of_keys(spark, op):
+    r = records(spark, 5).withColumn("source", F.col("pos") % 3)
+    keys = [(F.col("k"), "k"), (F.col("name"), "name"), (F.col("type"), "type")]
+    plain = blocking.composite([blocking.key_blocking(r, k, n) for k, n in keys], op)
+    rows = lambda df: Counter(tuple(x) for x in df.select("left_id", "right_id", "blocker_name", "similarity").collect())
+    assert rows(classes.composite_keys(r, keys, op)) == rows(plain)
+    assert rows(classes.composite_keys(r, keys, op, "source")) == rows(blocking.cross_source(plain, r))
+    with pytest.raises(ValueError, match="unknown"):
+        classes.composite_keys(r, keys, "product")
+
+
+def test_chain_by_classes(spark):
+    """A chain clusters by classes what its own steps gave, and the pairs themselves where somebody changed them."""
+    from kinmatch.plans import pipeline
+
+    r = records(spark, 6)
+    chain = pipeline.fuzzy_string(FEATURES, 0.7, F.col("k"))
+    frames = chain.run(r)
+    plain = score.threshold(score.weighted_average(score.compare(blocking.key_blocking(r, F.col("k")), r, FEATURES), FEATURES), 0.7)
+    rows = lambda df, *cols: Counter(tuple(x) for x in df.select(*cols).collect())
+    assert rows(frames["pairs"], "left_id", "right_id", "blocker_name", "score") == rows(plain, "left_id", "right_id", "blocker_name", "score")
+    assert rows(frames["clusters"], "id", "component") == rows(cluster.connected_components(plain), "id", "component")
+    few = pipeline.Model(chain).execute_from("cluster", {"records": r, "pairs": frames["pairs"].where("score > 0.99")})
+    assert rows(few["clusters"], "id", "component") == rows(cluster.connected_components(plain.where("score > 0.99")), "id", "component")
