@@ -191,9 +191,9 @@ def misclassified(labelled: DataFrame, features: list[str], folds: int = 3, limi
 
 def split_by_entity(labelled: DataFrame, test: float, seed: int = 0) -> DataFrame:
     """Labelled pairs with ``part`` train or test: whole components of labelled pairs go to one side, in hash order,
-    until the test share is reached; never all of them."""
+    until the test share is reached; never all of them. What grows with the pairs is merged, not broadcast through the driver."""
     comp = connected_components(labelled)
-    rows = labelled.join(comp.select(F.col("id").alias("left_id"), "component"), "left_id")
+    rows = labelled.join(comp.select(F.col("id").alias("left_id"), "component").hint("merge"), "left_id")
     sizes = rows.groupBy("component").agg(F.count("*").alias("n")).withColumn("h", hashed("component", seed=seed))
     bucket = F.substring("h", 1, 3)  # 4,096 ranges of the hash: running sums in two steps
     by = sizes.groupBy(bucket.alias("b")).agg(F.sum("n").alias("bn")).withColumn("above", F.coalesce(F.sum("bn").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -201,7 +201,7 @@ def split_by_entity(labelled: DataFrame, test: float, seed: int = 0) -> DataFram
     placed = sizes.withColumn("b", bucket).join(F.broadcast(by), "b").withColumn("before", F.col("above") + before)
     total = rows.agg(F.count("*").alias("total"))
     part = F.when((F.col("before") + F.col("n") <= F.round(F.lit(test) * F.col("total"))) & (F.col("before") + F.col("n") < F.col("total")), "test").otherwise("train")
-    return rows.join(placed.join(F.broadcast(total)).select("component", part.alias("part")), "component").drop("component")
+    return rows.join(placed.join(F.broadcast(total)).select("component", part.alias("part")).hint("merge"), "component").drop("component")
 
 
 def stratified_split(clusters: DataFrame, test: float, seed: int = 0) -> DataFrame:

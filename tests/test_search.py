@@ -69,3 +69,12 @@ def test_embedding_is_dealt(spark):
     one = spark.createDataFrame([(k, "x") for k in range(50)], "id long, name string").coalesce(1)
     sizes = judge.embed(one, ["name"], judge.hash_embedder).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 25
+
+
+def test_entity_split_is_merged(spark):
+    """Tables that grow with the pairs are not broadcast, however small their files are."""
+    from kinmatch.operators import curate
+
+    p = spark.createDataFrame([(k, k + 1000, True) for k in range(60)], "left_id long, right_id long, label boolean")
+    plan = curate.split_by_entity(p, 0.3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [left_id" in plan and "SortMergeJoin [component" in plan
